@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from millrace.llm import near_dup
-from millrace.llm.common import table
+from millrace.llm import bpe, near_dup, tokenstore
+from millrace.llm.common import shared_dir, table
+
+
+def op4_bpe(spark, sf_dir):
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, split="blank"), path))
+
+
+def op5_token_store(spark, sf_dir):
+    folder = shared_dir(spark, "token-store")
+    tokenstore.write_store(table(spark, sf_dir, "documents"), folder, bpe.vocabulary_path("byte_bpe_50k.json"))
+    return tokenstore.verify_store(spark, folder)
 
 
 def op8_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_near_dup": op8_near_dup}
+QUERIES = {"op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op8_near_dup": op8_near_dup}
 ORACLES: dict = {}
 
 
