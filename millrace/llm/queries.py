@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, near_dup, tokenstore
+from millrace.llm import bpe, near_dup, secret_scan, tokenstore
 from millrace.llm.common import shared_dir, table
 
 
@@ -17,11 +17,15 @@ def op5_token_store(spark, sf_dir):
     return tokenstore.verify_store(spark, folder)
 
 
+def op7_secrets(spark, sf_dir):
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op8_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op8_near_dup": op8_near_dup}
+QUERIES = {"op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup}
 ORACLES: dict = {}
 
 
