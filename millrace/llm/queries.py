@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, near_dup, secret_scan, tokenstore
+from millrace.llm import bpe, near_dup, quality, secret_scan, tokenstore
 from millrace.llm.common import shared_dir, table
 
 
+def op3_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     path = bpe.vocabulary_path("word_bpe_49k.json")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, split="blank"), path))
@@ -25,7 +29,7 @@ def op8_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup}
+QUERIES = {"op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup}
 ORACLES: dict = {}
 
 
