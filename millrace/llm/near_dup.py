@@ -16,6 +16,8 @@ from millrace.llm.components import connected_components
 #: 26 bands of 5 minima: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2.4e-7.
 BANDS, ROWS = 26, 5
 SHINGLE, PERCENT = 3, 85
+#: Cells of the table that orders shingles by their counts: its size bounds what is broadcast (8 MB).
+ORDER_CELLS = 1 << 20
 #: Words taken together by the vectorised code: bounds a task's memory whatever the batch.
 BLOCK_WORDS = 1_500_000
 
@@ -159,7 +161,7 @@ def near_duplicates(
     links = materialize(_verify(star, texts, k, percent), "near-links")
     components = materialize(connected_components(links, "near-star"), "near-components")
 
-    missed = _cross_pairs(buckets, components)
+    missed = _cross_pairs(_open_nodes(buckets, components), texts, k, percent)
     more = materialize(_verify(missed.join(star, ["u", "v"], "left_anti"), texts, k, percent), "near-more")
     if not more.isEmpty():
         components = connected_components(links.unionByName(more), "near-all")
@@ -177,22 +179,73 @@ def near_duplicates(
     )
 
 
-def _cross_pairs(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components, one side outside the bucket's largest.
-
-    A pair at the threshold shares one of 26 buckets with probability 4.3e-6, so
-    pairs that share a single bucket are left out.
-    """
+def _open_nodes(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """(doc_id, comp) of the nodes in buckets that hold more than one component."""
     comp = components.withColumnRenamed("node", "rep")
     placed = buckets.join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"))
-    main = main.where("parts > 1").select("key", "main")
-    placed = placed.join(main, "key")
-    outside = placed.where("comp <> main").select("key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"))
-    pairs = outside.join(placed, "key").where("comp <> comp_a AND (comp = main OR a < rep)")
-    pairs = pairs.groupBy(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).agg(F.count("*").alias("n"))
-    return pairs.where("n > 1").select("u", "v")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return placed.join(mixed, "key").select(F.col("rep").alias("doc_id"), "comp").distinct()
+
+
+def _cell_counts(batches, k: int):
+    """How many of the shingles of the batches fall to each cell of the order table."""
+    hashes = WordHash()
+    for part, sets in _set_blocks(batches, hashes, k):
+        cells, counts = np.unique(np.concatenate(sets) & np.uint64(ORDER_CELLS - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype("i8")), pa.array(counts)], ["cell", "n"])
+
+
+def _prefixes(batches, k: int, percent: int, table):
+    """A set's rarest shingles, as many as must hold one that any near enough set holds too."""
+    hashes, counts = WordHash(), table.value
+    for part, sets in _set_blocks(batches, hashes, k):
+        for doc_id, comp, s in zip(part.column("doc_id").to_pylist(), part.column("comp").to_pylist(), sets):
+            order = np.lexsort((s, counts[s & np.uint64(ORDER_CELLS - 1)]))
+            tokens = s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64)
+            m = len(tokens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc_id] * m), pa.array([comp] * m), pa.array([len(s)] * m), pa.array(tokens), pa.array(len(s) - np.arange(m))],
+                ["doc_id", "comp", "n", "token", "rest"],
+            )
+
+
+def _set_blocks(batches, hashes: WordHash, k: int):
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary())
+        for lo, hi in slices([len(t.as_py()) // 6 + 1 for t in texts], BLOCK_WORDS):
+            yield batch.slice(lo, hi - lo), shingle_sets(texts.slice(lo, hi - lo).to_pylist(), hashes, k)
+
+
+def _cross_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes in different components that may be near enough: an exact prefix-filter join.
+
+    Shingles are ordered by how common they are.  Two near sets share a shingle of
+    both prefixes, and at the first such one the rests of both are long enough.
+    Whether any node of another component can meet this at a shingle is known from
+    the longest rests for each set size, so a shingle that thousands of near copies
+    hold is dropped for all those that it can't link, before any pair is made.
+    """
+    spark = texts.sparkSession
+    open_texts = materialize(texts.join(nodes, "doc_id"), "near-open")
+    cells = open_texts.mapInArrow(lambda it: _cell_counts(it, k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros(ORDER_CELLS, np.int64)
+    found = cells.toArrow()
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    schema = "doc_id long, comp long, n long, token long, rest long"
+    rows = materialize(open_texts.mapInArrow(lambda it: _prefixes(it, k, percent, shared), schema), "near-prefixes")
+
+    enough = lambda a, b: f"{100 + percent} * least({a}.rest, {b}.rest) >= {percent} * ({a}.n + {b}.n)"
+    longest = rows.groupBy("token", "n", "comp").agg(F.max("rest").alias("rest"))
+    first = longest.groupBy("token", "n").agg(F.max_by("comp", F.struct("rest", "comp")).alias("comp"), F.max("rest").alias("rest"))
+    second = longest.join(first.select("token", "n", F.col("comp").alias("top")), ["token", "n"]).where("comp <> top")
+    second = second.groupBy("token", "n").agg(F.max("rest").alias("rest"))
+    rivals = first.select("token", "n", "comp", "rest").unionByName(second.withColumn("comp", F.lit(None).cast("long")), True)
+    other = f"a.token = b.token AND (b.comp IS NULL OR a.comp <> b.comp) AND {enough('a', 'b')}"
+    live = materialize(rows.alias("a").join(rivals.alias("b"), F.expr(other), "left_semi"), "near-live")
+    near = f"a.token = b.token AND a.doc_id < b.doc_id AND a.comp <> b.comp AND {enough('a', 'b')}"
+    pairs = live.alias("a").join(live.alias("b"), F.expr(near))
+    return pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
