@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, near_dup, quality, secret_scan, tokenstore
+from millrace.llm import bpe, near_dup, quality, secret_scan, tokenstore, warc
 from millrace.llm.common import shared_dir, table
 
 
@@ -29,7 +29,14 @@ def op8_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup}
+def op9_warc(spark, sf_dir):
+    folder = shared_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_warc(spark, folder, payloads=False).where("record_type <> 'gap'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc}
 ORACLES: dict = {}
 
 
