@@ -14,10 +14,10 @@ _BLANK = r"[\x20\x09-\x0D]"
 GRAM = 8
 #: The transformed statistics, and the least standard deviation that each one is given credit for.
 VECTOR = {
-    "v_word": (F.log(F.col("word_chars") / F.col("n_words")), 0.05),
-    "v_symbol": (F.sqrt(F.col("n_symbols") / F.col("word_chars")), 0.03),
-    "v_lines": (F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), 0.15),
-    "v_repeat": (F.sqrt(F.col("n_repeat_words") / F.col("n_words")), 0.15),
+    "v_word": ("ln(word_chars / n_words)", 0.05),
+    "v_symbol": ("sqrt(n_symbols / word_chars)", 0.03),
+    "v_lines": ("sqrt(n_dup_lines / greatest(n_lines, 1))", 0.15),
+    "v_repeat": ("sqrt(n_repeat_words / n_words)", 0.15),
 }
 #: Share of a group's rows that the determinant is minimised over; tail probability at which a row goes.
 SHARE, TAIL = 0.75, 1e-15
@@ -192,7 +192,7 @@ def judge(docs: DataFrame, *, tail: float = TAIL) -> DataFrame:
     """
     stats = text_statistics(docs.select("doc_id", "lang", "source", "text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scaled = {k: F.when(F.col("n_words") > 0, F.round(v[0] * _UNIT).cast("long")) for k, v in VECTOR.items()}
+    scaled = {k: F.when(F.col("n_words") > 0, F.round(F.expr(v[0]) * _UNIT).cast("long")) for k, v in VECTOR.items()}
     stats = materialize(stats.withColumn("base_failed", failed).withColumns(scaled), "quality-statistics")
     far = robust_distance(materialize(_groups(stats), "quality-groups"))
     limit = chi2_quantile(tail, len(VECTOR))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, near_dup, quality, secret_scan, tokenstore, warc
+from millrace.llm import bpe, licenses, near_dup, quality, secret_scan, tokenstore, warc
 from millrace.llm.common import shared_dir, table
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -36,8 +40,8 @@ def op9_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc}
-ORACLES: dict = {}
+QUERIES = {"op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc}
+ORACLES = {"op2_licenses": licenses.ORACLE_SQL}
 
 
 def queries() -> dict:
