@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -52,7 +53,7 @@ class ChunkEncoder:
 
     _lead = re.compile(r"[ \t\n\r]*\S+|[ \t\n\r]+")
 
-    def __init__(self, path: str, split: str, limit: int = 300_000):
+    def __init__(self, path: str, split: str, limit: int = 700_000):
         self.library, self.split, self.limit, self.known = load(path), split, limit, {}
 
     def chunks(self, text: str) -> list[str]:
@@ -64,20 +65,39 @@ class ChunkEncoder:
             return found if "".join(found) == text else [text]
         return [text]
 
+    def _split_end(self, chunk: str) -> tuple[str, str]:
+        """A comma or full stop after a letter is a piece of its own in either kind of vocabulary."""
+        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha() and chunk[-2] < "\u0250":
+            return chunk[:-1], chunk[-1]
+        return chunk, ""
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that aren't remembered; those of usual length then are."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        halves = {c: self._split_end(c) for c in chunks}
+        new = list({h for both in halves.values() for h in both if h not in self.known})
+        found = self.library.encode_batch_fast(new, add_special_tokens=False)
+        ids = dict(zip(new, (array("i", f.ids).tobytes() for f in found)))
+        get = lambda h: ids[h] if h in ids else self.known[h]
+        out = {c: get(a) + get(b) for c, (a, b) in halves.items()}
+        self.known.update((k, v) for k, v in chain(ids.items(), out.items()) if len(k) <= 40)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian int32."""
+        """The ids of each text as int32 in the machine's order."""
         parts = [self.chunks(t) for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = list({c for c in chain.from_iterable(parts) if c not in known})
-        for chunk, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[chunk] = np.array(found.ids, "<i4").tobytes()
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for chunk in new:
-            if len(chunk) > 200:
-                del known[chunk]
-        return out
+        found = [list(map(self.known.get, p)) for p in parts]
+        new = self._learn({c for p, f in zip(parts, found) for c, ids in zip(p, f) if ids is None})
+        return [b"".join(new[c] if ids is None else ids for c, ids in zip(p, f)) if None in f else b"".join(f) for p, f in zip(parts, found)]
+
+
+_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+
+
+def chunk_encoder(path: str, split: str) -> ChunkEncoder:
+    """The encoder of this Python worker, which goes on from task to task with what it remembers."""
+    return _ENCODERS.get((path, split)) or _ENCODERS.setdefault((path, split), ChunkEncoder(path, split))
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:
@@ -94,7 +114,7 @@ def text_blocks(batches, column: str):
 
 
 def _encode(batches, path: str, split: str):
-    encoder = ChunkEncoder(path, split)
+    encoder = chunk_encoder(path, split)
     for part, texts in text_blocks(batches, "text"):
         yield pa.RecordBatch.from_arrays([part.column(0), id_lists(encoder.encode(texts))], ["doc_id", "ids"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.bpe import ChunkEncoder, text_blocks
+from millrace.llm.bpe import chunk_encoder, text_blocks
 from millrace.llm.common import mix
 
 #: Mean, least and most ids of a chunk; ids that the rolling hash spans.
@@ -82,7 +82,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _land(batches, path: str, split: str, end_id: int):
-    encoder, seen = ChunkEncoder(path, split), set()
+    encoder, seen = chunk_encoder(path, split), set()
     tail = np.array([end_id], "<i4").tobytes()
     for part, texts in text_blocks(batches, "text"):
         encoded = [e + tail for e in encoder.encode(texts)]
