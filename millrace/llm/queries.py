@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, licenses, near_dup, quality, secret_scan, tokenstore, warc
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, licenses, mixing, near_dup, quality, secret_scan, tokenstore, warc
 from millrace.llm.common import shared_dir, table
 
 
@@ -25,6 +27,12 @@ def op5_token_store(spark, sf_dir):
     return tokenstore.verify_store(spark, folder)
 
 
+def op6_mixing(spark, sf_dir):
+    mixed = mixing.mix_by_source(table(spark, sf_dir, "documents"))
+    taken = (F.col("times") * F.col("size")).alias("taken")
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken)
+
+
 def op7_secrets(spark, sf_dir):
     return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -40,7 +48,7 @@ def op9_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc}
+QUERIES = {"op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc}
 ORACLES = {"op2_licenses": licenses.ORACLE_SQL}
 
 
