@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, licenses, mixing, near_dup, quality, secret_scan, tokenstore, warc
+from millrace.llm import ann, bpe, licenses, mixing, near_dup, quality, secret_scan, tokenstore, warc
 from millrace.llm.common import shared_dir, table
 
 
@@ -48,7 +48,12 @@ def op9_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc}
+def op10_ann(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES = {"op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann}
 ORACLES = {"op2_licenses": licenses.ORACLE_SQL}
 
 
