@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, licenses, mixing, near_dup, quality, secret_scan, tokenstore, warc
+from millrace.llm import ann, bpe, licenses, mixing, near_dup, quality, secret_scan, substring, tokenstore, warc
 from millrace.llm.common import shared_dir, table
 
 
+def op1_substring(spark, sf_dir):
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_ann(spark, sf_dir):
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann}
+QUERIES = {"op1_substring": op1_substring, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann}
 ORACLES = {"op2_licenses": licenses.ORACLE_SQL}
 
 
