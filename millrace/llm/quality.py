@@ -158,7 +158,8 @@ def robust_distance(rows: DataFrame, *, share: float = SHARE, steps: int = 8) ->
     inner = chi2_quantile(1 - share, p)
     correction = share / (1 - chi2_upper(inner, p + 2))
     fit = rows.where("g IS NOT NULL AND NOT base_failed").select("g", *names)
-    long = fit.select("g", F.posexplode(F.array(*names)).alias("i", "x"))
+    coarse = lambda c: (F.floor(F.col(c) / 1000) * 1000).cast("long")  # noqa: E731  thousandths: a bounded number of values
+    long = fit.select("g", F.posexplode(F.array(*map(coarse, names))).alias("i", "x"))
     middle = materialize(_at_share(long, ["g", "i"], "x", 0.5, "mid"), "quality-mid")
     off = long.join(middle, ["g", "i"]).select("g", "i", F.abs(F.col("x") - F.col("mid")).alias("off"))
     scale = middle.join(_at_share(off, ["g", "i"], "off", 0.5, "mad"), ["g", "i"])
@@ -199,3 +200,14 @@ def judge(docs: DataFrame, *, tail: float = TAIL) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
     return far.select("doc_id", *counts, "base_failed", kept.alias("kept"), "d2", *(k for k in VECTOR), "g")
+
+
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Rows of equal doc_id, language, source and text share one verdict.
+    """
+    key = F.xxhash64("doc_id", "lang", "source", "text")
+    verdict = judge(docs.select(key.alias("doc_id"), "lang", "source", "text"), **options)
+    out = materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "quality-rejected")
+    return docs.join(out, key == F.col("key"), "left_anti")
