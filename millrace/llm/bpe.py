@@ -66,8 +66,11 @@ class ChunkEncoder:
         return [text]
 
     def _split_end(self, chunk: str) -> tuple[str, str]:
-        """A comma or full stop after a letter is a piece of its own in either kind of vocabulary."""
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha() and chunk[-2] < "\u0250":
+        """A comma or full stop after a letter is a piece of its own in either kind of vocabulary.
+
+        Only after letters that stay one letter in lower case, as that of U+0130 ends in a combining mark.
+        """
+        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha() and chunk[-2] < "\u0250" and len(chunk[-2].lower()) == 1:
             return chunk[:-1], chunk[-1]
         return chunk, ""
 

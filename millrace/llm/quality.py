@@ -210,4 +210,4 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     key = F.xxhash64("doc_id", "lang", "source", "text")
     verdict = judge(docs.select(key.alias("doc_id"), "lang", "source", "text"), **options)
     out = materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "quality-rejected")
-    return docs.join(out, key == F.col("key"), "left_anti")
+    return docs.join(out, key == out["key"], "left_anti")

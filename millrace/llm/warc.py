@@ -93,6 +93,8 @@ def write_warc(
     page_id are responses too, and a null page_id is smaller than any.  A null html
     is an empty payload.  Other columns are ignored.
     """
+    path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)  # also where there is nothing to write
     pages = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"))
     groups = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= least_bytes).groupBy("sha1")
     owners = groups.agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 AND owner IS NOT NULL")
