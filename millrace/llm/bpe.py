@@ -22,7 +22,7 @@ AGREE, WINDOW = 4, 32
 #: Characters next to a cut, and to a window's own ends, whose tokens never count as agreeing: they
 #: may lie in a special token, a contraction or a composed letter that the cut goes through.
 MARGIN = 24
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -53,7 +53,7 @@ class ChunkEncoder:
 
     _lead = re.compile(r"[ \t\n\r]*\S+|[ \t\n\r]+")
 
-    def __init__(self, path: str, split: str, limit: int = 700_000):
+    def __init__(self, path: str, split: str, limit: int = 350_000):
         self.library, self.split, self.limit, self.known = load(path), split, limit, {}
 
     def chunks(self, text: str) -> list[str]:
@@ -243,7 +243,7 @@ def _decode(batches, path: str):
     tokens = [library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))]
     for batch in batches:
         ids = batch.column("ids")
-        for lo, hi in slices(ids.value_lengths().fill_null(0).to_pylist(), 1_000_000):
+        for lo, hi in slices(ids.value_lengths().fill_null(0).to_pylist(), 400_000):
             lists = [x or [] for x in ids.slice(lo, hi - lo).to_pylist()]
             texts = [" ".join(map(tokens.__getitem__, x)) for x in lists] if plain else library.decode_batch(lists, skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays(
