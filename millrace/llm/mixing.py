@@ -108,7 +108,7 @@ def mix(
     ``members`` is an array of the names of the sources that a document belongs
     to (null: a source of its own, last in order), ``size`` its words.  Sources in
     code-point order have the ``weights``, repeating; together they get ``share``
-    times all words, none more than ``cap`` times its own.  Patterns of membership
+    times the words of all documents with members, none more than ``cap`` times its own.  Patterns of membership
     are routed to the sources on the driver; each pattern then takes whole passes
     over its documents, and for the rest the first slices of its seeded order,
     the last slice as far as documents fit.  ``target`` and ``source_size`` are the
