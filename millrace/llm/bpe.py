@@ -25,6 +25,11 @@ MARGIN = 24
 BLOCK_CHARS = 1_500_000
 
 
+#: Byte-level spelling: printable Latin-1 characters stand for their own bytes, the others are moved up from U+0100 on.
+_KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary file lies; any other path can be given to the operators instead."""
     import public_tokenizers
@@ -55,6 +60,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, split: str, limit: int = 350_000):
         self.library, self.split, self.limit, self.known = load(path), split, limit, {}
+        self._ends = {c: array("i", self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ("", ",", ".")}
 
     def chunks(self, text: str) -> list[str]:
         if self.split == "blank":
@@ -65,26 +71,46 @@ class ChunkEncoder:
             return found if "".join(found) == text else [text]
         return [text]
 
-    def _split_end(self, chunk: str) -> tuple[str, str]:
-        """A comma or full stop after a letter is a piece of its own in either kind of vocabulary.
+    def _piece(self, chunk: str) -> str | None:
+        """A chunk of plain letters, which is one piece, in the spelling that the merges use; None for others.
 
-        Only after letters that stay one letter in lower case, as that of U+0130 ends in a combining mark.
+        Letters up to U+0250 are composed already and stay one letter in lower case, but for U+0130.
         """
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha() and chunk[-2] < "\u0250" and len(chunk[-2].lower()) == 1:
-            return chunk[:-1], chunk[-1]
-        return chunk, ""
+        lead = self.split == "lead" and chunk[:1] == " "
+        word = chunk[1:] if lead else chunk
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
+            return None
+        if self.split == "blank":
+            word = word.lower()
+        return ("\u0120" if lead else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks that aren't remembered; those of usual length then are."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        halves = {c: self._split_end(c) for c in chunks}
-        new = list({h for both in halves.values() for h in both if h not in self.known})
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        ids = dict(zip(new, (array("i", f.ids).tobytes() for f in found)))
-        get = lambda h: ids[h] if h in ids else self.known[h]
-        out = {c: get(a) + get(b) for c, (a, b) in halves.items()}
-        self.known.update((k, v) for k, v in chain(ids.items(), out.items()) if len(k) <= 40)
+        """The ids of chunks that aren't remembered; then their words are, and on meeting a word again the chunk too.
+
+        A final comma or full stop after a letter is a piece of its own.  Plain
+        words go to the library's model at once, all other chunks through its
+        whole encoding.
+        """
+        known, tokenize, out, rest = self.known, self.library.model.tokenize, {}, []
+        if len(known) > self.limit:
+            known.clear()
+        for chunk in chunks:
+            end = chunk[-1:] if self.split and chunk[-1:] in (",", ".") else ""
+            core = chunk[:-1] if end else chunk
+            ids = known.get(core)
+            if ids is not None and end and core[-1:].isalpha() and core[-1] < "\u0250" and core[-1] != "\u0130":
+                out[chunk] = known[chunk] = ids + self._ends[end]
+            elif self.split and (piece := self._piece(core)):
+                ids = array("i", [t.id for t in tokenize(piece)]).tobytes()
+                if len(core) <= 40:
+                    known[core] = ids
+                out[chunk] = ids + self._ends[end]
+            else:
+                rest.append(chunk)
+        for chunk, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            out[chunk] = array("i", found.ids).tobytes()
+            if len(chunk) <= 40:
+                known[chunk] = out[chunk]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

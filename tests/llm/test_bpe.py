@@ -8,7 +8,7 @@ import pytest
 
 from millrace.llm import bpe, queries
 
-PIECES = ["a", "b", "the", "'", "s", "'s", "é", "é", " ", "  ", "\n", "\n\n", "\t", " ", "\x1c", "<|endoftext|>", "<|startoftext|>", "<|", "1", "23", "!", "...", "İ", "Σ", "ς", "日本", "🙂", "J̌", "\r\n", "===", ",", "."]
+PIECES = ["a", "b", "the", "'", "s", "'s", "é", "é", " ", "  ", "\n", "\n\n", "\t", " ", "\x1c", "<|endoftext|>", "<|startoftext|>", "<|", "1", "23", "!", "...", "İ", "Σ", "ς", "日本", "🙂", "J̌", "\r\n", "===", ",", ".", "Été", "ñandú.", "straße,", "ŉ", "ǅ", "ª", "Ⅳ", " Wörter", " plain"]
 KINDS = [("word_bpe_49k.json", "blank"), ("byte_bpe_50k.json", "lead")]
 
 
