@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
@@ -37,7 +38,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(4)
 def load(path: str):
+    """The library's tokenizer of a vocabulary file, once for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -217,15 +220,14 @@ def concatenate(library, text: str, cut: int, left: np.ndarray, right: np.ndarra
         reach *= 2
 
 
-def _join_pair(pdf: pd.DataFrame, path: str, cache: dict = {}) -> pd.DataFrame:  # noqa: B006
+def _join_pair(pdf: pd.DataFrame, path: str) -> pd.DataFrame:
     """Two neighbours become one node; a last node without neighbour stays."""
     pdf = pdf.sort_values("idx")
     first = pdf.iloc[0]
     if len(pdf) == 2:
-        library = cache.get(path) or cache.setdefault(path, load(path))
         sides = [np.stack([np.frombuffer(r[c], np.int32) for c in ("ids", "starts", "ends")], 1) for _, r in pdf.iterrows()]
         cut, text = len(first["text"]), first["text"] + pdf.iloc[1]["text"]
-        t = concatenate(library, text, cut, sides[0], sides[1] + np.array([0, cut, cut], np.int32))
+        t = concatenate(load(path), text, cut, sides[0], sides[1] + np.array([0, cut, cut], np.int32))
         first = first.copy()
         first[["text", "ids", "starts", "ends"]] = [text, *(np.ascontiguousarray(t[:, i]).tobytes() for i in range(3))]
     first["idx"] //= 2
