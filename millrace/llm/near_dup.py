@@ -133,8 +133,8 @@ def near_duplicates(
     Documents are linked when 100 * |A & B| >= percent * |A | B| on their sets of
     ``k``-word shingles.  Texts with equal sets count as one from the first step
     on, so exact copies never meet in pairs.  Each band bucket tests its members
-    against its smallest; members that this leaves outside the bucket's largest
-    component are then tested against all of it.  No bucket is dropped or capped.
+    against its smallest.  Members of buckets that then still hold more than one
+    component are settled by an exact prefix-filter join.  No bucket is dropped or capped.
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows
     that share a doc_id are one node.  A null doc_id takes no part: its
