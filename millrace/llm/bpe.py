@@ -24,6 +24,8 @@ AGREE, WINDOW = 4, 32
 #: may lie in a special token, a contraction or a composed letter that the cut goes through.
 MARGIN = 24
 BLOCK_CHARS = 1_500_000
+#: Chunks that a worker remembers; rows of an Arrow batch, which holds whole texts or their ids.
+REMEMBERED, BATCH_ROWS = 150_000, 1000
 
 
 #: Byte-level spelling: printable Latin-1 characters stand for their own bytes, the others are moved up from U+0100 on.
@@ -61,7 +63,7 @@ class ChunkEncoder:
 
     _lead = re.compile(r"[ \t\n\r]*\S+|[ \t\n\r]+")
 
-    def __init__(self, path: str, split: str, limit: int = 350_000):
+    def __init__(self, path: str, split: str, limit: int = 150_000):
         self.library, self.split, self.limit, self.known = load(path), split, limit, {}
         self._ends = {c: array("i", self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ("", ",", ".")}
 
@@ -124,12 +126,10 @@ class ChunkEncoder:
         return [b"".join(new[c] if ids is None else ids for c, ids in zip(p, f)) if None in f else b"".join(f) for p, f in zip(parts, found)]
 
 
-_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
-
-
-def chunk_encoder(path: str, split: str) -> ChunkEncoder:
+@functools.lru_cache(4)
+def chunk_encoder(path: str, split: str, limit: int) -> ChunkEncoder:
     """The encoder of this Python worker, which goes on from task to task with what it remembers."""
-    return _ENCODERS.get((path, split)) or _ENCODERS.setdefault((path, split), ChunkEncoder(path, split))
+    return ChunkEncoder(path, split, limit)
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:
@@ -146,7 +146,7 @@ def text_blocks(batches, column: str):
 
 
 def _encode(batches, path: str, split: str):
-    encoder = chunk_encoder(path, split)
+    encoder = chunk_encoder(path, split, REMEMBERED)
     for part, texts in text_blocks(batches, "text"):
         yield pa.RecordBatch.from_arrays([part.column(0), id_lists(encoder.encode(texts))], ["doc_id", "ids"])
 
@@ -245,8 +245,11 @@ def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHA
     Texts up to ``long_chars`` are encoded where they are read.  Longer ones are cut
     into leaves, which spread over the tasks, and neighbours are joined level by
     level.  Null and empty texts have no ids; rows with a null or repeated doc_id
-    are encoded like any other; other columns are ignored.
+    are encoded like any other; other columns are ignored.  The session's Arrow
+    batches are held to ``BATCH_ROWS`` rows, as several workers of an executor
+    keep one each.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = docs.select("doc_id", "text")
     short = docs.where(f"text IS NULL OR length(text) <= {long_chars}")
     short = short.mapInArrow(lambda it: _encode(it, path, split), "doc_id long, ids array<int>")

@@ -15,7 +15,7 @@ from millrace.llm.common import materialize
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, 20240501
 #: Documents that share a slice of a pattern's seeded order; a slice is the most that one task gathers.
-SLICE = 4096
+SLICE = 512
 #: Membership patterns that the driver routes; they are combinations of sources, so they don't grow with the documents.
 MAX_PATTERNS = 200_000
 _SEP, _NULL, _SOME = "\x01", "-", "="

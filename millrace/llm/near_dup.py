@@ -19,7 +19,7 @@ SHINGLE, PERCENT = 3, 85
 #: Cells of the table that orders shingles by their counts: its size bounds what is broadcast (8 MB).
 ORDER_CELLS = 1 << 20
 #: Words taken together by the vectorised code: bounds a task's memory whatever the batch.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 500_000
 
 
 def shingle_sets(texts: list[bytes | None], hashes: WordHash, k: int) -> list[np.ndarray]:
@@ -255,7 +255,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     kept = near_duplicates(docs, **options).where("kept").select("doc_id")
     once = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "near-kept")
-    out = docs.join(once.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(once.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if once.where("n > 1").isEmpty():
         return out
     rest = [c for c in docs.columns if c != "doc_id"]

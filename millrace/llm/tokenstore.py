@@ -28,6 +28,9 @@ from millrace.llm.common import mix
 #: Mean, least and most ids of a chunk; ids that the rolling hash spans.
 MEAN, LEAST, MOST, SPAN = 512, 64, 4096, 16
 
+#: Chunks of text that a worker remembers the ids of.
+REMEMBERED = 350_000
+
 LANDED = "key long, digest binary, n int, ids binary, doc_id long, n_tokens long, root binary, digests array<binary>, lens array<int>"
 _SCHEMA = pa.schema(
     [
@@ -82,7 +85,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _land(batches, path: str, split: str, end_id: int):
-    encoder, seen = chunk_encoder(path, split), set()
+    encoder, seen = chunk_encoder(path, split, REMEMBERED), set()
     tail = np.array([end_id], "<i4").tobytes()
     for part, texts in text_blocks(batches, "text"):
         encoded = [e + tail for e in encoder.encode(texts)]
