@@ -29,7 +29,7 @@ from millrace.llm.common import mix
 MEAN, LEAST, MOST, SPAN = 512, 64, 4096, 16
 
 #: Chunks of text that a worker remembers the ids of.
-REMEMBERED = 350_000
+REMEMBERED = 700_000
 
 LANDED = "key long, digest binary, n int, ids binary, doc_id long, n_tokens long, root binary, digests array<binary>, lens array<int>"
 _SCHEMA = pa.schema(
