@@ -19,6 +19,9 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 2, 3
 #: Least words of a paragraph; words after which a sentence that doesn't end is cut.
 LEAST, MOST = 24, 88
+#: Each ``WINDOW`` places hold the start of a paragraph of ``SHORT`` words at most, whatever the text.  As WINDOW + SHORT
+#: is below 51, each run of 51 words holds a paragraph that depends on the run's own words alone.
+WINDOW, SHORT = 18, 32
 #: One word in so many ends a sentence whatever its punctuation, so that texts without any are cut by content too.
 BREAK = 64
 BLOCK_WORDS = 1_500_000
@@ -40,10 +43,12 @@ class Block:
     """The words of some texts in one array, and their paragraphs.
 
     A paragraph begins where a sentence does and ends with the sentence that
-    brings it to ``LEAST`` words; it has ``MOST`` words at most.
+    brings it to ``LEAST`` words; it has ``MOST`` words at most.  Where no short one
+    begins within ``WINDOW`` words, line ends aside, one of ``LEAST`` words begins at
+    the window's least shingle hash.  The last ``LEAST`` words of a text are one too.
     """
 
-    def __init__(self, texts: list[bytes | None], hashes: _Words):
+    def __init__(self, texts: list[bytes | None], hashes: _Words, cut: bool = True):
         words, counts, line_ends, n = [], [], [], 0
         for text in texts:
             before = n
@@ -56,18 +61,53 @@ class Block:
             counts.append(n - before)
         self.hash = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
         self.ends_of_docs = np.cumsum(counts)
-        self._paragraphs(np.array(line_ends, np.int64), np.array(counts))
-
-    def _paragraphs(self, line_ends: np.ndarray, counts: np.ndarray):
-        ends = np.union1d(np.flatnonzero(self.hash & np.uint64(1)) + 1, line_ends)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        self.doc = np.searchsorted(self.ends_of_docs, starts, side="right")
+        self.counts = np.array(counts, np.int64)
+        if cut:
+            self._paragraphs(np.array(line_ends, np.int64))
+
+    def _paragraphs(self, line_ends: np.ndarray):
+        own = np.flatnonzero(self.hash & np.uint64(1)) + 1
+        filled = self.counts > 0
+        start, stop = self._sentences(np.union1d(own, line_ends))
+        plain, plain_stop = self._sentences(np.union1d(own, self.ends_of_docs[filled]))
+        short = plain_stop - plain <= SHORT
+        picked = self._winnowed(plain[short])
+        tails = self.ends_of_docs[self.counts >= LEAST]
+        start = np.concatenate([start, plain[short], picked, tails - LEAST])
+        stop = np.concatenate([stop, plain_stop[short], picked + LEAST, tails])
+        self.start, n = np.divmod(np.unique(start * (MOST + 1) + stop - start), MOST + 1)
+        self.stop = self.start + n
+        self.doc = np.searchsorted(self.ends_of_docs, self.start, side="right")
+        self.first = (self.ends_of_docs - self.counts)[self.doc]
+
+    def _sentences(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paragraphs between the given ends of sentences, those of texts among them."""
+        if not len(ends):
+            return ends.astype(np.int64), ends.astype(np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         at = np.searchsorted(ends, starts + LEAST)
-        stop = np.where(at < len(ends), ends[np.minimum(at, len(ends) - 1)] if len(ends) else 0, np.iinfo(np.int64).max)
+        stop = np.where(at < len(ends), ends[np.minimum(at, len(ends) - 1)], np.iinfo(np.int64).max)
         stop = np.minimum(stop, starts + MOST)
-        fits = stop <= (self.ends_of_docs[self.doc] if len(starts) else 0)
-        self.start, self.stop, self.doc = starts[fits], stop[fits], self.doc[fits]
-        self.first = (self.ends_of_docs - counts)[self.doc]
+        fits = stop <= self.ends_of_docs[np.searchsorted(self.ends_of_docs, starts, side="right")]
+        return starts[fits], stop[fits]
+
+    def _winnowed(self, begun: np.ndarray) -> np.ndarray:
+        """Of each window of places within a text in which no place of ``begun`` lies, the one of the least shingle hash."""
+        n = len(self.hash)
+        runs = np.zeros(n + 1, np.int64)
+        runs[begun + 1] = 1
+        runs = np.cumsum(runs)
+        last = np.repeat(self.ends_of_docs, self.counts) - LEAST - WINDOW + 1
+        at = np.flatnonzero(np.arange(n) <= last)
+        at = at[runs[at + WINDOW] == runs[at]]
+        if not len(at):
+            return at
+        values = self.shingles()
+        picked, least = at.copy(), values[at]
+        for i in range(1, WINDOW):
+            less = values[at + i] < least
+            picked[less], least[less] = at[less] + i, values[at[less] + i]
+        return np.unique(picked)
 
     def shingles(self) -> np.ndarray:
         n = len(self.hash) - SHINGLE + 1
@@ -153,7 +193,7 @@ def _sets(batches):
         wanted = batch.column("wanted").to_pylist()
         texts = batch.column("text").cast(pa.binary())
         for i, places in enumerate(wanted):
-            block = Block(texts.slice(i, 1).to_pylist(), hashes)
+            block = Block(texts.slice(i, 1).to_pylist(), hashes, cut=False)
             shingles = block.shingles().astype(np.uint32)
             found = [np.unique(shingles[p["start"] : p["start"] + p["n"] - SHINGLE + 1]).tobytes() for p in places]
             yield pa.RecordBatch.from_arrays([pa.array([p["cls"] for p in places], pa.int64()), pa.array(found, pa.binary())], ["cls", "shingles"])

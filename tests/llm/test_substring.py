@@ -72,3 +72,32 @@ def test_blocks_agree(spark, monkeypatch):
 
 def test_empty_table(none):
     assert substring.repeated_passages(none).collect() == []
+
+
+def test_every_run_of_51_words_holds_a_paragraph_of_its_own():
+    """Runs at random places, with and without punctuation, in texts of other wrapping: some paragraph is found in both."""
+    rnd = random.Random(21)
+    for trial in range(300):
+        run = prose(rnd, 51)
+        run = run.replace(".", "") if trial % 3 else run
+        texts = []
+        for _ in range(2):
+            w = f"{prose(rnd, rnd.randint(0, 150))} {run} {prose(rnd, rnd.randint(0, 150))}".split()
+            if trial % 3 == 1:
+                w = [x.strip(".") for x in w]
+            step = rnd.choice([7, 13, 1000])
+            texts.append("\n".join(" ".join(w[i : i + step]) for i in range(0, len(w), step)).encode())
+        block = substring.Block(texts, substring._Words())
+        cls = block.classes()
+        assert set(cls[block.doc == 0]) & set(cls[block.doc == 1]), trial
+
+
+def test_every_word_lies_in_a_paragraph():
+    rnd = random.Random(22)
+    texts = [prose(rnd, n).replace(".", "" if n % 2 else ".").encode() for n in range(24, 300)]
+    block = substring.Block(texts, substring._Words())
+    held = set()
+    for a, b in zip(block.start, block.stop):
+        held.update(range(a, b))
+    assert held == set(range(len(block.hash)))
+    assert all(24 <= b - a <= 88 for a, b in zip(block.start, block.stop))
