@@ -234,7 +234,11 @@ def _cross_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     shared = spark.sparkContext.broadcast(counts)
     schema = "doc_id long, comp long, n long, token long, rest long"
     rows = materialize(open_texts.mapInArrow(lambda it: _prefixes(it, k, percent, shared), schema), "near-prefixes")
+    return prefix_pairs(rows, percent)
 
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that meet at a token of both prefixes (doc_id, comp, n, token, rest)."""
     enough = lambda a, b: f"{100 + percent} * least({a}.rest, {b}.rest) >= {percent} * ({a}.n + {b}.n)"
     longest = rows.groupBy("token", "n", "comp").agg(F.max("rest").alias("rest"))
     first = longest.groupBy("token", "n").agg(F.max_by("comp", F.struct("rest", "comp")).alias("comp"), F.max("rest").alias("rest"))

@@ -12,11 +12,11 @@ from pyspark.sql.window import Window
 
 from millrace.llm.common import M1, M2, M3, materialize, mix, slices
 from millrace.llm.components import connected_components
+from millrace.llm.near_dup import ORDER_CELLS, prefix_pairs
 
 SHINGLE, PERCENT = 5, 80
-#: Two bands of three minima find a paragraph at similarity 0.8 with probability 0.76, and always its exact copy.
-#: Paragraphs slide by sentences, so a passage of over 50 words is met about three times: 0.986 together.
-BANDS, ROWS = 2, 3
+#: Three bands of one minimum find a paragraph at similarity 0.8 with probability 0.992, and always its exact copy.
+BANDS, ROWS = 3, 1
 #: Least words of a paragraph; words after which a sentence that doesn't end is cut.
 LEAST, MOST = 24, 88
 #: Each ``WINDOW`` places hold the start of a paragraph of ``SHORT`` words at most, whatever the text.  As WINDOW + SHORT
@@ -117,6 +117,20 @@ class Block:
             out ^= out >> np.uint64(29)
         return mix(out)
 
+    def sizes(self, shingles: np.ndarray) -> np.ndarray:
+        """The distinct shingles of each paragraph: its places, less those that repeat an earlier one of its own."""
+        order = np.argsort(shingles, kind="stable")
+        same = np.flatnonzero(shingles[order[1:]] == shingles[order[:-1]])
+        close = same[order[same + 1] - order[same] < MOST]
+        close = close[np.argsort(order[close + 1])]
+        again, before = order[close + 1], order[close]
+        out = self.stop - self.start - SHINGLE + 1
+        lo, hi = np.searchsorted(again, self.start), np.searchsorted(again, self.stop - SHINGLE + 1)
+        for i in range(int((hi - lo).max(initial=0))):
+            at = np.flatnonzero(lo + i < hi)
+            out[at] -= before[lo[at] + i] >= self.start[at]
+        return out
+
     def classes(self) -> np.ndarray:
         """A hash of each paragraph's words, from running sums of a polynomial modulo 2^64."""
         base = int(M2) | 1
@@ -126,22 +140,21 @@ class Block:
         runs = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mix(self.hash) * up[:-1])])
         return mix((runs[self.stop] - runs[self.start]) * down[self.start] + (self.stop - self.start).astype(np.uint64) * M1).view(np.int64)
 
-    def keys(self) -> list[np.ndarray]:
-        padded = np.append(self.shingles(), np.uint64(0))
+    def keys(self, shingles: np.ndarray) -> list[np.ndarray]:
+        padded = np.append(shingles, np.uint64(0))
         bounds = np.stack([self.start, self.stop - SHINGLE + 1], 1).ravel()
         draw = np.random.default_rng(20240502).integers(0, 2**64, (BANDS * ROWS, 2), np.uint64)
         out = []
         for b in range(BANDS):
             h = np.full(len(self.start), b + 1, np.uint64)
             for a, c in draw[b * ROWS : (b + 1) * ROWS]:
-                hashed = ((padded * (a | np.uint64(1)) + c) >> np.uint64(32)).astype(np.uint32)
-                h = mix(h * M3 + np.minimum.reduceat(hashed, bounds)[::2])
+                h = mix(h * M3 + np.minimum.reduceat(padded * (a | np.uint64(1)) + c, bounds)[::2])
             out.append(h.view(np.int64))
         return out
 
 
 _MORE = np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("n", "<i4")])
-FOUND = "key long, cls long, doc_id long, start int, n int, hi long, more binary"
+FOUND = "key long, cls long, doc_id long, start int, n int, size int, hi long, more binary"
 
 
 def _blocks(batches, hashes: _Words):
@@ -159,7 +172,9 @@ def _find(batches):
             continue
         docs = part.column("doc_id").to_numpy()[block.doc]
         start, n, cls = (block.start - block.first).astype("i4"), (block.stop - block.start).astype("i4"), block.classes()
-        for key in block.keys():
+        shingles = block.shingles()
+        size = block.sizes(shingles).astype("i4")
+        for key in block.keys(shingles):
             order = np.lexsort((start, docs, cls, key))
             new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(cls[order]) != 0))
             heads, ends = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(order))
@@ -170,8 +185,8 @@ def _find(batches):
                 packed["doc_id"], packed["start"], packed["n"] = docs[rest], start[rest], n[rest]
                 more[i] = packed.tobytes()
             first, last = order[heads], order[ends - 1]
-            columns = [key[first], cls[first], docs[first], start[first], n[first], docs[last]]
-            names = ["key", "cls", "doc_id", "start", "n", "hi", "more"]
+            columns = [key[first], cls[first], docs[first], start[first], n[first], size[first], docs[last]]
+            names = ["key", "cls", "doc_id", "start", "n", "size", "hi", "more"]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more, pa.binary())], names)
 
 
@@ -209,6 +224,61 @@ def _verified(batches, percent: int):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
+def _cell_counts(batches):
+    """How many of the shingles of the batches fall to each cell of the order table."""
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint32)
+        cells, counts = np.unique(flat % np.uint32(ORDER_CELLS), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype("i8")), pa.array(counts)], ["cell", "n"])
+
+
+def _prefixes(batches, percent: int, table):
+    """A set's rarest shingles, as many as must hold one that any near enough set holds too."""
+    counts = table.value
+    for batch in batches:
+        sets = [np.frombuffer(b, np.uint32) for b in batch.column("shingles").to_pylist()]
+        if not sets:
+            continue
+        tokens, sizes = [], np.array([len(s) for s in sets])
+        for s in sets:
+            order = np.lexsort((s, counts[s % np.uint32(ORDER_CELLS)]))
+            tokens.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].astype("i8"))
+        m = [len(t) for t in tokens]
+        rest = np.concatenate([n - np.arange(k) for n, k in zip(sizes, m)])
+        columns = [np.repeat(batch.column(c).to_numpy(), m) for c in ("cls", "comp")]
+        columns += [np.repeat(sizes, m), np.concatenate(tokens), rest]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "comp", "n", "token", "rest"])
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose shingle sets are near enough."""
+    side = lambda c, s: sets.select(F.col("cls").alias(c), F.col("shingles").alias(s))
+    wide = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    wide = wide.where(f"100 * least(length(a), length(b)) >= {percent} * greatest(length(a), length(b))")
+    return wide.mapInArrow(lambda it: _verified(it, percent), "u long, v long")
+
+
+def _missed(starred: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that may be near enough of classes that met the same firsts but lie in different components.
+
+    Every class of a bucket was compared with the bucket's first; two others of
+    different components were not compared yet.
+    """
+    own = components.select(F.col("node").alias("cls"), "component")
+    placed = starred.join(own, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    nodes = placed.join(mixed, "key").select("cls", "comp").distinct()
+    cells = sets.mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(ORDER_CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    schema = "doc_id long, comp long, n long, token long, rest long"
+    rows = nodes.join(sets, "cls").mapInArrow(lambda it: _prefixes(it, percent, shared), schema)
+    token = Window.partitionBy("token")
+    rows = rows.withColumns({"lo": F.min("comp").over(token), "hi": F.max("comp").over(token)}).where("lo < hi").drop("lo", "hi")
+    return prefix_pairs(materialize(rows, "substring-prefixes"), percent)
+
+
 def _merged(batches):
     """Per document: its repeated paragraphs, and the word ranges to remove, joined where they touch."""
     for batch in batches:
@@ -250,7 +320,9 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     put together before the shuffle, so a paragraph that every document holds is
     one row for each block.  Classes that meet in a band bucket are linked to the
     bucket's first and verified by the Jaccard similarity of their five-word
-    shingles; classes linked at ``percent`` or more form components.  A component
+    shingles; classes linked at ``percent`` or more form components.  Classes of
+    buckets that then still hold several components are settled by an exact
+    prefix-filter join.  A component
     found in two documents or more is a repeat: the document with the smallest
     doc_id keeps its places, all others are removed.  Ranges are in words, from 0.
 
@@ -261,25 +333,30 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     rows = docs.mapInArrow(_find, FOUND)
     by_key = Window.partitionBy("key")
-    first = F.first(F.struct("cls", "doc_id", "start", "n")).over(by_key.orderBy("doc_id", "start", "cls"))
+    first = F.first(F.struct("cls", "doc_id", "start", "n", "size")).over(by_key.orderBy("doc_id", "start", "cls"))
     rows = rows.withColumns({"lo": F.min("doc_id").over(by_key), "top": F.max("hi").over(by_key), "pivot": first})
-    met = materialize(rows.where("lo < top").drop("lo", "top", "hi", "key"), "substring-met")
+    met = materialize(rows.where("lo < top").drop("lo", "top", "hi"), "substring-met")
 
-    edges = met.where("cls <> pivot.cls AND 100 * least(n - 4, pivot.n - 4) >= %d * greatest(n - 4, pivot.n - 4)" % percent)
     place = lambda d, s, n: F.min(F.struct(F.col(d).alias("doc_id"), F.col(s).alias("start"), F.col(n).alias("n")))
+    starred = met.where("cls <> pivot.cls")
+    edges = starred.where(f"100 * least(size, pivot.size) >= {percent} * greatest(size, pivot.size)")
     edges = edges.groupBy(F.col("cls").alias("u"), F.col("pivot.cls").alias("v")).agg(
         place("doc_id", "start", "n").alias("pu"), place("pivot.doc_id", "pivot.start", "pivot.n").alias("pv")
     )
     edges = materialize(edges, "substring-edges")
+    several = starred.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+    several = materialize(starred.drop("pivot", "more", "size").join(several, "key"), "substring-several")
     ends = edges.select(F.col("u").alias("cls"), F.col("pu").alias("p")).unionByName(edges.select(F.col("v").alias("cls"), F.col("pv").alias("p")))
+    ends = ends.unionByName(several.select("cls", F.struct("doc_id", "start", "n").alias("p")))
     ends = ends.groupBy("cls").agg(F.min("p").alias("p")).select("cls", "p.*")
     wanted = ends.groupBy("doc_id").agg(F.collect_list(F.struct("cls", "start", "n")).alias("wanted"))
     sets = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "cls long, shingles binary")
     sets = materialize(sets, "substring-sets")
-    side = lambda c, s: sets.select(F.col("cls").alias(c), F.col("shingles").alias(s))
-    pairs = edges.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v")
-    links = pairs.mapInArrow(lambda it: _verified(it, percent), "u long, v long")
+    links = materialize(_near(edges.select("u", "v"), sets, percent), "substring-links")
     components = materialize(connected_components(links, "substring-stars"), "substring-components")
+    more = materialize(_near(_missed(several.select("key", "cls"), components, sets, percent), sets, percent), "substring-more")
+    if not more.isEmpty():
+        components = materialize(connected_components(links.unionByName(more), "substring-all"), "substring-settled")
 
     places = met.select("cls", "doc_id", "start", "n", "more").mapInArrow(_places, "cls long, doc_id long, start int, n int").distinct()
     places = places.join(components.withColumnRenamed("node", "cls"), "cls", "left")

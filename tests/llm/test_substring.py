@@ -101,3 +101,42 @@ def test_every_word_lies_in_a_paragraph():
         held.update(range(a, b))
     assert held == set(range(len(block.hash)))
     assert all(24 <= b - a <= 88 for a, b in zip(block.start, block.stop))
+
+
+def test_near_passages_are_linked_as_by_all_pairs(spark):
+    """Families of boilerplate: pairs at 0.8 are found though most of their bucket is less similar, and singly held."""
+    rnd = random.Random(23)
+    made, pairs = [], []
+    for family in range(25):
+        base = prose(rnd, 60).replace(".", "").split()
+        for _ in range(6):
+            w = list(base)
+            for at in rnd.sample(range(60), 3):
+                w[at] = "".join(rnd.choice("klmnop") for _ in range(6))
+            near = list(w)
+            near[rnd.choice([0, 59])] = "".join(rnd.choice("qrstuv") for _ in range(6))
+            pairs.append((len(made), len(made) + 1))
+            made += [(len(made), " ".join(w)), (len(made) + 1, " ".join(near))]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: set(r["components"]) for r in substring.repeated_passages(df).collect()}
+    assert all(got.get(a, set()) & got.get(b, set()) for a, b in pairs)
+
+
+def test_one_paragraph_at_80_percent_is_found(spark):
+    """Texts of one paragraph (24 words) whose copies have other words at the ends: similarity 18/22."""
+    rnd = random.Random(24)
+    made = []
+    for i in range(600):
+        w = prose(rnd, 26).replace(".", "").split()
+        made += [(2 * i, " ".join(w[:24])), (2 * i + 1, " ".join(w[2:]))]
+    got = {r["doc_id"] for r in substring.repeated_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert len(got) >= 0.97 * len(made)
+
+
+def test_distinct_shingles_are_counted():
+    rnd = random.Random(25)
+    texts = [" ".join(rnd.choice("ab") if n % 3 else "x" for _ in range(n)).encode() for n in range(24, 200)]
+    block = substring.Block(texts, substring._Words())
+    shingles = block.shingles()
+    want = [len(set(shingles[a : b - 4])) for a, b in zip(block.start, block.stop)]
+    assert block.sizes(shingles).tolist() == want
