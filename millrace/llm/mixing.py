@@ -97,7 +97,56 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     for size in pdf["size"]:
         taken.append(size <= left)
         left -= size if size <= left else 0
-    return pdf.loc[taken, ["pattern", "h", "doc_id"]]
+    return pdf.loc[taken, ["pattern", "h", "doc_id", "slice", "size"]]
+
+
+_CHOSEN = "pattern string, h long, doc_id long, slice long, size long"
+
+
+def _border(rows: DataFrame) -> DataFrame:
+    """(pattern, border, before) of ``rows`` (pattern, slice, size, left): the first slice that ends beyond what is left."""
+    sums = rows.groupBy("pattern", "slice", "left").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("slice"))
+    last = sums.withColumn("upto", upto).where("upto > left").groupBy("pattern").agg(F.min(F.struct("slice", "upto", "words")).alias("s"))
+    return last.select("pattern", F.col("s.slice").alias("border"), (F.col("s.upto") - F.col("s.words")).alias("before"))
+
+
+def _filled(edge: DataFrame) -> DataFrame:
+    """The documents that ``_fill`` takes of the border slices (pattern, h, doc_id, slice, size, left)."""
+    return materialize(edge.groupBy("pattern").applyInPandas(_fill, _CHOSEN), "mix-chosen")
+
+
+def _left_over(start: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(pattern, left, after): what the documents of the border slices left of ``start`` (pattern, border, left)."""
+    used = chosen.groupBy("pattern").agg(F.sum("size").alias("used"))
+    left = F.col("left") - F.coalesce("used", F.lit(0))
+    return materialize(start.join(used, "pattern", "left").select("pattern", left.alias("left"), F.col("border").alias("after")), "mix-left")
+
+
+def _rest(small: DataFrame, state: DataFrame) -> DataFrame:
+    """What is taken after the border slices: the seeded order goes on until no document fits into what is left.
+
+    Each round takes whole slices of the documents that fit, up to a border
+    slice, which is filled and leaves less than one of its documents.  As the order
+    is independent of sizes, few rounds are needed.
+    """
+    rows = small.groupBy("pattern", "h", "doc_id", "slice").agg(F.sum("size").alias("size"))
+    chosen = None
+    while True:
+        fits = "slice > after AND size > 0 AND size <= left"
+        rows = materialize(rows.join(state, "pattern").where(fits).drop("after"), "mix-rest")
+        if rows.isEmpty():
+            return chosen
+        last = materialize(_border(rows), "mix-border")
+        placed = rows.join(last, "pattern", "left")
+        edge = placed.where("slice = border").withColumn("left", F.col("left") - F.col("before"))
+        filled = _filled(edge.drop("border", "before"))
+        whole = placed.where("border IS NULL OR slice < border").select("pattern", "h", "doc_id", "slice", "size")
+        both = whole.unionByName(filled)
+        chosen = both if chosen is None else chosen.unionByName(both)
+        start = rows.groupBy("pattern").agg(F.min("left").alias("left")).join(last, "pattern")
+        start = start.select("pattern", "border", (F.col("left") - F.col("before")).alias("left"))
+        state, rows = _left_over(start, filled), rows.drop("left")
 
 
 def mix(
@@ -110,8 +159,8 @@ def mix(
     code-point order have the ``weights``, repeating; together they get ``share``
     times the words of all documents with members, none more than ``cap`` times its own.  Patterns of membership
     are routed to the sources on the driver; each pattern then takes whole passes
-    over its documents, and for the rest the first slices of its seeded order,
-    the last slice as far as documents fit.  ``target`` and ``source_size`` are the
+    over its documents, and for the rest the first slices of its seeded order, and
+    of those that follow every document that still fits.  ``target`` and ``source_size`` are the
     first member's.  No document is taken more than ``cap`` times; one without
     members is never taken.  Repeated rows of a doc_id are taken together.  The
     result depends on the rows and the seed alone, not on their order.
@@ -148,21 +197,26 @@ def mix(
     where = F.floor(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) * F.col("slices"))
     small = work.select("pattern", "doc_id", "size", "h").join(plan.where("left > 0"), "pattern").withColumn("slice", where)
     small = materialize(small.select("pattern", "doc_id", "size", "h", "slice", "left"), "mix-sizes")
-    sums = small.groupBy("pattern", "slice", "left").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("slice"))
-    last = sums.withColumn("upto", upto).where("upto > left").groupBy("pattern").agg(F.min(F.struct("slice", "upto", "words")).alias("s"))
-    last = last.select("pattern", F.col("s.slice").alias("border"), (F.col("s.upto") - F.col("s.words")).alias("before"))
-    edge = small.join(last, "pattern").where("slice = border").groupBy("pattern", "h", "doc_id")
+    last = materialize(_border(small), "mix-border")
+    edge = small.join(last, "pattern").where("slice = border").groupBy("pattern", "h", "doc_id", "slice")
     edge = edge.agg(F.sum("size").alias("size"), F.min(F.col("left") - F.col("before")).alias("left"))
-    chosen = materialize(edge.groupBy("pattern").applyInPandas(_fill, "pattern string, h long, doc_id long"), "mix-chosen")
+    chosen = _filled(edge)
+    start = plan.join(last, "pattern").select("pattern", "border", (F.col("left") - F.col("before")).alias("left"))
+    later = small.drop("left").join(last.drop("before"), "pattern").where("slice > border").drop("border")
+    more_chosen = _rest(later, _left_over(start, chosen))
+    if more_chosen is not None:
+        chosen = chosen.unionByName(more_chosen)
 
     wide = work.join(plan.join(last.drop("before"), "pattern", "left"), "pattern").withColumn("slice", where)
     more = F.col("left") > 0
-    inner = wide.where(~more | (F.col("slice") != F.coalesce("border", F.lit(-1))))
+    # one row for SLICE documents at most, so that texts move only where a slice is taken in part
+    parted = chosen.select("pattern", "slice").unionByName(last.select("pattern", F.col("border").alias("slice"))).distinct()
+    wide = wide.join(F.broadcast(parted.withColumn("parted", F.lit(True))), ["pattern", "slice"], "left")
+    inner = wide.where("parted IS NULL")
     inner = inner.withColumn("times", F.col("passes") + F.when(more & (F.col("slice") < F.col("border")), 1).otherwise(0))
     picked = chosen.select(F.col("pattern").alias("p"), F.col("h").alias("ph"), F.col("doc_id").alias("pd"), F.lit(1).alias("one"))
     same = (F.col("pattern") == F.col("p")) & (F.col("h") == F.col("ph")) & F.col("doc_id").eqNullSafe(F.col("pd"))
-    outer = wide.where(more & (F.col("slice") == F.col("border"))).join(picked, same, "left")
+    outer = wide.where("parted").join(picked, same, "left")
     outer = outer.withColumn("times", F.col("passes") + F.coalesce("one", F.lit(0)))
     columns = ["row", "size", "members", "target", "source_size", "times"]
     return inner.select(*columns).unionByName(outer.select(*columns))

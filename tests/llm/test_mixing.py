@@ -93,3 +93,31 @@ def test_take_and_query(spark, docs, none, rows, tmp_path):
     with_words = [r for r in out.collect() if re.search(r"[^\x20\x09-\x0D]", r["text"] or "")]
     assert len(got) == len(rows) and len(with_words) == sum(r["taken"] // r["size"] for r in got if r["size"])
     assert mixing.take(mixing.mix_by_source(none)).collect() == []
+
+
+def test_a_giant_document_leaves_no_gap(spark, monkeypatch):
+    """Wherever the giant falls in the seeded order, later slices fill what it doesn't take; also for repeated rows."""
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    rnd = random.Random(11)
+    made = [(i, rnd.randint(100, 300), "a") for i in range(500)] + [(i, rnd.randint(100, 300), "b") for i in range(1000, 1500)]
+    made += [(2000, 60_000, "b"), (1003, 250, "b"), (1003, 120, "b"), (None, 130, "b")]
+    df = spark.createDataFrame(made, "doc_id long, n long, source string")
+    for seed in (4, 5, 6):
+        got = mixing.mix(df, members=F.array("source"), size=F.col("n"), weights=(1, 1), share=0.7, seed=seed).collect()
+        assert len(got) == len(made)
+        taken, least, times = defaultdict(int), {}, defaultdict(set)
+        for r in got:
+            s = r["row"]["source"]
+            taken[s] += r["times"] * r["size"]
+            times[r["row"]["doc_id"]].add(r["times"])
+        groups = defaultdict(int)
+        for i, n, s in made:
+            groups[(s, i)] += n
+        low = {s: min(max(times[i]) for t, i in groups if t == s) for s in "ab"}
+        for (s, i), n in groups.items():
+            if max(times[i]) == low[s]:
+                least[s] = min(least.get(s, n), n)
+        assert all(len(t) == 1 for t in times.values())
+        for r in got:
+            s = r["row"]["source"]
+            assert r["target"] + 1 >= taken[s] > r["target"] - least[s] - 1, (seed, s, taken[s], r["target"])
