@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import codecs
 import re
 import zlib
 
@@ -23,6 +24,12 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 _URL, _UNICODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, as MIME, PEM and the base64 command write it.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_BREAK = re.compile(r"[\s]+")
+#: Secrets and encoded runs are ASCII, so this much of a run's bytes is what may hold one.
+_ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{8,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 #: A compressed layer that inflates beyond this many bytes stays closed and is counted.
 MAX_LAYER = 64_000_000
 
@@ -87,24 +94,56 @@ def _strict(data: bytes, encoding: str) -> str | None:
         return None
 
 
+def _keep_url(e):
+    return "".join(f"%{x:02X}" for x in e.object[e.start : e.end]), e.end
+
+
+def _keep_unicode(e):
+    return "\\u" + e.object[e.start : e.start + 2].hex(), e.start + 2
+
+
+codecs.register_error("secret-keep-url", _keep_url)
+codecs.register_error("secret-keep-unicode", _keep_unicode)
+
+
 def _from_url(run: str) -> str | None:
-    return _strict(bytes.fromhex(run.replace("%", "")), "utf-8")
+    new = bytes.fromhex(run.replace("%", "")).decode("utf-8", "secret-keep-url")
+    return None if new.upper() == run.upper() else new
 
 
 def _from_unicode(run: str) -> str | None:
-    return _strict(bytes.fromhex(run.replace("\\u", "")), "utf-16-be")
+    new = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "secret-keep-unicode")
+    return None if new.upper() == run.upper() else new
 
 
 def _inflated(data: bytes, most: int) -> bytes | None:
-    """What gzip or zlib data holds; None if it isn't that; ValueError beyond ``most`` bytes."""
-    unpack = zlib.decompressobj(47)
-    try:
-        out = unpack.decompress(data, most + 1)
-    except zlib.error:
+    """What gzip (all members) or zlib data holds; None if it isn't that; ValueError beyond ``most`` bytes."""
+    out = b""
+    while True:
+        unpack = zlib.decompressobj(47)
+        try:
+            out += unpack.decompress(data, most + 1 - len(out))
+        except zlib.error:
+            return out or None
+        if len(out) > most:
+            raise ValueError("too large")
+        data = unpack.unused_data
+        if not unpack.eof or data[:2] != b"\x1f\x8b":
+            return out
+
+
+def _text_of(data: bytes, most: int) -> str | None:
+    """The text in bytes that may be compressed any number of times."""
+    seen = set()
+    while data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+        if data in seen or (inner := _inflated(data, most)) is None:
+            break
+        seen.add(data)
+        data = inner
+    text = _strict(data, "utf-8")
+    if not text or sum(c.isprintable() or c.isspace() for c in text) < 0.95 * len(text):
         return None
-    if len(out) > most:
-        raise ValueError("too large")
-    return out
+    return text
 
 
 def _opened(blob: str, most: int) -> str | None:
@@ -116,24 +155,38 @@ def _opened(blob: str, most: int) -> str | None:
         data = base64.b64decode(core + "=" * (-len(core) % 4), altchars=b"-_" if "-" in core or "_" in core else None)
     except binascii.Error:
         return None
-    seen = set()
-    while data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        if data in seen or (inner := _inflated(data, most)) is None:
-            break
-        seen.add(data)
-        data = inner
-    text = _strict(data, "utf-8")
-    if not text or sum(c.isprintable() or c.isspace() for c in text) < 0.95 * len(text):
-        return None
-    return text
+    return _text_of(data, most)
+
+
+def _parts(run: str, most: int):
+    """(text, start, end) of what a base64 run holds from whatever place on: a prefix may shift it, other words may follow.
+
+    The run is decoded at each of the four alignments; its ASCII stretches, and
+    what begins like compressed data and is, are taken.
+    """
+    core = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        own = core[shift:]
+        own = own[:-1] if len(own) % 4 == 1 else own
+        data = base64.b64decode(own + "=" * (-len(own) % 4))
+        for m in _ASCII.finditer(data):
+            yield m[0].decode("ascii"), shift + m.start() // 3 * 4, min(shift + -(-m.end() // 3) * 4, len(run))
+        for m in _PACKED.finditer(data):
+            try:
+                text = _text_of(data[m.start() :], most)
+            except ValueError:
+                text = ""
+            if text is not None:
+                yield text, shift + m.start() // 3 * 4, len(run)
 
 
 def find(text: str, most: int = MAX_LAYER) -> tuple[list, list, int]:
     """(base spans, all spans, layers left closed) of a text; spans (start, kind, end) in code points.
 
     The worklist holds layers.  Each is scanned; one with URL or Unicode escapes
-    has them replaced, which gives a new layer; each base64 run that holds text,
-    compressed or not, gives one too.  It ends when no new layer comes up: a text
+    has them replaced, which gives a new layer, what is no valid escape staying as it
+    is; each base64 run that holds text, compressed or not, gives one too, also one
+    over several lines or behind a prefix.  It ends when no new layer comes up: a text
     seen before at the same place is not taken again.
     """
     base = scan(text)
@@ -160,6 +213,18 @@ def find(text: str, most: int = MAX_LAYER) -> tuple[list, list, int]:
                 continue
             if inner:
                 work.append(Layer(inner, layer, [(0, len(inner), m.start(), m.end())]))
+                continue
+            for inner, start, end in _parts(m[0], most):
+                closed += not inner
+                if inner:
+                    work.append(Layer(inner, layer, [(0, len(inner), m.start() + start, m.start() + end)]))
+        for m in _WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
+            places = [i for i, c in enumerate(m[0], m.start()) if not c.isspace()]
+            run = _BREAK.sub("", m[0])
+            for inner, start, end in _parts(run, most):
+                closed += not inner
+                if inner:
+                    work.append(Layer(inner, layer, [(0, len(inner), places[start], places[end - 1] + 1)]))
     return base, sorted(spans), closed
 
 

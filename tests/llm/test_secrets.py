@@ -68,3 +68,27 @@ def test_masking_keeps_rows_and_columns(docs, none):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert not any(r["text"] and base(r["text"]) for r in out.collect())
     assert s.mask_secrets(none).collect() == [] and s.find_secrets(none).collect() == []
+
+
+LONG = "".join(f"line {i} {hashlib.sha1(str(i).encode()).hexdigest()[:20]}\n" for i in range(40)) + SECRET
+wrap = lambda t, n=76, end="\n": end.join(t[i : i + n] for i in range(0, len(t), n))
+UNUSUAL = [
+    wrap(b64(LONG)), wrap(b64(gzip.compress(LONG.encode()))), wrap(b64(LONG), 64, "\r\n"), f"-----BEGIN X-----\n{wrap(b64(LONG))}\nHello there",
+    wrap(b64("x" * 45 + SECRET)), f"path/{b64(SECRET)}", f"key-{b64(SECRET)}", f"name_{b64(SECRET)}", f"some/{b64(gzip.compress(SECRET.encode()))}",
+    quote(SECRET) + "%E9", "%E9" + "".join(f"%{ord(c):02x}" for c in SECRET), "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in SECRET),
+    b64(gzip.compress(b"first member ") + gzip.compress(SECRET.encode())),
+]
+
+
+@pytest.mark.parametrize("layer", UNUSUAL)
+def test_wrapped_shifted_and_partly_invalid_runs(layer):
+    text = f"é before {layer} after"
+    plain, spans, closed = s.find(text)
+    added = set(spans) - set(plain)
+    assert closed == 0 and any(9 <= a < b <= 9 + len(layer) for a, k, b in added if k == 0)
+    assert s.masked(text, "<secret>").startswith("é before ") and s.masked(text, "<secret>").endswith(" after")
+
+
+def test_plain_words_give_no_layers_with_secrets():
+    text = "internationalization-of-everything\nsome/path/to/a_long_name_of_a_file\n" * 50
+    assert s.find(text)[1:] == ([], 0)
