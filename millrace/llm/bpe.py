@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +22,10 @@ AGREE, WINDOW = 4, 32
 #: Characters next to a cut, and to a window's own ends, whose tokens never count as agreeing: they
 #: may lie in a special token, a contraction or a composed letter that the cut goes through.
 MARGIN = 24
-BLOCK_CHARS = 1_500_000
-#: Chunks that a worker remembers; rows of an Arrow batch, which holds whole texts or their ids.
-REMEMBERED, BATCH_ROWS = 150_000, 1000
+#: Bytes of text that are encoded together, and ids that are decoded together.
+BLOCK_BYTES, BLOCK_IDS = 4_000_000, 1_000_000
+#: Chunks that a worker remembers (about 200 bytes each).
+REMEMBERED = 600_000
 
 
 #: Byte-level spelling: printable Latin-1 characters stand for their own bytes, the others are moved up from U+0100 on.
@@ -52,78 +52,153 @@ def load(path: str):
     return found
 
 
+_WS, _SAFE, _LETTER, _STOP, _TWO, _REST = 1, 2, 4, 8, 16, 32
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[list(b" \t\n\r")] = _WS
+    kinds[33:127] = _SAFE
+    kinds[[*range(65, 91), *range(97, 123)]] |= _LETTER
+    kinds[list(b",.")] |= _STOP
+    kinds[0xC3:0xE0], kinds[0x80:0xC0] = _TWO, _REST
+    return kinds
+
+
+_KINDS = _byte_kinds()
+_TRANSLATE = _KINDS.tobytes()
+
+
+def _places(n: int, *places: np.ndarray) -> np.ndarray:
+    """The distinct ones of places from 0 to ``n``, in order, with 0 itself."""
+    marks = np.zeros(n + 1, bool)
+    marks[0] = True
+    for at in places:
+        marks[at] = True
+    return np.flatnonzero(marks)
+
+
 class ChunkEncoder:
     """Encodes texts by chunks between which no token can reach, remembering chunks.
 
     ``split`` names where the vocabulary's own pre-tokenizer always cuts:
     "blank": at ASCII white space, which it drops (so does the result here);
     "lead": before a run of ASCII white space that follows another character;
-    "": nowhere.  The library encodes each chunk, special tokens included.
-    """
+    "": nowhere.  With either of the first two, a comma or full stop after a
+    letter begins a chunk too.  Where it isn't certain that the pre-tokenizer cuts
+    (after characters that may be Unicode white space), no cut is made.
 
-    _lead = re.compile(r"[ \t\n\r]*\S+|[ \t\n\r]+")
+    The texts of a block are cut by vector code and their distinct chunks found by
+    an Arrow dictionary; only chunks that aren't remembered reach the library.
+    """
 
     def __init__(self, path: str, split: str, limit: int = 150_000):
-        self.library, self.split, self.limit, self.known = load(path), split, limit, {}
-        self._ends = {c: array("i", self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ("", ",", ".")}
-
-    def chunks(self, text: str) -> list[str]:
-        if self.split == "blank":
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.library, self.split, self.limit = load(path), split, limit
+        self._forget()
+
+    def _forget(self):
+        self.known, self.flat, self.begin, self.count, self.uses = {}, array("i"), array("q"), array("i"), np.zeros(0, np.int64)
+
+    def _shrink(self):
+        """Keeps the chunks that the most blocks held, half of the limit at most."""
+        known, flat, begin, count, uses = self.known, self.flat, self.begin, self.count, self.uses
+        often = np.sort(uses[list(known.values())])[-(self.limit // 2) :]
+        least = int(often[0]) + 1 if len(often) else 1
+        self._forget()
+        for chunk, slot in known.items():
+            if slot < len(uses) and uses[slot] >= least:
+                self.known[chunk] = len(self.begin)
+                self.begin.append(len(self.flat))
+                self.count.append(count[slot])
+                self.flat.extend(flat[begin[slot] : begin[slot] + count[slot]])
+        self.uses = np.ones(len(self.begin), np.int64)
+
+    def _cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to encode, the ends of the texts in them, and the bounds of the chunks (from 0)."""
+        if not self.split:
+            return data, ends, _places(len(data), ends)
+        kinds = np.frombuffer(data.tobytes().translate(_TRANSLATE), np.uint8)
+        at = np.flatnonzero(kinds & (_WS | _STOP) > 0)
+        blank = kinds[at] & _WS > 0
+        before, second = data[at - 1], data[at - 2]  # of the first places the last bytes, which change nothing: a text begins there
+        wide = (_KINDS[before] & _REST > 0) & (_KINDS[second] & _TWO > 0)
+        letter = (_KINDS[before] & _LETTER > 0) | wide & (second == 0xC3) & (before != 0x97) & (before != 0xB7)
         if self.split == "lead":
-            found = self._lead.findall(text)
-            # Other Unicode white space joins runs: such a text stays in one piece.
-            return found if "".join(found) == text else [text]
-        return [text]
+            at = at[np.where(blank, (_KINDS[before] & _SAFE > 0) | wide, letter)]
+        else:
+            gone = at[blank]
+            data = data[kinds & _WS == 0]
+            at = (at - np.cumsum(blank) + blank)[blank | letter]
+            ends = ends - np.searchsorted(gone, ends)
+        return data, ends, _places(len(data), at, ends)
 
-    def _piece(self, chunk: str) -> str | None:
-        """A chunk of plain letters, which is one piece, in the spelling that the merges use; None for others.
+    def _piece(self, word: str) -> str | None:
+        """A word of plain letters, which is one piece, in the spelling that the merges use; None for others.
 
         Letters up to U+0250 are composed already and stay one letter in lower case, but for U+0130.
         """
-        lead = self.split == "lead" and chunk[:1] == " "
-        word = chunk[1:] if lead else chunk
         if not word.isalpha() or not (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
             return None
         if self.split == "blank":
             word = word.lower()
-        return ("\u0120" if lead else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks that aren't remembered; then their words are, and on meeting a word again the chunk too.
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
 
-        A final comma or full stop after a letter is a piece of its own.  Plain
-        words go to the library's model at once, all other chunks through its
-        whole encoding.
-        """
-        known, tokenize, out, rest = self.known, self.library.model.tokenize, {}, []
-        if len(known) > self.limit:
-            known.clear()
+    def _learn(self, chunks: list[bytes]) -> list[int]:
+        """The slots of chunks that aren't remembered: plain words go to the library's model at once, others through its whole encoding."""
+        tokenize, flat, out, rest, lead = self.library.model.tokenize, self.flat, {}, [], self.split == "lead"
         for chunk in chunks:
-            end = chunk[-1:] if self.split and chunk[-1:] in (",", ".") else ""
-            core = chunk[:-1] if end else chunk
-            ids = known.get(core)
-            if ids is not None and end and core[-1:].isalpha() and core[-1] < "\u0250" and core[-1] != "\u0130":
-                out[chunk] = known[chunk] = ids + self._ends[end]
-            elif self.split and (piece := self._piece(core)):
-                ids = array("i", [t.id for t in tokenize(piece)]).tobytes()
-                if len(core) <= 40:
-                    known[core] = ids
-                out[chunk] = ids + self._ends[end]
-            else:
+            text = chunk.decode()
+            own = lead and text[:1] == " "
+            piece = self._piece(text[1:] if own else text) if self.split else None
+            if piece is None:
                 rest.append(chunk)
-        for chunk, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            out[chunk] = array("i", found.ids).tobytes()
-            if len(chunk) <= 40:
-                known[chunk] = out[chunk]
-        return out
+                continue
+            ids = [t.id for t in tokenize("\u0120" + piece if own else piece)]
+            out[chunk] = len(self.begin)
+            self.begin.append(len(flat))
+            self.count.append(len(ids))
+            flat.extend(ids)
+        for chunk, found in zip(rest, self.library.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)):
+            out[chunk] = len(self.begin)
+            self.begin.append(len(flat))
+            self.count.append(len(found.ids))
+            flat.extend(found.ids)
+        self.known.update((c, slot) for c, slot in out.items() if len(c) <= 40)
+        return [out[c] for c in chunks]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (int32) of the texts one after another, and where each text's ids end; null counts as empty."""
+        texts = texts.fill_null("").cast(pa.binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        if offsets[-1] == offsets[0]:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        data, ends, bounds = self._cut(data, offsets[1:].astype(np.int64) - offsets[0])
+        if len(self.known) > self.limit or len(self.flat) > 16 * self.limit:
+            self._shrink()
+        buffers = [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+        chunks = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers).dictionary_encode()
+        words = byte_strings(chunks.dictionary)
+        slots = list(map(self.known.get, words))
+        if None in slots:
+            new = iter(self._learn([w for w, s in zip(words, slots) if s is None]))
+            slots = [next(new) if s is None else s for s in slots]
+        slots = np.array(slots, np.int64)
+        self.uses = np.append(self.uses, np.zeros(len(self.begin) - len(self.uses), np.int64))
+        self.uses[slots] += 1
+        begin, count = np.frombuffer(self.begin, np.int64)[slots], np.frombuffer(self.count, np.int32)[slots]
+        index = chunks.indices.to_numpy()
+        count = count[index]
+        upto = np.cumsum(count, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        places = np.repeat(begin[index] - upto + count, count) + np.arange(total)
+        ids = np.frombuffer(self.flat, np.int32)[places] if total else np.zeros(0, np.int32)
+        return ids, np.append(0, upto)[np.searchsorted(bounds, ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as int32 in the machine's order."""
-        parts = [self.chunks(t) for t in texts]
-        found = [list(map(self.known.get, p)) for p in parts]
-        new = self._learn({c for p, f in zip(parts, found) for c, ids in zip(p, f) if ids is None})
-        return [b"".join(new[c] if ids is None else ids for c, ids in zip(p, f)) if None in f else b"".join(f) for p, f in zip(parts, found)]
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, ends[:-1])] if texts else []
 
 
 @functools.lru_cache(4)
@@ -132,23 +207,30 @@ def chunk_encoder(path: str, split: str, limit: int) -> ChunkEncoder:
     return ChunkEncoder(path, split, limit)
 
 
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(e) // 4 for e in encoded)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """to_pylist() of a binary column without nulls, much faster."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = column.buffers()[2].to_pybytes() if column.buffers()[2] else b""
+    return [whole[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
-def text_blocks(batches, column: str):
-    """Slices of the batches with their texts (null: empty), about ``BLOCK_CHARS`` each."""
+def list_array(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+
+
+def text_blocks(batches, column: str, most: int = BLOCK_BYTES):
+    """Slices of the batches of about ``most`` bytes of text each, with that column of theirs."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        for lo, hi in slices([len(t) + 1 for t in texts], BLOCK_CHARS):
-            yield batch.slice(lo, hi - lo), texts[lo:hi]
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for lo, hi in slices([n + 1 for n in sizes], most):
+            yield batch.slice(lo, hi - lo), texts.slice(lo, hi - lo)
 
 
 def _encode(batches, path: str, split: str):
     encoder = chunk_encoder(path, split, REMEMBERED)
     for part, texts in text_blocks(batches, "text"):
-        yield pa.RecordBatch.from_arrays([part.column(0), id_lists(encoder.encode(texts))], ["doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([part.column(0), list_array(*encoder.encode_array(texts))], ["doc_id", "ids"])
 
 
 NODE = "rid long, doc_id long, idx long, text string, ids binary, starts binary, ends binary"
@@ -236,7 +318,9 @@ def _join_pair(pdf: pd.DataFrame, path: str) -> pd.DataFrame:
 
 def _long_ids(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(batch.column(1).to_pylist())], ["doc_id", "ids"])
+        ids = [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, np.cumsum([len(x) for x in ids]))], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -245,11 +329,8 @@ def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHA
     Texts up to ``long_chars`` are encoded where they are read.  Longer ones are cut
     into leaves, which spread over the tasks, and neighbours are joined level by
     level.  Null and empty texts have no ids; rows with a null or repeated doc_id
-    are encoded like any other; other columns are ignored.  The session's Arrow
-    batches are held to ``BATCH_ROWS`` rows, as several workers of an executor
-    keep one each.
+    are encoded like any other; other columns are ignored.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = docs.select("doc_id", "text")
     short = docs.where(f"text IS NULL OR length(text) <= {long_chars}")
     short = short.mapInArrow(lambda it: _encode(it, path, split), "doc_id long, ids array<int>")
@@ -271,16 +352,18 @@ def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHA
 def _decode(batches, path: str):
     library = load(path)
     plain = library.decoder is None  # then decode() joins the tokens by spaces
-    tokens = [library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))]
+    tokens = pa.array([library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))]) if plain else None
     for batch in batches:
-        ids = batch.column("ids")
-        for lo, hi in slices(ids.value_lengths().fill_null(0).to_pylist(), 400_000):
-            lists = [x or [] for x in ids.slice(lo, hi - lo).to_pylist()]
-            texts = [" ".join(map(tokens.__getitem__, x)) for x in lists] if plain else library.decode_batch(lists, skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), ids.slice(lo, hi - lo), pa.array(texts, pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+        sizes = batch.column("ids").value_lengths().fill_null(0)
+        for lo, hi in slices(sizes.to_pylist(), BLOCK_IDS):
+            part = batch.slice(lo, hi - lo)
+            ids, ends = part.column("ids"), np.cumsum(sizes.slice(lo, hi - lo).to_numpy())
+            if plain:
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), tokens.take(ids.flatten()))
+                texts = pc.binary_join(lists, " ")
+            else:
+                texts = pa.array(library.decode_batch([x or [] for x in ids.to_pylist()], skip_special_tokens=False), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, texts], ["doc_id", "ids", "decoded"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import tempfile
 import uuid
@@ -20,22 +21,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local session may go without that setting; it then gets a folder of its own.
+    Only a local session may go without that setting; it then has a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_dir(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@functools.lru_cache(None)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there.
+
+    ``forget`` deletes it again, once nothing reads it any more.
+    """
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, path = _path(spark, path)
+    return store.exists(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this program wrote."""
+    store, path = _path(spark, path)
+    store.delete(path, True)
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames; no frame that reads them may be used afterwards."""
+    for df in written:
+        remove(df.sparkSession, df._written)
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """np.unique(values) by one plain sort."""
+    values = np.sort(values)
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if not len(a) or not len(b):
+        return 0
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
 
 
 class WordHash(dict):

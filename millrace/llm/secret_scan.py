@@ -238,7 +238,7 @@ def _named(spans: list) -> list:
 
 def _find(batches, most: int):
     for part, texts in text_blocks(batches, "text"):
-        found = [find(t, most) for t in texts]
+        found = [find(t or "", most) for t in texts.to_pylist()]
         columns = [pa.array([_named(f[i]) for f in found], _ARROW) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), *columns, pa.array([f[2] for f in found], pa.int64())], ["doc_id", "base", "spans", "n_closed"]

@@ -2,12 +2,12 @@
 
 A store is a folder with three Parquet tables:
 
-* ``objects``: each distinct chunk once (``digest``, ``n``, ``ids``: one byte with
-  the width, then that many little-endian bytes an id), and as landed the rows
-  that make up the recipes;
+* ``objects/kind=chunk``: each distinct chunk once (``digest``, ``n``, ``ids``: one
+  byte with the width, then that many little-endian bytes an id);
 * ``recipes``: in ascending doc_id order through the files (null last), the chunk
-  digests that make up each document, and its Merkle root;
-* ``manifest``: for each recipe file its documents, ids and the hash over its roots.
+  digests that make up each document, its Merkle root, and its place (``part``,
+  ``pos``, ``start`` in ids) within its file;
+* ``manifest``: for each recipe file its documents, ids and a hash tree over its roots.
 """
 
 from __future__ import annotations
@@ -18,26 +18,29 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.bpe import chunk_encoder, text_blocks
-from millrace.llm.common import mix
+from millrace.llm.bpe import byte_strings, chunk_encoder, text_blocks
+from millrace.llm.common import exists, mix, remove
 
 #: Mean, least and most ids of a chunk; ids that the rolling hash spans.
 MEAN, LEAST, MOST, SPAN = 512, 64, 4096, 16
 
 #: Chunks of text that a worker remembers the ids of.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
+#: Documents under one inner node of the manifest's tree.
+FAN = 1024
 
-LANDED = "key long, digest binary, n int, ids binary, doc_id long, n_tokens long, root binary, digests array<binary>, lens array<int>"
+LANDED = "key long, kind string, digest binary, n int, ids binary, doc_id long, n_tokens long, root binary, digests array<binary>, lens array<int>"
 _SCHEMA = pa.schema(
     [
-        ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()),
+        ("key", pa.int64()), ("kind", pa.string()), ("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()),
         ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("lens", pa.list_(pa.int32())),
     ]
 )
+CHUNK, RECIPE = "digest binary, n int, ids binary", "part int, pos long, start long, doc_id long, n_tokens long, root binary, digests array<binary>, lens array<int>"
 
 
 def _hash(data: bytes) -> bytes:
@@ -53,9 +56,14 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@functools.lru_cache(2)
+def _id_hashes(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64))
+
+
 def breaks(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash of the last ``SPAN`` ids asks for a cut."""
-    h = mix(np.arange(1, int(ids.max(initial=0)) + 2, dtype=np.uint64))[ids]
+    h = _id_hashes(1 << int(ids.max(initial=0)).bit_length())[ids]
     step = 1
     while step < SPAN:
         h[step:] = h[step:] + (h[:-step] << np.uint64(step))
@@ -86,60 +94,92 @@ def unpack(data: bytes) -> np.ndarray:
 
 def _land(batches, path: str, split: str, end_id: int):
     encoder, seen = chunk_encoder(path, split, REMEMBERED), set()
-    tail = np.array([end_id], "<i4").tobytes()
     for part, texts in text_blocks(batches, "text"):
-        encoded = [e + tail for e in encoder.encode(texts)]
-        flat = np.frombuffer(b"".join(encoded), "<i4")
+        ids, ends = encoder.encode_array(texts)
+        flat = np.insert(ids, ends, end_id)
+        ends = (ends + np.arange(1, len(ends) + 1)).tolist()
         found, rows, start = breaks(flat), [], 0
-        for doc_id, own in zip(part.column("doc_id").to_pylist(), encoded):
-            end = start + len(own) // 4
-            lo, hi = np.searchsorted(found, [start + LEAST, end])
+        cut = np.searchsorted(found, [[a + LEAST, b] for a, b in zip([0, *ends], ends)]).tolist()
+        for doc_id, end, (lo, hi) in zip(part.column("doc_id").to_pylist(), ends, cut):
             digests, lens, at = [], [], start
-            for cut in cuts((found[lo:hi] - start).tolist(), end - start):
-                packed = pack(flat[at : start + cut])
+            for stop in cuts((found[lo:hi] - start).tolist(), end - start):
+                packed = pack(flat[at : start + stop])
                 digest = _hash(packed)
                 digests.append(digest)
-                lens.append(start + cut - at)
+                lens.append(start + stop - at)
                 if digest not in seen:
                     seen.add(digest)
-                    rows.append({"key": int.from_bytes(digest[:8], "little", signed=True), "digest": digest, "n": lens[-1], "ids": packed})
-                at = start + cut
+                    rows.append({"key": int.from_bytes(digest[:8], "little", signed=True), "kind": "chunk", "digest": digest, "n": lens[-1], "ids": packed})
+                at = start + stop
             root = merkle(digests)
             key = int.from_bytes(_hash(root + str(doc_id).encode())[:8], "little", signed=True)
-            rows.append({"key": key, "doc_id": doc_id, "n_tokens": end - start, "root": root, "digests": digests, "lens": lens})
+            rows.append({"key": key, "kind": "recipe", "doc_id": doc_id, "n_tokens": end - start, "root": root, "digests": digests, "lens": lens})
             start = end
         yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
 def _once(batches):
-    """A digest's rows are all in this task: the first one of each stays."""
-    seen: set[bytes] = set()
+    """A digest's rows follow each other in this task: the first one of each stays."""
+    last = None
     for batch in batches:
         keep = []
         for d in batch.column("digest").to_pylist():
-            keep.append(d is None or d not in seen)
-            if d is not None:
-                seen.add(d)
+            keep.append(d is None or d != last)
+            last = d
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _placed(batches):
+    """The rows of a task with the number of the task, of the row in it, and of the ids before it."""
+    part, pos, start = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy()
+        upto = start + np.cumsum(n)
+        own = [pa.array(np.full(len(n), part, np.int32)), pa.array(pos + np.arange(len(n))), pa.array(upto - n)]
+        yield pa.RecordBatch.from_arrays([*own, *batch.columns], ["part", "pos", "start", *batch.schema.names])
+        pos, start = pos + len(n), int(upto[-1]) if len(n) else start
+
+
 def write_store(docs: DataFrame, folder: str, vocabulary: str, *, split: str = "lead", end_id: int = 2) -> None:
     """Encode every text of ``docs`` (doc_id long, text string), append ``end_id`` and write the store.
 
     A task sends each chunk once, so a chunk that every document holds reaches the
     shuffle once for each task.  Null and empty texts hold the end id alone; rows
-    with a null or repeated doc_id are documents of their own; other columns are ignored.
+    with a null or repeated doc_id are documents of their own; other columns are
+    ignored.  A very long text is encoded in one task, in one block of its own.
     """
-    landed = docs.select("doc_id", "text").mapInArrow(lambda it: _land(it, vocabulary, split, end_id), LANDED)
-    landed.repartition("key").mapInArrow(_once, LANDED).drop("key").write.option("compression", "zstd").parquet(f"{folder}/objects")
     spark = docs.sparkSession
-    recipes = _objects(spark, folder).where("digest IS NULL").select("doc_id", "n_tokens", "root", "digests", "lens")
+    landed = docs.select("doc_id", "text").mapInArrow(lambda it: _land(it, vocabulary, split, end_id), LANDED)
+    landed = landed.repartition("key").sortWithinPartitions("digest").mapInArrow(_once, LANDED).drop("key")
+    landed.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
+    own = RECIPE.removeprefix("part int, pos long, start long, ")
+    recipes = _read(spark, f"{folder}/objects", "recipe", own) or spark.createDataFrame([], own)
     order = [F.asc_nulls_last("doc_id"), F.asc("root")]
-    recipes.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    files = spark.read.parquet(f"{folder}/recipes").groupBy(_file().alias("file"))
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "root"))), lambda x: F.hex(x["root"]))
-    counted = files.agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
-    counted.write.parquet(f"{folder}/manifest")
+    recipes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_placed, RECIPE).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    remove(spark, f"{folder}/objects/kind=recipe")
+    _manifest(_recipes(spark, folder)).write.parquet(f"{folder}/manifest")
+
+
+def _read(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame | None:
+    """The rows of one kind; None where no row of it was written."""
+    path = f"{folder}/kind={kind}"
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else None
+
+
+def _recipes(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(RECIPE).parquet(f"{folder}/recipes")
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """(part, n_docs, n_ids, root): counts of each recipe file, and the hash over those of its runs of ``FAN`` roots.
+
+    A group gathers ``FAN`` roots, or one hash for each run of a file.
+    """
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: F.hex(x[c])), "")
+    runs = recipes.select("part", "root", "n_tokens", F.col("pos").alias("at")).groupBy("part", F.floor(F.col("at") / FAN).alias("run"))
+    runs = runs.agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sha1(text("root")).alias("hash"))
+    runs = runs.withColumn("hash", F.unhex("hash")).withColumnRenamed("run", "at").groupBy("part")
+    return runs.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids"), F.sha1(text("hash")).alias("root"))
 
 
 def _file():
@@ -147,31 +187,33 @@ def _file():
 
 
 def _objects(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(LANDED.removeprefix("key long, ")).parquet(f"{folder}/objects")
+    return spark.read.schema(CHUNK).parquet(f"{folder}/objects")
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, root, digests, lens): ``start`` counts the ids of all documents before.
 
-    The driver sums one number a file; the running sum within a file is a window over that file.
+    The driver sums one number a file.  The manifest is computed anew from the
+    recipes: a recipe that was lost, added or changed raises an error.
     """
+    stored = spark.read.schema("part int, n_docs long, n_ids long, root string").parquet(f"{folder}/manifest")
+    found = {r["part"]: tuple(r) for r in _manifest(_recipes(spark, folder)).collect()}
+    if found != {r["part"]: tuple(r) for r in stored.collect()}:
+        raise ValueError(f"the recipes in {folder} don't match their manifest")
     offsets, total = [], 0
-    for row in sorted(spark.read.parquet(f"{folder}/manifest").select("file", "n_ids").collect()):
-        offsets.append((row["file"], total))
-        total += row["n_ids"]
+    for part in sorted(found):
+        offsets.append((part, total))
+        total += found[part][2]
     if not offsets:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, root binary, digests array<binary>, lens array<int>")
-    before = Window.partitionBy("file").orderBy(F.asc_nulls_last("doc_id"), "root").rowsBetween(Window.unboundedPreceding, -1)
-    recipes = spark.read.parquet(f"{folder}/recipes").withColumn("file", _file())
-    recipes = recipes.join(spark.createDataFrame(offsets, "file int, offset long"), "file")
-    start = F.col("offset") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
-    return recipes.select("doc_id", start.alias("start"), "n_tokens", "root", "digests", "lens")
+    recipes = _recipes(spark, folder).join(spark.createDataFrame(offsets, "part int, offset long"), "part")
+    return recipes.select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "root", "digests", "lens")
 
 
 def _checked(batches):
     for batch in batches:
-        digests, crcs = batch.column("digest").to_pylist(), []
-        for digest, data in zip(digests, batch.column("ids").to_pylist()):
+        crcs = []
+        for digest, data in zip(byte_strings(batch.column("digest")), byte_strings(batch.column("ids"))):
             if _hash(data) != digest:
                 raise ValueError(f"chunk {digest.hex()} is damaged")
             crcs.append(zlib.crc32(unpack(data).tobytes()))
