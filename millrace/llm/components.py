@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import forget, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,18 +27,22 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     Both stars need only a minimum per node and an equi-join, so a hub is
     pre-aggregated before the shuffle and its edges can be split by the skew join.
-    Self-loops and repeated edges are ignored; no edges give no rows.  Each step
-    is written to the shared folder; the count and hash sum of the edges tell when
-    nothing moves any more.
+    Self-loops, repeated edges and edges with a null end are ignored; no edges give
+    no rows.  Each step is written to the shared folder and the step before deleted;
+    the count and hash sum of the edges tell when nothing moves any more.  The result
+    is written too, for the caller to ``forget``.
     """
     tidy = lambda e: e.where("u <> v").distinct()
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges, seen = materialize(tidy(edges), label), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == seen:
             break
-        seen = now
+        seen, before = now, edges
         edges = materialize(tidy(_small_star(tidy(_large_star(edges)))), label)
+        forget(before)
     grown = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return grown.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = materialize(grown.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), label)
+    forget(edges)
+    return found

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, WordHash, materialize, mix, slices
+from millrace.llm.common import M1, M2, M3, WordHash, common_count, distinct_sorted, forget, materialize, mix, slices
 from millrace.llm.components import connected_components
 
 #: 26 bands of 5 minima: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2.4e-7.
@@ -40,7 +40,7 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHash, k: int) -> list[np
     for end in ends:
         n = end - start
         if n >= k:
-            sets.append(np.unique(rolled[start : end - k + 1]))
+            sets.append(distinct_sorted(rolled[start : end - k + 1]))
         elif n:
             own = hashlib.blake2b(flat[start:end].tobytes(), digest_size=8, person=b"short").digest()
             sets.append(np.frombuffer(own, np.uint64))
@@ -112,7 +112,7 @@ def _verified(batches, k: int, percent: int):
             near = []
             for i, b in zip(pivots.indices.to_pylist(), right):
                 a = left[i]
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                both = common_count(a, b)
                 near.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
             kept = part.filter(pa.array(near, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["u", "v"])
@@ -159,7 +159,7 @@ def near_duplicates(
     texts = materialize(docs.join(ids, "doc_id", "left_semi"), "near-texts")
     star = buckets.where("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
     links = materialize(_verify(star, texts, k, percent), "near-links")
-    components = materialize(connected_components(links, "near-star"), "near-components")
+    components = connected_components(links, "near-star")
 
     missed = _cross_pairs(_open_nodes(buckets, components), texts, k, percent)
     more = materialize(_verify(missed.join(star, ["u", "v"], "left_anti"), texts, k, percent), "near-more")
@@ -191,8 +191,9 @@ def _cell_counts(batches, k: int):
     """How many of the shingles of the batches fall to each cell of the order table."""
     hashes = WordHash()
     for part, sets in _set_blocks(batches, hashes, k):
-        cells, counts = np.unique(np.concatenate(sets) & np.uint64(ORDER_CELLS - 1), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype("i8")), pa.array(counts)], ["cell", "n"])
+        counts = np.bincount((np.concatenate(sets) & np.uint64(ORDER_CELLS - 1)).astype(np.int64), minlength=ORDER_CELLS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
 
 def _prefixes(batches, k: int, percent: int, table):

@@ -1,4 +1,4 @@
-"""Substring dedup: MinHash banding of sliding paragraphs, exact verification, removal by components."""
+"""Substring dedup: MinHash banding of paragraphs, exact verification, removal by components."""
 
 from __future__ import annotations
 
@@ -8,21 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.common import M1, M2, M3, materialize, mix, slices
+from millrace.llm.bpe import byte_strings
+from millrace.llm.common import M1, M2, M3, common_count, distinct_sorted, forget, materialize, mix, slices
 from millrace.llm.components import connected_components
 from millrace.llm.near_dup import ORDER_CELLS, prefix_pairs
 
 SHINGLE, PERCENT = 5, 80
-#: Three bands of one minimum find a paragraph at similarity 0.8 with probability 0.992, and always its exact copy.
-BANDS, ROWS = 3, 1
-#: Least words of a paragraph; words after which a sentence that doesn't end is cut.
+#: Six bands of two minima find a paragraph at similarity 0.8 with probability 0.998, and always its exact copy.
+BANDS, ROWS = 6, 2
+#: Least and most words of a paragraph.
 LEAST, MOST = 24, 88
-#: Each ``WINDOW`` places hold the start of a paragraph of ``SHORT`` words at most, whatever the text.  As WINDOW + SHORT
-#: is below 51, each run of 51 words holds a paragraph that depends on the run's own words alone.
-WINDOW, SHORT = 18, 32
-#: One word in so many ends a sentence whatever its punctuation, so that texts without any are cut by content too.
+#: Each ``WINDOW`` places of a text hold the start of a passage of ``PASSAGE`` words, so that each run of
+#: WINDOW + PASSAGE - 1 = 51 words holds one that depends on the run's own words alone.
+WINDOW, PASSAGE = 26, 26
+#: One word in so many ends a sentence whatever its punctuation, so that long lines without any are cut by content too.
 BREAK = 64
 BLOCK_WORDS = 1_500_000
 
@@ -40,15 +40,17 @@ class _Words(dict):
 
 
 class Block:
-    """The words of some texts in one array, and their paragraphs.
-
-    A paragraph begins where a sentence does and ends with the sentence that
-    brings it to ``LEAST`` words; it has ``MOST`` words at most.  Where no short one
-    begins within ``WINDOW`` words, line ends aside, one of ``LEAST`` words begins at
-    the window's least shingle hash.  The last ``LEAST`` words of a text are one too.
+    """The words of some texts in one array, and their paragraphs and passages.
+
+    Paragraphs, which are compared by similarity, are: lines, each with as many of
+    those that follow as bring it to ``LEAST`` words; in lines of more than ``MOST``
+    words, runs of sentences of that length; the first and the last ``LEAST`` words
+    of a text; a shorter text as a whole.  Passages, which are compared for equality,
+    are ``PASSAGE`` words from the place of the least shingle hash in each window.
+    ``near`` tells which are paragraphs.
     """
 
-    def __init__(self, texts: list[bytes | None], hashes: _Words, cut: bool = True):
+    def __init__(self, texts: list[bytes | None], hashes: _Words):
         words, counts, line_ends, n = [], [], [], 0
         for text in texts:
             before = n
@@ -62,52 +64,61 @@ class Block:
         self.hash = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
         self.ends_of_docs = np.cumsum(counts)
         self.counts = np.array(counts, np.int64)
-        if cut:
-            self._paragraphs(np.array(line_ends, np.int64))
+        self.shingle = self.shingles()
+        self._paragraphs(np.array(line_ends, np.int64))
 
     def _paragraphs(self, line_ends: np.ndarray):
+        lengths = np.diff(line_ends, prepend=0)
+        start, stop = self._runs(line_ends)
+        whole = stop - start <= MOST
         own = np.flatnonzero(self.hash & np.uint64(1)) + 1
-        filled = self.counts > 0
-        start, stop = self._sentences(np.union1d(own, line_ends))
-        plain, plain_stop = self._sentences(np.union1d(own, self.ends_of_docs[filled]))
-        short = plain_stop - plain <= SHORT
-        picked = self._winnowed(plain[short])
-        tails = self.ends_of_docs[self.counts >= LEAST]
-        start = np.concatenate([start, plain[short], picked, tails - LEAST])
-        stop = np.concatenate([stop, plain_stop[short], picked + LEAST, tails])
-        self.start, n = np.divmod(np.unique(start * (MOST + 1) + stop - start), MOST + 1)
+        marks = np.zeros(len(self.hash) + 1, bool)
+        marks[own] = marks[line_ends] = True
+        inner, inner_stop = self._runs(np.flatnonzero(marks))
+        long = np.repeat(lengths > MOST, lengths)[inner] if len(inner) else np.zeros(0, bool)
+        ends, firsts = self.ends_of_docs, self.ends_of_docs - self.counts
+        filled, full = self.counts > 0, self.counts >= LEAST
+        brief = filled & ~full
+        starts = [start[whole], inner[long], firsts[full], ends[full] - LEAST, firsts[brief]]
+        stops = [stop[whole], np.minimum(inner_stop, inner + MOST)[long], firsts[full] + LEAST, ends[full], ends[brief]]
+        near = distinct_sorted(np.concatenate(starts) * (MOST + 1) + np.concatenate(stops) - np.concatenate(starts))
+        passages = self._winnowed()
+        both = distinct_sorted(np.concatenate([near, passages * (MOST + 1) + PASSAGE]))
+        self.near = np.isin(both, near, assume_unique=True)
+        self.start, n = np.divmod(both, MOST + 1)
         self.stop = self.start + n
-        self.doc = np.searchsorted(self.ends_of_docs, self.start, side="right")
-        self.first = (self.ends_of_docs - self.counts)[self.doc]
+        self.doc = np.searchsorted(ends, self.start, side="right")
+        self.first = firsts[self.doc]
 
-    def _sentences(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Paragraphs between the given ends of sentences, those of texts among them."""
+    def _runs(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each place after one of ``ends`` (those of texts among them) to the first end that is ``LEAST`` words on, if in its text."""
         if not len(ends):
-            return ends.astype(np.int64), ends.astype(np.int64)
+            return ends, ends
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         at = np.searchsorted(ends, starts + LEAST)
         stop = np.where(at < len(ends), ends[np.minimum(at, len(ends) - 1)], np.iinfo(np.int64).max)
-        stop = np.minimum(stop, starts + MOST)
-        fits = stop <= self.ends_of_docs[np.searchsorted(self.ends_of_docs, starts, side="right")]
+        fits = np.minimum(stop, starts + MOST) <= self.ends_of_docs[np.searchsorted(self.ends_of_docs, starts, side="right")]
         return starts[fits], stop[fits]
 
-    def _winnowed(self, begun: np.ndarray) -> np.ndarray:
-        """Of each window of places within a text in which no place of ``begun`` lies, the one of the least shingle hash."""
+    def _winnowed(self) -> np.ndarray:
+        """Of each window of places within a text, the one of the least shingle hash."""
         n = len(self.hash)
-        runs = np.zeros(n + 1, np.int64)
-        runs[begun + 1] = 1
-        runs = np.cumsum(runs)
-        last = np.repeat(self.ends_of_docs, self.counts) - LEAST - WINDOW + 1
+        if n < WINDOW + PASSAGE:
+            last = np.repeat(self.ends_of_docs, self.counts) - WINDOW - PASSAGE + 1
+            at = np.flatnonzero(np.arange(n) <= last)
+            return distinct_sorted(np.array([p + int(self.shingle[p : p + WINDOW].argmin()) for p in at.tolist()], np.int64))
+        bits = np.uint64(max(21, n.bit_length()))
+        least = (self.shingle >> bits << bits) | np.arange(len(self.shingle), dtype=np.uint64)
+        width = 1
+        while 2 * width <= WINDOW:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
+        last = np.repeat(self.ends_of_docs, self.counts) - WINDOW - PASSAGE + 1
         at = np.flatnonzero(np.arange(n) <= last)
-        at = at[runs[at + WINDOW] == runs[at]]
-        if not len(at):
-            return at
-        values = self.shingles()
-        picked, least = at.copy(), values[at]
-        for i in range(1, WINDOW):
-            less = values[at + i] < least
-            picked[less], least[less] = at[less] + i, values[at[less] + i]
-        return np.unique(picked)
+        marks = np.zeros(n, bool)
+        marks[(least[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
+        return np.flatnonzero(marks)
 
     def shingles(self) -> np.ndarray:
         n = len(self.hash) - SHINGLE + 1
@@ -118,13 +129,13 @@ class Block:
         return mix(out)
 
     def sizes(self, shingles: np.ndarray) -> np.ndarray:
-        """The distinct shingles of each paragraph: its places, less those that repeat an earlier one of its own."""
+        """The distinct shingles of each paragraph: its places, less those that repeat an earlier one of its own; 1 if it has none."""
         order = np.argsort(shingles, kind="stable")
         same = np.flatnonzero(shingles[order[1:]] == shingles[order[:-1]])
         close = same[order[same + 1] - order[same] < MOST]
         close = close[np.argsort(order[close + 1])]
         again, before = order[close + 1], order[close]
-        out = self.stop - self.start - SHINGLE + 1
+        out = np.maximum(self.stop - self.start - SHINGLE + 1, 1)
         lo, hi = np.searchsorted(again, self.start), np.searchsorted(again, self.stop - SHINGLE + 1)
         for i in range(int((hi - lo).max(initial=0))):
             at = np.flatnonzero(lo + i < hi)
@@ -140,21 +151,33 @@ class Block:
         runs = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mix(self.hash) * up[:-1])])
         return mix((runs[self.stop] - runs[self.start]) * down[self.start] + (self.stop - self.start).astype(np.uint64) * M1).view(np.int64)
 
-    def keys(self, shingles: np.ndarray) -> list[np.ndarray]:
-        padded = np.append(shingles, np.uint64(0))
-        bounds = np.stack([self.start, self.stop - SHINGLE + 1], 1).ravel()
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """The band keys of the paragraphs ``at``, a row for each band; those under ``SHINGLE`` words have their words' hash."""
+        start, stop = self.start[at], self.stop[at]
+        short = stop - start < SHINGLE
+        padded = np.append(self.shingle, np.uint64(0)) if len(self.shingle) else np.zeros(1, np.uint64)
+        lo = np.minimum(start, len(padded) - 1)
+        bounds = np.stack([lo, np.minimum(np.maximum(stop - SHINGLE + 1, lo + 1), len(padded) - 1)], 1).ravel()
         draw = np.random.default_rng(20240502).integers(0, 2**64, (BANDS * ROWS, 2), np.uint64)
-        out = []
+        own = self.classes()[at].view(np.uint64)
+        out = np.empty((BANDS, len(at)), np.uint64)
         for b in range(BANDS):
-            h = np.full(len(self.start), b + 1, np.uint64)
+            h = np.full(len(at), b + 1, np.uint64)
             for a, c in draw[b * ROWS : (b + 1) * ROWS]:
                 h = mix(h * M3 + np.minimum.reduceat(padded * (a | np.uint64(1)) + c, bounds)[::2])
-            out.append(h.view(np.int64))
+            out[b] = np.where(short, mix(own + np.uint64(b)), h)
         return out
 
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, paragraphs): the band keys of each paragraph, and the words' hash of each passage; the lowest bit is 0."""
+        near, passages = np.flatnonzero(self.near), np.flatnonzero(~self.near)
+        keys = [self.keys(near).ravel() if len(near) else np.zeros(0, np.uint64), mix(self.classes()[passages].view(np.uint64))]
+        return np.concatenate(keys) & ~np.uint64(1), np.concatenate([np.tile(near, BANDS), passages])
+
 
 _MORE = np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("n", "<i4")])
-FOUND = "key long, cls long, doc_id long, start int, n int, size int, hi long, more binary"
+ENTRIES = "bucket int, doc_id long, keys binary, docs binary"
+LIVE = "cls long, doc_id long, start int, n int, size int, more binary, keys array<long>, shingles binary"
 
 
 def _blocks(batches, hashes: _Words):
@@ -164,30 +187,115 @@ def _blocks(batches, hashes: _Words):
             yield batch.slice(lo, hi - lo), Block(texts.slice(lo, hi - lo).to_pylist(), hashes)
 
 
-def _find(batches):
-    """One row for each band key and class of paragraphs in a block: the first place, the others packed."""
+def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary value for each run of ``values`` (8 bytes each) that begins at ``starts``."""
+    offsets = np.append(starts, len(values)).astype(np.int64) * 8
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _heads(sorted_values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def _entries(batches, buckets: int):
+    """The keys of a block by bucket, each once, with one document that holds it.
+
+    The lowest bit of a key tells that several documents of the block hold it; those
+    need no other block to know that, and go along as a row of their own.
+    """
     hashes = _Words()
     for part, block in _blocks(batches, hashes):
         if not len(block.start):
             continue
-        docs = part.column("doc_id").to_numpy()[block.doc]
-        start, n, cls = (block.start - block.first).astype("i4"), (block.stop - block.start).astype("i4"), block.classes()
-        shingles = block.shingles()
-        size = block.sizes(shingles).astype("i4")
-        for key in block.keys(shingles):
-            order = np.lexsort((start, docs, cls, key))
-            new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(cls[order]) != 0))
-            heads, ends = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(order))
-            more: list = [None] * len(heads)
-            for i in np.flatnonzero(ends - heads > 1):
-                rest = order[heads[i] + 1 : ends[i]]
-                packed = np.empty(len(rest), _MORE)
-                packed["doc_id"], packed["start"], packed["n"] = docs[rest], start[rest], n[rest]
-                more[i] = packed.tobytes()
-            first, last = order[heads], order[ends - 1]
-            columns = [key[first], cls[first], docs[first], start[first], n[first], size[first], docs[last]]
-            names = ["key", "cls", "doc_id", "start", "n", "size", "hi", "more"]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more, pa.binary())], names)
+        key, at = block.entries()
+        doc = part.column("doc_id").to_numpy()[block.doc[at]]
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+        key, doc = key[once], doc[once]
+        heads = _heads(key)
+        several = np.diff(np.append(heads, len(key))) > 1
+        own = np.repeat(several, np.diff(np.append(heads, len(key))))
+        order = np.argsort(doc[own], kind="stable")
+        mine, keys = doc[own][order], key[own][order]
+        first = _heads(mine)
+        rows = [pa.array((mine[first] % buckets).astype(np.int32)), pa.array(mine[first]), _blobs(keys, first), pa.nulls(len(first), pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, ["bucket", "doc_id", "keys", "docs"])
+        key, doc = key[heads] | several.astype(np.uint64), doc[heads]
+        bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        first = _heads(bucket[order])
+        rows = [pa.array(bucket[order][first]), pa.nulls(len(first), pa.int64()), _blobs(key[order], first), _blobs(doc[order], first)]
+        yield pa.RecordBatch.from_arrays(rows, ["bucket", "doc_id", "keys", "docs"])
+
+
+def _shared(bucket: pa.Table) -> pa.Table:
+    """(doc_id, keys): the keys of one bucket that more than one block or document holds, by document."""
+    known = bucket.filter(bucket.column("doc_id").is_valid()).select(["doc_id", "keys"])
+    rows = bucket.filter(bucket.column("doc_id").is_null())
+    both = [np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("docs", np.int64))]
+    order = np.argsort(both[0], kind="stable")
+    key, doc = both[0][order], both[1][order]
+    heads = _heads(key >> np.uint64(1))
+    sizes = np.diff(np.append(heads, len(key)))
+    live = np.repeat(sizes > 1, sizes) & (key & np.uint64(1) == 0)
+    key, doc = key[live], doc[live]
+    order = np.argsort(doc, kind="stable")
+    first = _heads(doc[order])
+    own = pa.Table.from_arrays([pa.array(doc[order][first]), _blobs(key[order], first)], ["doc_id", "keys"])
+    return pa.concat_tables([known, own])
+
+
+def _live(batches):
+    """One row for each class of paragraphs in a block that hold a shared key: the first place, the others packed.
+
+    Paragraphs have their shared keys, the number of their shingles and these themselves too.
+    """
+    hashes = _Words()
+    for part, block in _blocks(batches, hashes):
+        if not len(block.start):
+            continue
+        wanted = [b"".join(x) for x in part.column("live").to_pylist()]
+        sizes = np.array([len(x) // 8 for x in wanted])
+        own = np.frombuffer(b"".join(wanted), np.uint64)
+        pair = lambda k, d: mix(k + mix(d.astype(np.uint64) + M2))  # noqa: E731  a key and the number of its text in the block
+        known = np.sort(pair(own, np.repeat(np.arange(len(sizes)), sizes)))
+        key, at = block.entries()
+        asked = pair(key, block.doc[at])
+        found = np.searchsorted(known, asked)
+        hit = known[np.minimum(found, len(known) - 1)] == asked if len(known) else np.zeros(len(asked), bool)
+        key, at = key[hit], at[hit]
+        order = np.lexsort((key, at))
+        key, at = key[order].view(np.int64), at[order]
+        first = _heads(at)
+        ends, places = np.append(first[1:], len(at)), at[first]
+        if not len(places):
+            continue
+        docs = part.column("doc_id").to_numpy()[block.doc[places]]
+        start, n = (block.start - block.first)[places].astype("i4"), (block.stop - block.start)[places].astype("i4")
+        cls, size, near = block.classes()[places], block.sizes(block.shingle)[places].astype("i4"), block.near[places]
+        order = np.lexsort((start, docs, ~near, cls))
+        new = _heads(cls[order])
+        upto = np.append(new[1:], len(order))
+        more: list = [None] * len(new)
+        for i in np.flatnonzero(upto - new > 1):
+            rest = order[new[i] + 1 : upto[i]]
+            packed = np.empty(len(rest), _MORE)
+            packed["doc_id"], packed["start"], packed["n"] = docs[rest], start[rest], n[rest]
+            more[i] = packed.tobytes()
+        head = order[new]
+        keys: list = [None] * len(head)
+        sets: list = [None] * len(head)
+        small = block.shingle.astype(np.uint32)
+        for i in np.flatnonzero(near[head] & (n[head] >= SHINGLE)).tolist():
+            h = head[i]
+            keys[i] = key[first[h] : ends[h]]
+            p = places[h]
+            sets[i] = distinct_sorted(small[block.start[p] : block.stop[p] - SHINGLE + 1]).tobytes()
+        columns = [pa.array(c[head]) for c in (cls, docs, start, n, size)]
+        columns += [pa.array(more, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["cls", "doc_id", "start", "n", "size", "more", "keys", "shingles"])
 
 
 def _places(batches):
@@ -201,25 +309,12 @@ def _places(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cls), *(pa.array(np.ascontiguousarray(flat[c])) for c in names[1:])], names)
 
 
-def _sets(batches):
-    """(cls, shingles) of the wanted paragraphs of each text."""
-    hashes = _Words()
-    for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
-        texts = batch.column("text").cast(pa.binary())
-        for i, places in enumerate(wanted):
-            block = Block(texts.slice(i, 1).to_pylist(), hashes, cut=False)
-            shingles = block.shingles().astype(np.uint32)
-            found = [np.unique(shingles[p["start"] : p["start"] + p["n"] - SHINGLE + 1]).tobytes() for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array([p["cls"] for p in places], pa.int64()), pa.array(found, pa.binary())], ["cls", "shingles"])
-
-
 def _verified(batches, percent: int):
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+        for a, b in zip(byte_strings(batch.column("a")), byte_strings(batch.column("b"))):
             x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            both = common_count(x, y)
             keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
@@ -228,8 +323,9 @@ def _cell_counts(batches):
     """How many of the shingles of the batches fall to each cell of the order table."""
     for batch in batches:
         flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint32)
-        cells, counts = np.unique(flat % np.uint32(ORDER_CELLS), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype("i8")), pa.array(counts)], ["cell", "n"])
+        counts = np.bincount(flat % np.uint32(ORDER_CELLS), minlength=ORDER_CELLS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
 
 def _prefixes(batches, percent: int, table):
@@ -258,14 +354,14 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.mapInArrow(lambda it: _verified(it, percent), "u long, v long")
 
 
-def _missed(starred: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _missed(met: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that may be near enough of classes that met the same firsts but lie in different components.
 
     Every class of a bucket was compared with the bucket's first; two others of
     different components were not compared yet.
     """
     own = components.select(F.col("node").alias("cls"), "component")
-    placed = starred.join(own, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    placed = met.join(own, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     nodes = placed.join(mixed, "key").select("cls", "comp").distinct()
     cells = sets.mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -274,9 +370,9 @@ def _missed(starred: DataFrame, components: DataFrame, sets: DataFrame, percent:
     shared = sets.sparkSession.sparkContext.broadcast(counts)
     schema = "doc_id long, comp long, n long, token long, rest long"
     rows = nodes.join(sets, "cls").mapInArrow(lambda it: _prefixes(it, percent, shared), schema)
-    token = Window.partitionBy("token")
-    rows = rows.withColumns({"lo": F.min("comp").over(token), "hi": F.max("comp").over(token)}).where("lo < hi").drop("lo", "hi")
-    return prefix_pairs(materialize(rows, "substring-prefixes"), percent)
+    rows = materialize(rows, "substring-prefixes")
+    tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return prefix_pairs(rows.join(tokens, "token", "left_semi"), percent)
 
 
 def _merged(batches):
@@ -316,52 +412,53 @@ OUT = "doc_id long, n_paragraphs long, n_removed_words long, removed array<struc
 def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """One row for each document that shares a passage with another one: what to remove, and where a copy stays.
 
-    Paragraphs of equal words are one class.  Within a block of texts those are
-    put together before the shuffle, so a paragraph that every document holds is
-    one row for each block.  Classes that meet in a band bucket are linked to the
-    bucket's first and verified by the Jaccard similarity of their five-word
-    shingles; classes linked at ``percent`` or more form components.  Classes of
-    buckets that then still hold several components are settled by an exact
-    prefix-filter join.  A component
-    found in two documents or more is a repeat: the document with the smallest
-    doc_id keeps its places, all others are removed.  Ranges are in words, from 0.
-
-    Null and empty texts, and texts under 24 words, have no paragraphs.  Rows with
-    a null doc_id take no part; rows that share a doc_id are one document, whose
-    places coincide.  A repeat within one document alone is left.  Other columns are ignored.
+    A first pass over the texts gives the MinHash band keys of the paragraphs and
+    the hashes of the passages, packed by bucket and each once a block of texts, so
+    that a paragraph that every document holds is one entry for each block.  Keys
+    that more than one document holds go back to their documents, and a second pass
+    gives the places that hold one.  Paragraphs of equal words are one class.  Classes that meet in
+    a band bucket are linked to the bucket's first and verified by the Jaccard
+    similarity of their five-word shingles; classes linked at ``percent`` or more
+    form components.  Classes of buckets that then still hold several components
+    are settled by an exact prefix-filter join.  A component found in two documents
+    or more is a repeat: the document with the smallest doc_id keeps its places, all
+    others are removed.  Ranges are in words, from 0.
+
+    Null and empty texts have no paragraphs; a text under 24 words is one paragraph,
+    and one under five words has no shingles and equals its copies only.  A very long text is a block of its own.
+    Rows with a null doc_id take no part; rows that share a doc_id are one document,
+    whose places coincide.  A repeat within one document alone is left.  Other
+    columns are ignored.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    rows = docs.mapInArrow(_find, FOUND)
-    by_key = Window.partitionBy("key")
-    first = F.first(F.struct("cls", "doc_id", "start", "n", "size")).over(by_key.orderBy("doc_id", "start", "cls"))
-    rows = rows.withColumns({"lo": F.min("doc_id").over(by_key), "top": F.max("hi").over(by_key), "pivot": first})
-    met = materialize(rows.where("lo < top").drop("lo", "top", "hi"), "substring-met")
-
-    place = lambda d, s, n: F.min(F.struct(F.col(d).alias("doc_id"), F.col(s).alias("start"), F.col(n).alias("n")))
-    starred = met.where("cls <> pivot.cls")
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.mapInArrow(lambda it: _entries(it, buckets), ENTRIES)
+    shared = materialize(packed.groupBy("bucket").applyInArrow(_shared, "doc_id long, keys binary"), "substring-keys")
+    wanted = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("live"))
+    live = materialize(docs.join(wanted, "doc_id").mapInArrow(_live, LIVE), "substring-live")
+
+    met = live.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "cls", "size").distinct()
+    pivots = met.groupBy("key").agg(F.min(F.struct("cls", "size")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    starred = materialize(met.join(pivots, "key").where("cls <> pivot.cls"), "substring-star")
     edges = starred.where(f"100 * least(size, pivot.size) >= {percent} * greatest(size, pivot.size)")
-    edges = edges.groupBy(F.col("cls").alias("u"), F.col("pivot.cls").alias("v")).agg(
-        place("doc_id", "start", "n").alias("pu"), place("pivot.doc_id", "pivot.start", "pivot.n").alias("pv")
-    )
-    edges = materialize(edges, "substring-edges")
-    several = starred.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    several = materialize(starred.drop("pivot", "more", "size").join(several, "key"), "substring-several")
-    ends = edges.select(F.col("u").alias("cls"), F.col("pu").alias("p")).unionByName(edges.select(F.col("v").alias("cls"), F.col("pv").alias("p")))
-    ends = ends.unionByName(several.select("cls", F.struct("doc_id", "start", "n").alias("p")))
-    ends = ends.groupBy("cls").agg(F.min("p").alias("p")).select("cls", "p.*")
-    wanted = ends.groupBy("doc_id").agg(F.collect_list(F.struct("cls", "start", "n")).alias("wanted"))
-    sets = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "cls long, shingles binary")
-    sets = materialize(sets, "substring-sets")
-    links = materialize(_near(edges.select("u", "v"), sets, percent), "substring-links")
-    components = materialize(connected_components(links, "substring-stars"), "substring-components")
-    more = materialize(_near(_missed(several.select("key", "cls"), components, sets, percent), sets, percent), "substring-more")
+    edges = materialize(edges.select(F.col("cls").alias("u"), F.col("pivot.cls").alias("v")).distinct(), "substring-edges")
+    several = materialize(starred.where("n > 2").select("key", "cls"), "substring-several")
+    ends = edges.select(F.col("u").alias("cls")).union(edges.select("v")).union(several.select("cls")).distinct()
+    sets = live.where("shingles IS NOT NULL").select("cls", "shingles").join(ends, "cls", "left_semi")
+    sets = materialize(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "substring-sets")
+    links = materialize(_near(edges, sets, percent), "substring-links")
+    components = connected_components(links, "substring-stars")
+    more = materialize(_near(_missed(several, components, sets, percent), sets, percent), "substring-more")
     if not more.isEmpty():
-        components = materialize(connected_components(links.unionByName(more), "substring-all"), "substring-settled")
+        forget(components)
+        components = connected_components(links.unionByName(more), "substring-all")
 
-    places = met.select("cls", "doc_id", "start", "n", "more").mapInArrow(_places, "cls long, doc_id long, start int, n int").distinct()
+    places = live.select("cls", "doc_id", "start", "n", "more").mapInArrow(_places, "cls long, doc_id long, start int, n int").distinct()
     places = places.join(components.withColumnRenamed("node", "cls"), "cls", "left")
     places = places.select(F.coalesce("component", "cls").alias("component"), "doc_id", "start", "n")
     places = materialize(places, "substring-places")
+    forget(shared, live, starred, edges, several, sets, links, more, components)
     heads = places.groupBy("component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     heads = materialize(heads.where("first < last"), "substring-heads")  # read back, so that a join of a hot component can be split
     repeats = places.join(heads, "component")

@@ -119,13 +119,14 @@ def _land(batches, path: str, split: str, end_id: int):
 
 
 def _once(batches):
-    """A digest's rows follow each other in this task: the first one of each stays."""
-    last = None
+    """A digest's rows are all in this task, and its digests are few beside the rows themselves: the first row of each stays."""
+    seen: set[bytes] = set()
     for batch in batches:
         keep = []
         for d in batch.column("digest").to_pylist():
-            keep.append(d is None or d != last)
-            last = d
+            keep.append(d is None or d not in seen)
+            if d is not None:
+                seen.add(d)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -150,7 +151,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, *, split: str = "
     """
     spark = docs.sparkSession
     landed = docs.select("doc_id", "text").mapInArrow(lambda it: _land(it, vocabulary, split, end_id), LANDED)
-    landed = landed.repartition("key").sortWithinPartitions("digest").mapInArrow(_once, LANDED).drop("key")
+    landed = landed.repartition("key").mapInArrow(_once, LANDED).drop("key")
     landed.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
     own = RECIPE.removeprefix("part int, pos long, start long, ")
     recipes = _read(spark, f"{folder}/objects", "recipe", own) or spark.createDataFrame([], own)

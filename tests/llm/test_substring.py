@@ -140,3 +140,54 @@ def test_distinct_shingles_are_counted():
     shingles = block.shingles()
     want = [len(set(shingles[a : b - 4])) for a, b in zip(block.start, block.stop)]
     assert block.sizes(shingles).tolist() == want
+
+
+def near_pairs(rnd, n, pivots):
+    """Pairs of 60-word texts with one word changed; with ``pivots`` a third text, first by doc_id, too far from both."""
+    fresh = lambda: "".join(rnd.choice("qrstuv") for _ in range(7))
+    made, pairs = [], []
+    for i in range(n):
+        w = prose(rnd, 60).replace(".", "").lower().split()
+        other = list(w)
+        other[rnd.randrange(60)] = fresh()
+        if pivots:
+            far = list(w)
+            far[rnd.randrange(5, 25)], far[rnd.randrange(35, 55)] = fresh(), fresh()
+            made.append((i, " ".join(far)))
+        pairs.append((1000 + 2 * i, 1001 + 2 * i))
+        made += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join(other))]
+    return made, pairs
+
+
+def test_one_changed_word_with_and_without_a_third_text(spark):
+    for pivots in (False, True):
+        made, pairs = near_pairs(random.Random(31), 250, pivots)
+        got = {r["doc_id"]: set(r["components"]) for r in substring.repeated_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+        linked = sum(bool(got.get(a, set()) & got.get(b, set())) for a, b in pairs)
+        assert linked >= 0.99 * len(pairs), (pivots, linked)
+
+
+def test_links_of_paragraphs_against_all_pairs(spark):
+    """Every two paragraphs (lines here) at 0.8 by exact Jaccard on five-word shingles lie in one component: recall 0.98 at least."""
+    rnd = random.Random(32)
+    lines = []
+    for _ in range(60):
+        base = prose(rnd, rnd.randint(30, 80)).split()
+        for _ in range(rnd.randint(1, 6)):
+            w = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                w[rnd.randrange(len(w))] = "".join(rnd.choice("qrstuv") for _ in range(6))
+            lines.append(" ".join(w))
+    rnd.shuffle(lines)
+    made = [(i, line) for i, line in enumerate(lines)]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(line) for line in lines)]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])]
+    got = {r["doc_id"]: set(r["components"]) for r in substring.repeated_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    found = sum(bool(got.get(a, set()) & got.get(b, set())) for a, b in near)
+    assert len(near) > 80 and found >= 0.98 * len(near)
+
+
+def test_equal_short_texts_and_extra_columns(spark):
+    made = [(1, "Some few words", "x"), (2, "some few  words", "y"), (3, "", "z"), (4, None, "z"), (5, "word " * 3, "q"), (6, "other", "q"), (None, "some few words", "n"), (7, "one two three four five six", "k"), (8, "one two three four five six", "k")]
+    got = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(made, "doc_id long, text string, key string")).collect()}
+    assert set(got) == {1, 2, 7, 8} and got[2]["kept_in"] == [1] and got[2]["n_removed_words"] == 3 and got[7]["n_removed_words"] == 0
