@@ -23,9 +23,9 @@ AGREE, WINDOW = 4, 32
 #: may lie in a special token, a contraction or a composed letter that the cut goes through.
 MARGIN = 24
 #: Bytes of text that are encoded together, and ids that are decoded together.
-BLOCK_BYTES, BLOCK_IDS = 4_000_000, 1_000_000
-#: Chunks that a worker remembers (about 200 bytes each).
-REMEMBERED = 600_000
+BLOCK_BYTES, BLOCK_IDS = 2_000_000, 500_000
+#: Chunks that a worker remembers (about 200 bytes each); several workers of an executor encode and decode.
+REMEMBERED = 200_000
 
 
 #: Byte-level spelling: printable Latin-1 characters stand for their own bytes, the others are moved up from U+0100 on.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +13,10 @@ from millrace.llm.common import materialize
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, 20240501
 #: Documents that share a slice of a pattern's seeded order; a slice is the most that one task gathers.
 SLICE = 512
+#: Slices that are summed together before single slices are looked at.
+RUN = 1024
+#: Slices taken in part up to which their list is broadcast (about 5 MB); beyond it they are joined by shuffle.
+BROADCAST_ROWS = 100_000
 #: Membership patterns that the driver routes; they are combinations of sources, so they don't grow with the documents.
 MAX_PATTERNS = 200_000
 _SEP, _NULL, _SOME = "\x01", "-", "="
@@ -46,48 +47,72 @@ def route(capacity: dict[tuple, int], quotas: dict, epochs: int) -> dict[tuple,
     """Words that each pattern gives: a maximum flow of patterns to the quotas of their sources at the least cost.
 
     A pattern's n-th pass over its documents costs n - 1 a word, so that
-    repetition is spread.  Successive shortest paths with potentials.
+    repetition is spread.  As only the arcs into patterns cost anything, the cheapest
+    flow is a maximum flow over first passes, then grown by the second ones, and so
+    on; each by blocking flows on the levels of the residual network.
     """
     patterns, sources = sorted(capacity), sorted({s for p in capacity for s in p})
     number = {p: i + 1 for i, p in enumerate(patterns)} | {s: len(patterns) + 1 + i for i, s in enumerate(sources)}
     end = len(patterns) + len(sources) + 1
-    arcs: list[list] = [[] for _ in range(end + 1)]
+    arcs: list[list] = [[] for _ in range(end + 1)]  # [to, what is left, place of the reverse arc]
 
-    def arc(a: int, b: int, most: int, cost: int):
-        arcs[a].append([b, most, cost, len(arcs[b])])
-        arcs[b].append([a, 0, -cost, len(arcs[a]) - 1])
+    def arc(a: int, b: int, most: int):
+        arcs[a].append([b, most, len(arcs[b])])
+        arcs[b].append([a, 0, len(arcs[a]) - 1])
 
     for p in patterns:
-        for e in range(epochs):
-            arc(0, number[p], capacity[p], e)
+        arc(0, number[p], 0)
         for s in p:
-            arc(number[p], number[s], epochs * capacity[p], 0)
+            arc(number[p], number[s], epochs * capacity[p])
     for s in sources:
-        arc(number[s], end, round(quotas[s]), 0)
-    level = [0] * (end + 1)
+        arc(number[s], end, round(quotas[s]))
+    for _ in range(epochs):
+        for p, own in zip(patterns, arcs[0]):
+            own[1] += capacity[p]
+        while (level := _levels(arcs, end))[end] >= 0:
+            _block(arcs, level, end)
+    return {p: arcs[number[p]][own[2]][1] for p, own in zip(patterns, arcs[0])}
+
+
+def _levels(arcs: list[list], end: int) -> list[int]:
+    """Steps from node 0 over arcs with something left; -1 beyond reach."""
+    level, now = [0] + [-1] * end, [0]
+    while now and level[end] < 0:
+        after = []
+        for a in now:
+            for b, most, _ in arcs[a]:
+                if most > 0 and level[b] < 0:
+                    level[b] = level[a] + 1
+                    after.append(b)
+        now = after
+    return level
+
+
+def _block(arcs: list[list], level: list[int], end: int) -> None:
+    """Push along paths of rising levels until each is blocked; an arc that is passed by isn't looked at again."""
+    at, path = [0] * (end + 1), []
     while True:
-        best, via, queue = [math.inf] * (end + 1), [None] * (end + 1), [(0, 0)]
-        best[0] = 0
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > best[a]:
-                continue
-            for i, (b, most, cost, _) in enumerate(arcs[a]):
-                if most > 0 and (new := d + cost + level[a] - level[b]) < best[b]:
-                    best[b], via[b] = new, (a, i)
-                    heapq.heappush(queue, (new, b))
-        if best[end] == math.inf:
-            break
-        level = [x + y if y < math.inf else x for x, y in zip(level, best)]
-        path, at = [], end
-        while at:
-            path.append(via[at])
-            at = via[at][0]
-        least = min(arcs[a][i][1] for a, i in path)
-        for a, i in path:
-            arcs[a][i][1] -= least
-            arcs[arcs[a][i][0]][arcs[a][i][3]][1] += least
-    return {p: sum(arcs[number[p]][back][1] for b, _, _, back in arcs[0] if b == number[p]) for p in patterns}
+        a = path[-1][0] if path else 0
+        if a == end:
+            least = min(x[1] for x in path)
+            for x in path:
+                x[1] -= least
+                arcs[x[0]][x[2]][1] += least
+            cut = next(i for i, x in enumerate(path) if x[1] == 0)
+            del path[cut:]
+            continue
+        while at[a] < len(arcs[a]):
+            x = arcs[a][at[a]]
+            if x[1] > 0 and level[x[0]] == level[a] + 1:
+                break
+            at[a] += 1
+        if at[a] < len(arcs[a]):
+            path.append(arcs[a][at[a]])
+        elif path:
+            path.pop()
+            at[path[-1][0] if path else 0] += 1
+        else:
+            return
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,12 +128,26 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
 _CHOSEN = "pattern string, h long, doc_id long, slice long, size long"
 
 
+def _first_over(sums: DataFrame, by: str) -> DataFrame:
+    """(pattern, by, before) of ``sums`` (pattern, by, words, left): the first ``by`` that ends beyond what is left, and the words before it."""
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy(by))
+    last = sums.withColumn("upto", upto).where("upto > left").groupBy("pattern").agg(F.min(F.struct(by, "upto", "words")).alias("s"))
+    return last.select("pattern", f"s.{by}", (F.col("s.upto") - F.col("s.words")).alias("before"))
+
+
 def _border(rows: DataFrame) -> DataFrame:
-    """(pattern, border, before) of ``rows`` (pattern, slice, size, left): the first slice that ends beyond what is left."""
-    sums = rows.groupBy("pattern", "slice", "left").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("slice"))
-    last = sums.withColumn("upto", upto).where("upto > left").groupBy("pattern").agg(F.min(F.struct("slice", "upto", "words")).alias("s"))
-    return last.select("pattern", F.col("s.slice").alias("border"), (F.col("s.upto") - F.col("s.words")).alias("before"))
+    """(pattern, border, before) of ``rows`` (pattern, slice, size, left): the first slice that ends beyond what is left.
+
+    Runs of ``RUN`` slices are looked through first, then the slices of one run, so
+    that a pattern of a third of all documents has few rows in a window.
+    """
+    sums = materialize(rows.groupBy("pattern", "slice", "left").agg(F.sum("size").alias("words")), "mix-sums")
+    run = F.floor(F.col("slice") / RUN)
+    coarse = _first_over(sums.groupBy("pattern", run.alias("run"), "left").agg(F.sum("words").alias("words")), "run")
+    inner = sums.join(coarse.withColumnRenamed("before", "passed"), "pattern").where(run == F.col("run"))
+    fine = _first_over(inner.select("pattern", "slice", "words", (F.col("left") - F.col("passed")).alias("left")), "slice")
+    both = fine.join(coarse.select("pattern", F.col("before").alias("passed")), "pattern")
+    return both.select("pattern", F.col("slice").alias("border"), (F.col("before") + F.col("passed")).alias("before"))
 
 
 def _filled(edge: DataFrame) -> DataFrame:
@@ -162,14 +201,18 @@ def mix(
     over its documents, and for the rest the first slices of its seeded order, and
     of those that follow every document that still fits.  ``target`` and ``source_size`` are the
     first member's.  No document is taken more than ``cap`` times; one without
-    members is never taken.  Repeated rows of a doc_id are taken together.  The
+    members is never taken.  Repeated rows of a doc_id are taken together, as are
+    rows without a doc_id of equal members and size; equal hashes go by doc_id.  An
+    empty or null text has no words and is taken with the passes of its pattern; a text
+    of more words than its source still needs is left to the passes.  The
     result depends on the rows and the seed alone, not on their order.
     """
     spark = docs.sparkSession
     name = lambda x: F.coalesce(F.concat(F.lit(_SOME), x), F.lit(_NULL))
     work = docs.select(F.struct("*").alias("row"), F.col("doc_id"), members.alias("members"), size.alias("size"))
     keys = F.array_sort(F.array_distinct(F.transform("members", name)))
-    work = work.withColumns({"pattern": F.array_join(keys, _SEP), "h": F.xxhash64("doc_id", F.lit(seed))})
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("members", "size", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    work = work.withColumns({"pattern": F.array_join(keys, _SEP), "h": own})
     totals = work.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     found = totals.limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -207,11 +250,13 @@ def mix(
     if more_chosen is not None:
         chosen = chosen.unionByName(more_chosen)
 
-    wide = work.join(plan.join(last.drop("before"), "pattern", "left"), "pattern").withColumn("slice", where)
+    # a row for each pattern, 200,000 at most: texts stay where they are
+    wide = work.join(F.broadcast(plan.join(last.drop("before"), "pattern", "left")), "pattern").withColumn("slice", where)
     more = F.col("left") > 0
-    # one row for SLICE documents at most, so that texts move only where a slice is taken in part
     parted = chosen.select("pattern", "slice").unionByName(last.select("pattern", F.col("border").alias("slice"))).distinct()
-    wide = wide.join(F.broadcast(parted.withColumn("parted", F.lit(True))), ["pattern", "slice"], "left")
+    parted = materialize(parted.withColumn("parted", F.lit(True)), "mix-parted")
+    few = parted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wide = wide.join(F.broadcast(parted) if few else parted, ["pattern", "slice"], "left")
     inner = wide.where("parted IS NULL")
     inner = inner.withColumn("times", F.col("passes") + F.when(more & (F.col("slice") < F.col("border")), 1).otherwise(0))
     picked = chosen.select(F.col("pattern").alias("p"), F.col("h").alias("ph"), F.col("doc_id").alias("pd"), F.lit(1).alias("one"))
