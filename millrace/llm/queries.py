@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, bpe, licenses, mixing, near_dup, quality, secret_scan, substring, tokenstore, warc
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import materialize, shared_dir, table
 
 
 def op1_substring(spark, sf_dir):
@@ -47,9 +47,12 @@ def op8_near_dup(spark, sf_dir):
 
 def op9_warc(spark, sf_dir):
     folder = shared_dir(spark, "warc")
-    warc.write_warc(table(spark, sf_dir, "pages"), folder)
-    records = warc.read_warc(spark, folder, payloads=False).where("record_type <> 'gap'")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    read = materialize(warc.read_warc(spark, folder, payloads=False).drop("payload"), "warc-read")
+    written, (records, gaps) = files.agg(F.sum("records")).first()[0] or 0, read.agg(F.count_if(F.col("record_type") != "gap"), F.count_if(F.col("record_type") == "gap")).first()
+    if (written, 0) != (records, gaps):
+        raise ValueError(f"{written} records were written, {records} read, with {gaps} gaps")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_ann(spark, sf_dir):

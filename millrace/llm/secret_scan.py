@@ -8,6 +8,7 @@ import bisect
 import codecs
 import re
 import zlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ _ASSIGN = re.compile(
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 _URL, _UNICODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+#: The shortest secret is 14 bytes, which is 19 characters of base64.
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, as MIME, PEM and the base64 command write it.
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
@@ -30,8 +32,11 @@ _BREAK = re.compile(r"[\s]+")
 #: Secrets and encoded runs are ASCII, so this much of a run's bytes is what may hold one.
 _ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{8,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
-#: A compressed layer that inflates beyond this many bytes stays closed and is counted.
-MAX_LAYER = 64_000_000
+#: What inflates is scanned in windows of about so many bytes, each of which ends after a byte that no secret and no encoded run holds.
+WINDOW_BYTES, _STEP = 4_000_000, 1 << 18
+_UPTO_EDGE = re.compile(rb"(?s).*[^A-Za-z0-9+/_.=%\\\"':\s\x80-\xff-]")
+#: An encoded run that inflates beyond this many bytes is scanned up to there and counted: this bounds time, windows bound memory.
+MAX_LAYER = 16_000_000_000
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -116,46 +121,92 @@ def _from_unicode(run: str) -> str | None:
     return None if new.upper() == run.upper() else new
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """What gzip (all members) or zlib data holds; None if it isn't that; ValueError beyond ``most`` bytes."""
-    out = b""
-    while True:
-        unpack = zlib.decompressobj(47)
+def _inflate(pieces, state: dict):
+    """What gzip (all members) or zlib data holds, piece by piece.  Where nothing comes out, the data itself, marked plain."""
+    held, unpack, data, some = [], zlib.decompressobj(47), b"", False
+    while data := data or next(pieces, b""):
+        if not some:
+            held.append(data)
         try:
-            out += unpack.decompress(data, most + 1 - len(out))
+            new = unpack.decompress(data, _STEP)
         except zlib.error:
-            return out or None
-        if len(out) > most:
-            raise ValueError("too large")
-        data = unpack.unused_data
-        if not unpack.eof or data[:2] != b"\x1f\x8b":
-            return out
-
-
-def _text_of(data: bytes, most: int) -> str | None:
-    """The text in bytes that may be compressed any number of times."""
-    seen = set()
-    while data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        if data in seen or (inner := _inflated(data, most)) is None:
+            new, unpack = b"", None
+        if new:
+            some, held = True, []
+            state["left"] -= len(new)
+            if state["left"] < 0:
+                raise ValueError("too large")
+            yield new
+        if unpack is None:
             break
-        seen.add(data)
-        data = inner
-    text = _strict(data, "utf-8")
-    if not text or sum(c.isprintable() or c.isspace() for c in text) < 0.95 * len(text):
-        return None
-    return text
+        data = unpack.unconsumed_tail
+        if unpack.eof:
+            data = unpack.unused_data
+            while len(data) < 2 and (more := next(pieces, b"")):
+                data += more
+            if data[:2] != b"\x1f\x8b":
+                break
+            unpack = zlib.decompressobj(47)
+    if not some:
+        state["plain"] = True
+        yield from held
+        yield from pieces
+
+
+def _unpacked(data: bytes, most: int):
+    """(pieces, whether anything was inflated) of data that may be compressed any number of times."""
+    pieces, state, inflated = iter([data]), {"left": most, "plain": False}, False
+    while True:
+        head, held = b"", []
+        while len(head) < 3 and (piece := next(pieces, b"")):
+            head += piece
+            held.append(piece)
+        pieces = chain(held, pieces)
+        if state["plain"] or not _PACKED.match(head):
+            return pieces, inflated
+        inner = _inflate(pieces, state)
+        pieces = chain([next(inner, b"")], inner)
+        inflated |= not state["plain"]
+
+
+def _windows(pieces):
+    """The pieces joined to windows that end where no secret and no encoded run can lie."""
+    rest = bytearray()
+    for piece in pieces:
+        rest += piece
+        if len(rest) >= WINDOW_BYTES and (m := _UPTO_EDGE.match(rest)):
+            end = m.end()
+            m = None
+            yield bytes(rest[:end])
+            del rest[:end]
+    if rest:
+        yield bytes(rest)
+
+
+def _texts(data: bytes, most: int):
+    """The text in bytes that may be compressed any number of times, in windows; "" where there is more than ``most`` bytes of it.
+
+    Bytes that aren't compressed must be UTF-8; in inflated ones, what isn't is replaced.
+    """
+    try:
+        pieces, inflated = _unpacked(data, most)
+        for window in _windows(pieces):
+            text = window.decode("utf-8", "replace") if inflated else _strict(window, "utf-8")
+            if text:
+                yield text
+    except (ValueError, RecursionError):
+        yield ""
 
 
-def _opened(blob: str, most: int) -> str | None:
-    """The text in a base64 run, whose bytes may be compressed any number of times."""
+def _decoded(blob: str) -> bytes | None:
+    """The bytes of a base64 run that is one as a whole."""
     core = blob.rstrip("=")
     if len(core) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(core + "=" * (-len(core) % 4), altchars=b"-_" if "-" in core or "_" in core else None)
+        return base64.b64decode(core + "=" * (-len(core) % 4), altchars=b"-_" if "-" in core or "_" in core else None)
     except binascii.Error:
         return None
-    return _text_of(data, most)
 
 
 def _parts(run: str, most: int):
@@ -172,16 +223,37 @@ def _parts(run: str, most: int):
         for m in _ASCII.finditer(data):
             yield m[0].decode("ascii"), shift + m.start() // 3 * 4, min(shift + -(-m.end() // 3) * 4, len(run))
         for m in _PACKED.finditer(data):
-            try:
-                text = _text_of(data[m.start() :], most)
-            except ValueError:
-                text = ""
-            if text is not None:
+            for text in _packed(data[m.start() :], most):
                 yield text, shift + m.start() // 3 * 4, len(run)
 
 
+def _packed(data: bytes, most: int):
+    """The texts of data that looks compressed, where it is."""
+    try:
+        pieces, inflated = _unpacked(data, most)
+        for window in _windows(pieces) if inflated else ():
+            yield window.decode("utf-8", "replace")
+    except (ValueError, RecursionError):
+        yield ""
+
+
+def _escaped(layer_text: str, most: int):
+    """(text, start, end) of what compressed bytes in runs of URL or Unicode escapes hold."""
+    for pattern, width, take in ((_URL, 3, slice(1, 3)), (_UNICODE, 6, slice(4, 6))):
+        if (pattern is _URL and "%" not in layer_text) or (pattern is _UNICODE and "\\u" not in layer_text):
+            continue
+        for m in pattern.finditer(layer_text):
+            run = m[0]
+            if len(run) < 8 * width:
+                continue  # fewer bytes than a compressed stream has
+            data = bytes.fromhex("".join(run[i : i + width][take] for i in range(0, len(run), width)))
+            for p in _PACKED.finditer(data):
+                for text in _packed(data[p.start() :], most):
+                    yield text, m.start() + width * p.start(), m.end()
+
+
 def find(text: str, most: int = MAX_LAYER) -> tuple[list, list, int]:
-    """(base spans, all spans, layers left closed) of a text; spans (start, kind, end) in code points.
+    """(base spans, all spans, runs that inflate beyond ``most`` bytes) of a text; spans (start, kind, end) in code points.
 
     The worklist holds layers.  Each is scanned; one with URL or Unicode escapes
     has them replaced, which gives a new layer, what is no valid escape staying as it
@@ -205,16 +277,18 @@ def find(text: str, most: int = MAX_LAYER) -> tuple[list, list, int]:
             work += filter(None, [_replaced(layer, _URL, _from_url)])
         if "\\u" in layer.text:
             work += filter(None, [_replaced(layer, _UNICODE, _from_unicode)])
-        for m in _BLOB.finditer(layer.text):
-            try:
-                inner = _opened(m[0], most)
-            except ValueError:
-                closed += 1
-                continue
+        for inner, start, end in _escaped(layer.text, most):
+            closed += not inner
             if inner:
-                work.append(Layer(inner, layer, [(0, len(inner), m.start(), m.end())]))
-                continue
-            for inner, start, end in _parts(m[0], most):
+                work.append(Layer(inner, layer, [(0, len(inner), start, end)]))
+        for m in _BLOB.finditer(layer.text):
+            data, whole = _decoded(m[0]), False
+            for inner in _texts(data, most) if data else ():
+                closed += not inner
+                whole = True
+                if inner:
+                    work.append(Layer(inner, layer, [(0, len(inner), m.start(), m.end())]))
+            for inner, start, end in _parts(m[0], most) if not whole else ():
                 closed += not inner
                 if inner:
                     work.append(Layer(inner, layer, [(0, len(inner), m.start() + start, m.start() + end)]))
@@ -251,8 +325,9 @@ def find_secrets(docs: DataFrame, *, max_layer: int = MAX_LAYER) -> DataFrame:
     ``base`` holds the spans in plain sight, ``spans`` those and what decoding
     adds, each by start and kind.  Null and empty texts have none; rows with a
     null or repeated doc_id are scanned like any other; other columns are
-    ignored.  ``n_closed`` counts compressed layers of more than ``max_layer``
-    bytes, which bound the memory of a task and are not looked into.
+    ignored.  A very long text is scanned whole, in one task; what it holds in compressed
+    form is inflated and scanned in windows.  ``n_closed`` counts encoded runs that
+    inflate to more than ``max_layer`` bytes; they are scanned up to there.
     """
     schema = f"doc_id long, base {_SPANS}, spans {_SPANS}, n_closed long"
     return docs.select("doc_id", "text").mapInArrow(lambda it: _find(it, max_layer), schema)

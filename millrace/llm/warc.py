@@ -91,7 +91,7 @@ def write_warc(
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the
     largest page_id is a response and the others revisit it; rows that repeat that
     page_id are responses too, and a null page_id is smaller than any.  A null html
-    is an empty payload.  Other columns are ignored.
+    is an empty payload, a null url an empty one; a very long html is one record.  Other columns are ignored.
     """
     path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)  # also where there is nothing to write
@@ -150,22 +150,47 @@ def _plain(data: memoryview, whole: bytes, at: int) -> tuple[bytes, int] | None:
     return (whole[at:end], end) if end <= len(data) else None
 
 
+def _records(member: bytes):
+    """(headers, block) of each record in what a gzip member holds, (None, None) for bytes that are in none."""
+    data, at, bad = memoryview(member), 0, 0
+    while at < len(member):
+        found = _plain(data, member, at) if member.startswith(_VERSION, at) else None
+        good = _parsed(found[0]) if found else None
+        if good:
+            if bad < at:
+                yield None, None
+            good[0]["place in member"] = f"{at}-{found[1]}"
+            yield good
+            at = bad = found[1]
+        else:
+            at = member.find(_VERSION, at + 1)
+            at = len(member) if at < 0 else at
+    if bad < len(member):
+        yield None, None
+
+
 def salvage(whole: bytes):
     """(start, end, headers, block) of each good record; headers is None for a quarantined gap of bytes.
 
-    Records are gzip members or plain.  Where one fails a check, the next place
-    with a member's magic number or a version line whose record passes is looked
-    for, and all bytes up to it are one gap.
+    Records are plain, or in gzip members, of which one may hold several; those have the
+    member's start and end, and their own in the header "place in member".  Where a
+    record fails a check, the next place with a member's magic number or a version
+    line whose record passes is looked for, and all bytes up to it are one gap; a
+    member that inflates is looked through in the same way.
     """
     data, at, bad = memoryview(whole), 0, 0
     while at < len(whole):
-        packed = whole.startswith(_MAGIC, at)
-        found = _member(data, at) if packed else _plain(data, whole, at) if whole.startswith(_VERSION, at) else None
-        good = _parsed(found[0]) if found else None
-        if good:
+        if whole.startswith(_MAGIC, at):
+            found = _member(data, at)
+            good = list(_records(found[0])) if found else []
+        else:
+            found = _plain(data, whole, at) if whole.startswith(_VERSION, at) else None
+            good = [_parsed(found[0])] if found else []
+        if any(x and x[0] for x in good):
             if bad < at:
                 yield bad, at, None, None
-            yield at, found[1], *good
+            for x in good:
+                yield at, found[1], *x
             at = bad = found[1]
         else:
             places = [p for p in (whole.find(_MAGIC, at + 1), whole.find(_VERSION, at + 1)) if p >= 0]
@@ -192,16 +217,20 @@ def _row(file: str, start: int, end: int, headers: dict | None, block: bytes | N
     row = {"file": file, "start": start, "end": end, "record_type": "gap"}
     if headers is None:
         return row
-    head, _, payload = block.partition(_END)
     kind, digest = headers.get("warc-type"), headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    length = len(payload)
-    if kind == "response" and base32_sha1(payload) != digest:
-        return row
-    if kind == "revisit":
-        length = int(head.rpartition(b"Content-Length:")[2].split(b"\r\n")[0] or 0)
+    http = headers.get("content-type", "").startswith("application/http")
+    head, _, payload = block.partition(_END) if http else (b"", b"", block)
+    length, page = len(payload), _page(headers.get("warc-record-id"))
+    if kind != "revisit":
+        own = base32_sha1(payload)
+        if digest and digest != own:
+            return row | {"page_id": page, "payload_digest": digest}
+        digest = own
+    elif found := head.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0].strip():
+        length = int(found) if found.isdigit() else 0
     return row | {
-        "record_type": kind, "page_id": _page(headers.get("warc-record-id")), "payload_bytes": length, "payload_digest": digest,
-        "refers_to": _page(headers.get("warc-refers-to")), "payload": payload if keep and kind == "response" else None,
+        "record_type": kind, "page_id": page, "payload_bytes": length, "payload_digest": digest,
+        "refers_to": _page(headers.get("warc-refers-to")), "payload": payload if keep and kind != "revisit" else None,
     }
 
 
@@ -222,8 +251,10 @@ def read_warc(spark: SparkSession, folder: str, *, payloads: bool = True) -> Dat
     """One row for each record, and one of record_type "gap" for each quarantined range of bytes.
 
     (file, start, end, record_type, page_id, payload_bytes, payload_digest,
-    refers_to, payload); a response whose payload doesn't have its digest is a gap.
-    An empty file gives no rows.
+    refers_to, payload).  A record whose payload doesn't have its digest is a gap that
+    keeps the digest and page_id it claims; one without a digest is given its own.  Record
+    types other than response and revisit are rows like any other, their whole block the payload.
+    An empty file gives no rows.  A task reads a file whole (2 GB at most), and one member or record at a time.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     return files.mapInArrow(lambda it: _read(it, payloads), _READ_SQL)

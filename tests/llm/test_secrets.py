@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
@@ -47,7 +48,7 @@ LAYERS = [
 def test_nested_layers_map_back(layer):
     text = f"é before {layer} after"
     plain, spans, closed = s.find(text)
-    assert closed == 0 and len(spans) > len(plain) or plain
+    assert closed == 0 and (len(spans) > len(plain) or plain)
     assert any(9 <= a < b <= 9 + len(layer) for a, _, b in spans)
     assert set(plain) <= set(spans)
     assert "abcdefgh1234" not in s.masked(text, "<secret>") and s.masked(text, "<secret>").startswith("é before ")
@@ -77,6 +78,9 @@ UNUSUAL = [
     wrap(b64("x" * 45 + SECRET)), f"path/{b64(SECRET)}", f"key-{b64(SECRET)}", f"name_{b64(SECRET)}", f"some/{b64(gzip.compress(SECRET.encode()))}",
     quote(SECRET) + "%E9", "%E9" + "".join(f"%{ord(c):02x}" for c in SECRET), "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in SECRET),
     b64(gzip.compress(b"first member ") + gzip.compress(SECRET.encode())),
+    "%FF" + "".join(f"%{ord(c):02x}" for c in SECRET), b64(SECRET.encode() + " caf\xe9 au lait".encode("latin-1")), b64(("\x01" * 8 + SECRET).encode()),
+    "".join(f"%{c:02x}" for c in gzip.compress(SECRET.encode())), "".join(f"\\u{c:04x}" for c in gzip.compress(SECRET.encode())),
+    b64(gzip.compress("\xe9 ".encode("latin-1") + SECRET.encode())), b64(gzip.compress(zlib.compress(b"x^2 " + SECRET.encode()))),
 ]
 
 
@@ -92,3 +96,19 @@ def test_wrapped_shifted_and_partly_invalid_runs(layer):
 def test_plain_words_give_no_layers_with_secrets():
     text = "internationalization-of-everything\nsome/path/to/a_long_name_of_a_file\n" * 50
     assert s.find(text)[1:] == ([], 0)
+
+
+def test_large_layers_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(s, "WINDOW_BYTES", 1000)
+    rnd, words = random.Random(4), ["some", "word,", "more;", "text\n", "(x)", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo="]
+    for _ in range(30):
+        filler = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+        inner = f"{filler(rnd.randint(0, 900))} {rnd.choice(LAYERS)} {filler(rnd.randint(0, 900))}"
+        text = f"é before {b64(gzip.compress(gzip.compress(inner.encode())))} after"
+        plain, spans, closed = s.find(text)
+        assert closed == 0 and any(a == 9 and k == 0 for a, k, b in set(spans) - set(plain))
+
+
+def test_text_that_only_looks_compressed():
+    for start in ("x^2 + y ", "x\x01 "):
+        assert s.find(f"a {b64(start + SECRET)} b")[1]

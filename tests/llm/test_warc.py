@@ -88,3 +88,28 @@ def test_gaps_are_logged(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(good[:-9] + good)
     rows = sorted((r["start"], r["end"], r["record_type"]) for r in warc.read_warc(spark, str(tmp_path)).collect())
     assert rows == [(0, len(good) - 9, "gap"), (len(good) - 9, 2 * len(good) - 9, "response")]
+
+
+def zipped(raw):
+    c = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return c.compress(raw) + c.flush()
+
+
+def test_several_records_in_a_member():
+    """All are found, also behind a damaged one in the same member; the member's other bytes are gaps."""
+    raw = [member(i, True) for i in range(12)]
+    hurt = bytearray(raw[5])
+    hurt[len(hurt) // 2] ^= 0x55
+    data = zipped(b"".join(raw[:3])) + b"junk" + zipped(b"".join([*raw[3:5], bytes(hurt), *raw[6:9]])) + raw[9] + zipped(raw[10] + raw[11] + b"tail")
+    found = list(warc.salvage(data))
+    assert [warc._page(h["warc-record-id"]) for _, _, h, _ in found if h] == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+    assert sum(h is None for _, _, h, _ in found) == 3
+
+
+def test_records_without_digest_and_of_other_types(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    plain = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:5>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(info + plain)
+    rows = sorted((r["record_type"], r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert rows == [("response", 5, 5, sha(b"hello")), ("warcinfo", None, 3, sha(b"abc"))]
