@@ -19,13 +19,13 @@ def brute(text):
     for phrase, label in licenses.PHRASES.items():
         p = phrase.split()
         hits += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
-    for line in text.split("\n"):
-        block = set(WORD.findall(line))
-        for label, t in licenses.TEMPLATES.items():
-            w = licenses.template_words(t)
-            share = len(block & set(w)) / len(w)
-            if share >= licenses.THRESHOLD - 1e-9:
-                shares[label] = max(share, shares.get(label, 0))
+    for t in licenses.TEMPLATES:
+        own, n = set(licenses.template_words(t.text)), 3 * len(re.findall("[0-9a-z]+", t.text.lower())) // 2
+        for i in range(len(words)):
+            block = set(words[i : i + n])
+            share = len(block & own) / len(own)
+            if words[i] in own and share >= licenses.THRESHOLD - 1e-9 and block >= set(t.must.split()) and not block & set(t.never.split()):
+                shares[t.label] = max(share, shares.get(t.label, 0))
     base = {h[1] for h in hits}
     return (
         len(words), len(hits), min(hits)[0] if hits else None, max(h[0] for h in hits) if hits else None,
@@ -35,10 +35,10 @@ def brute(text):
 
 def made(rows):
     rnd, out = random.Random(8), list(rows)
-    words = [w for t in licenses.TEMPLATES.values() for w in licenses.template_words(t)] + ["cc", "by", "All", "RIGHTS", "reserved", "Kit", "é"]
+    words = [w for t in licenses.TEMPLATES for w in licenses.template_words(t.text) + t.must.split() * 2 + t.never.split()] + ["cc", "by", "All", "RIGHTS", "reserved", "Kit", "é"]
     for i in range(400):
         lines = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))) for _ in range(3)]
-        t = rnd.choice(list(licenses.TEMPLATES.values())).split()
+        t = rnd.choice(licenses.TEMPLATES).text.split()
         for _ in range(rnd.randint(0, 3)):
             t[rnd.randrange(len(t))] = rnd.choice(["x", "é", "the"])
         lines.insert(rnd.randint(0, 3), rnd.choice([" ", ", ", "-"]).join(t))
@@ -71,4 +71,27 @@ def test_query_against_sql(spark, docs, tmp_path):
 
 def test_no_templates_and_no_rows(docs, none):
     assert licenses.scan_licenses(none).collect() == []
-    assert {r["score"] for r in licenses.scan_licenses(docs, templates={}).collect()} == {0.0, 1.0}
+    assert {r["score"] for r in licenses.scan_licenses(docs, templates=[]).collect()} == {0.0, 1.0}
+
+
+BSD = next(t.text for t in licenses.TEMPLATES if t.label == "bsd")
+CASES = {
+    "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+    "licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+    "Licensed under the MIT License, version 2.0": "mit",
+    "The license under which it was released expired": "",
+    "licensed under the GNU Lesser General Public License, version 3": "gpl",
+    "Permission is hereby granted, free of charge, to any person\n obtaining a copy of this software and associated\ndocumentation files (the Software)": "mit",
+    BSD.replace(", ", ",\n * "): "bsd",
+    " ".join(w + " of many words" * 3 for w in "released under the mit license".split()): "",
+    None: "",
+    "": "",
+    "x " * 30_000 + "Released under the\nMIT License": "mit",
+}
+
+
+def test_labels_are_right(spark):
+    made = [(i, t, "x") for i, t in enumerate(CASES)]
+    got = licenses.scan_licenses(spark.createDataFrame(made, "doc_id long, text string, hits string")).collect()
+    assert {list(CASES)[r["doc_id"]]: r["labels"] for r in got} == CASES
