@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, slices
+from millrace.llm.common import byte_strings, materialize, slices
 
 #: Texts of more characters are cut into leaves, which are encoded in parallel.
 LONG_CHARS, LEAF_CHARS = 65_536, 32_768
@@ -207,13 +207,6 @@ def chunk_encoder(path: str, split: str, limit: int) -> ChunkEncoder:
     return ChunkEncoder(path, split, limit)
 
 
-def byte_strings(column: pa.Array) -> list[bytes]:
-    """to_pylist() of a binary column without nulls, much faster."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
-    whole = column.buffers()[2].to_pybytes() if column.buffers()[2] else b""
-    return [whole[a:b] for a, b in zip(offsets, offsets[1:])]
-
-
 def list_array(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
 

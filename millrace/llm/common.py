@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, as bytes.split() takes it: \x20 and \x09-\x0D.
@@ -88,6 +89,41 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return int((large[np.minimum(at, len(large) - 1)] == small).sum())
 
 
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """to_pylist() of a binary column without nulls, much faster."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+    whole = column.buffers()[2].to_pybytes() if column.buffers()[2] else b""
+    return [whole[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+_LOWER = bytes(range(256)).lower()
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+
+
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some texts as ``(t or b"").lower().split()`` gives them, by vector code.
+
+    (distinct words, the number of each word among them, the words up to each text's end, the words up to each line's end).
+    """
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    whole = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]] if len(texts) else b""
+    data, offsets = np.frombuffer(bytes(whole).translate(_LOWER), np.uint8), offsets - offsets[0]
+    blank = _BLANK[data]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(data)]
+    first[inner] = ~blank[inner]
+    starts = np.flatnonzero(first)
+    line_ends = np.searchsorted(starts, np.sort(np.append(np.flatnonzero(data == 10), offsets[1:])))
+    line_ends = line_ends[np.diff(line_ends, prepend=0) > 0]
+    kept = data[~blank]
+    bounds = np.append((starts - np.cumsum(blank)[starts]), len(kept)).astype(np.int32) if len(starts) else np.zeros(1, np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
+    return byte_strings(words.dictionary), words.indices.to_numpy(), np.searchsorted(starts, offsets[1:]), line_ends
+
+
 class WordHash(dict):
     """64-bit hash of a word (bytes), remembered; forgets all at ``limit`` words."""
 
@@ -101,7 +137,7 @@ class WordHash(dict):
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.array(list(map(self.__getitem__, words)), np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, WordHash, common_count, distinct_sorted, forget, materialize, mix, slices
+from millrace.llm.common import M1, M2, M3, WordHash, common_count, distinct_sorted, forget, materialize, mix, slices, split_words
 from millrace.llm.components import connected_components
 
 #: 26 bands of 5 minima: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2.4e-7.
@@ -22,22 +21,21 @@ ORDER_CELLS = 1 << 20
 BLOCK_WORDS = 500_000
 
 
-def shingle_sets(texts: list[bytes | None], hashes: WordHash, k: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, hashes: WordHash, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, ASCII letters lower-cased.
 
     Null, empty and blank texts have the empty set; one with fewer than ``k``
     words has the whole sequence as its one shingle.
     """
-    words = [(t or b"").lower().split() for t in texts]
-    flat = hashes.array(list(chain.from_iterable(words)))
-    ends = np.cumsum([len(w) for w in words])
+    words, index, ends, _ = split_words(texts)
+    flat = hashes.array(words)[index] if words else np.zeros(0, np.uint64)
     sets, start = [], 0
     turn = mix(np.arange(1, k + 1, dtype=np.uint64) * M1) | np.uint64(1)
     rolled = np.zeros(max(0, len(flat) - k + 1), np.uint64)
     for i in range(k):
         rolled += mix(flat[i : len(flat) - k + 1 + i] ^ turn[i]) * turn[i]
     rolled = mix(rolled)
-    for end in ends:
+    for end in ends.tolist():
         n = end - start
         if n >= k:
             sets.append(distinct_sorted(rolled[start : end - k + 1]))
@@ -79,7 +77,7 @@ def _sketches(batches, k: int, bands: int, rows: int):
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
         lengths = [len(t) // 6 + 1 if (t := x.as_py()) else 1 for x in texts]
         for lo, hi in slices(lengths, BLOCK_WORDS):
-            sets = shingle_sets(texts.slice(lo, hi - lo).to_pylist(), hashes, k)
+            sets = shingle_sets(texts.slice(lo, hi - lo), hashes, k)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             if full:
@@ -107,8 +105,7 @@ def _verified(batches, k: int, percent: int):
         for lo, hi in slices([n // 6 + 1 for n in sizes], BLOCK_WORDS):
             part = batch.slice(lo, hi - lo)
             pivots = part.column(2).cast(pa.binary()).dictionary_encode()
-            left = shingle_sets(pivots.dictionary.to_pylist(), hashes, k)
-            right = shingle_sets(part.column(3).cast(pa.binary()).to_pylist(), hashes, k)
+            left, right = shingle_sets(pivots.dictionary, hashes, k), shingle_sets(part.column(3), hashes, k)
             near = []
             for i, b in zip(pivots.indices.to_pylist(), right):
                 a = left[i]
@@ -214,7 +211,7 @@ def _set_blocks(batches, hashes: WordHash, k: int):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for lo, hi in slices([len(t.as_py()) // 6 + 1 for t in texts], BLOCK_WORDS):
-            yield batch.slice(lo, hi - lo), shingle_sets(texts.slice(lo, hi - lo).to_pylist(), hashes, k)
+            yield batch.slice(lo, hi - lo), shingle_sets(texts.slice(lo, hi - lo), hashes, k)
 
 
 def _cross_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -238,8 +235,8 @@ def _cross_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     return prefix_pairs(rows, percent)
 
 
-def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that meet at a token of both prefixes (doc_id, comp, n, token, rest)."""
+def prefix_pairs(rows: DataFrame, percent: int, also: str = "TRUE") -> DataFrame:
+    """Pairs (u, v) of different components that meet at a token of both prefixes (doc_id, comp, n, token, rest) and for which ``also`` holds."""
     enough = lambda a, b: f"{100 + percent} * least({a}.rest, {b}.rest) >= {percent} * ({a}.n + {b}.n)"
     longest = rows.groupBy("token", "n", "comp").agg(F.max("rest").alias("rest"))
     first = longest.groupBy("token", "n").agg(F.max_by("comp", F.struct("rest", "comp")).alias("comp"), F.max("rest").alias("rest"))
@@ -248,7 +245,7 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     rivals = first.select("token", "n", "comp", "rest").unionByName(second.withColumn("comp", F.lit(None).cast("long")), True)
     other = f"a.token = b.token AND (b.comp IS NULL OR a.comp <> b.comp) AND {enough('a', 'b')}"
     live = materialize(rows.alias("a").join(rivals.alias("b"), F.expr(other), "left_semi"), "near-live")
-    near = f"a.token = b.token AND a.doc_id < b.doc_id AND a.comp <> b.comp AND {enough('a', 'b')}"
+    near = f"a.token = b.token AND a.doc_id < b.doc_id AND a.comp <> b.comp AND {enough('a', 'b')} AND {also}"
     pairs = live.alias("a").join(live.alias("b"), F.expr(near))
     return pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
 

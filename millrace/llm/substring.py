@@ -6,11 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import byte_strings
-from millrace.llm.common import M1, M2, M3, common_count, distinct_sorted, forget, materialize, mix, slices
+from millrace.llm.common import M1, M2, M3, byte_strings, common_count, distinct_sorted, forget, materialize, mix, slices, split_words
 from millrace.llm.components import connected_components
 from millrace.llm.near_dup import ORDER_CELLS, prefix_pairs
 
@@ -50,22 +50,12 @@ class Block:
     ``near`` tells which are paragraphs.
     """
 
-    def __init__(self, texts: list[bytes | None], hashes: _Words):
-        words, counts, line_ends, n = [], [], [], 0
-        for text in texts:
-            before = n
-            for line in (text or b"").lower().split(b"\n"):
-                own = line.split()
-                if own:
-                    words += own
-                    n += len(own)
-                    line_ends.append(n)
-            counts.append(n - before)
-        self.hash = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-        self.ends_of_docs = np.cumsum(counts)
-        self.counts = np.array(counts, np.int64)
+    def __init__(self, texts: pa.Array | list[bytes | None], hashes: _Words):
+        words, index, self.ends_of_docs, line_ends = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        self.hash = np.array(list(map(hashes.__getitem__, words)), np.uint64)[index]
+        self.counts = np.diff(self.ends_of_docs, prepend=0)
         self.shingle = self.shingles()
-        self._paragraphs(np.array(line_ends, np.int64))
+        self._paragraphs(line_ends)
 
     def _paragraphs(self, line_ends: np.ndarray):
         lengths = np.diff(line_ends, prepend=0)
@@ -182,9 +172,10 @@ LIVE = "cls long, doc_id long, start int, n int, size int, more binary, keys arr
 
 def _blocks(batches, hashes: _Words):
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for lo, hi in slices([len(t.as_py() or b"") // 6 + 1 for t in texts], BLOCK_WORDS):
-            yield batch.slice(lo, hi - lo), Block(texts.slice(lo, hi - lo).to_pylist(), hashes)
+        texts = batch.column("text")
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for lo, hi in slices([n // 6 + 1 for n in sizes], BLOCK_WORDS):
+            yield batch.slice(lo, hi - lo), Block(texts.slice(lo, hi - lo), hashes)
 
 
 def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -329,21 +320,25 @@ def _cell_counts(batches):
 
 
 def _prefixes(batches, percent: int, table):
-    """A set's rarest shingles, as many as must hold one that any near enough set holds too."""
+    """A set's rarest shingles, as many as must hold one that any near enough set holds too, with the parities of the set by 128 residues."""
     counts = table.value
     for batch in batches:
-        sets = [np.frombuffer(b, np.uint32) for b in batch.column("shingles").to_pylist()]
+        sets = [np.frombuffer(b, np.uint32) for b in byte_strings(batch.column("shingles"))]
         if not sets:
             continue
         tokens, sizes = [], np.array([len(s) for s in sets])
         for s in sets:
             order = np.lexsort((s, counts[s % np.uint32(ORDER_CELLS)]))
             tokens.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].astype("i8"))
+        flat, starts = np.concatenate(sets), np.cumsum(np.append(0, sizes[:-1]))
+        bit = np.uint64(1) << ((flat * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint64)
+        upper = flat * np.uint32(0x85EBCA6B) >> np.uint32(31) > 0
+        marks = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (upper, ~upper)]
         m = [len(t) for t in tokens]
         rest = np.concatenate([n - np.arange(k) for n, k in zip(sizes, m)])
         columns = [np.repeat(batch.column(c).to_numpy(), m) for c in ("cls", "comp")]
-        columns += [np.repeat(sizes, m), np.concatenate(tokens), rest]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "comp", "n", "token", "rest"])
+        columns += [np.repeat(sizes, m), np.concatenate(tokens), rest, *(np.repeat(x, m) for x in marks)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "comp", "n", "token", "rest", "x", "y"])
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -368,35 +363,49 @@ def _missed(met: DataFrame, components: DataFrame, sets: DataFrame, percent: int
     counts = np.zeros(ORDER_CELLS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id long, comp long, n long, token long, rest long"
+    schema = "doc_id long, comp long, n long, token long, rest long, x long, y long"
     rows = nodes.join(sets, "cls").mapInArrow(lambda it: _prefixes(it, percent, shared), schema)
     rows = materialize(rows, "substring-prefixes")
     tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return prefix_pairs(rows.join(tokens, "token", "left_semi"), percent)
+    # words that only one set holds change its parities: pairs of too many such words are left out before they are made
+    alone = f"{100 + percent} * (bit_count(a.x ^ b.x) + bit_count(a.y ^ b.y)) <= {100 - percent} * (a.n + b.n)"
+    return prefix_pairs(rows.join(tokens, "token", "left_semi"), percent, alone)
+
+
+def _lists(values: np.ndarray, rows: np.ndarray, n: int, kind=None) -> pa.ListArray:
+    """The values as one list for each of ``n`` rows (``rows``: sorted numbers of rows)."""
+    offsets = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values if kind else pa.array(values))
 
 
 def _merged(batches):
     """Per document: its repeated paragraphs, and the word ranges to remove, joined where they touch."""
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            ranges: list[list[int]] = []
-            for p in sorted(r["places"], key=lambda p: p["start"]):
-                if p["kept"]:
-                    continue
-                if ranges and p["start"] <= ranges[-1][1]:
-                    ranges[-1][1] = max(ranges[-1][1], p["start"] + p["n"])
-                else:
-                    ranges.append([p["start"], p["start"] + p["n"]])
-            rows.append(
-                {
-                    "doc_id": r["doc_id"], "n_paragraphs": len(r["places"]), "n_removed_words": sum(b - a for a, b in ranges),
-                    "removed": [{"start": a, "end": b} for a, b in ranges],
-                    "kept_in": sorted({p["first"] for p in r["places"]}),
-                    "components": sorted({p["component"] for p in r["places"]}),
-                }
-            )
-        yield pa.RecordBatch.from_pylist(rows, _OUT)
+        count, places = batch.num_rows, batch.column("places")
+        row = np.repeat(np.arange(count), places.value_lengths().to_numpy())
+        flat = places.flatten()
+        start, n, component, first = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "component", "first"))
+        kept = flat.field("kept").to_numpy(zero_copy_only=False)
+        order = np.lexsort((component, n, start, row))
+        row, start, n, component, first, kept = (x[order] for x in (row, start, n, component, first, kept))
+        same = np.zeros(len(row), bool)  # rows that share a doc_id have their places twice
+        same[1:] = (row[1:] == row[:-1]) & (start[1:] == start[:-1]) & (n[1:] == n[:-1]) & (component[1:] == component[:-1])
+        lists = []
+        for values in (first, component):
+            by = np.lexsort((values, row))
+            once = np.append(True, (np.diff(values[by]) != 0) | (np.diff(row[by]) != 0))[: len(by)]
+            lists.append(_lists(values[by][once], row[by][once], count))
+        amount = np.bincount(row[~same], minlength=count)
+        row, start, end = row[~kept], start[~kept], (start + n)[~kept]
+        wide = int(end.max(initial=0)) + 1
+        reach = np.maximum.accumulate(end + row * wide) if len(row) else end
+        new = np.append(True, start[1:] + row[1:] * wide > reach[:-1])[: len(row)]
+        heads = np.flatnonzero(new)
+        begin, stop = start[heads], (reach - row * wide)[np.append(heads[1:], len(row))[: len(heads)] - 1]
+        ranges = pa.StructArray.from_arrays([pa.array(begin), pa.array(stop)], ["start", "end"])
+        removed = np.bincount(row[heads], stop - begin, minlength=count).astype(np.int64)
+        columns = [batch.column("doc_id"), pa.array(amount), pa.array(removed), _lists(ranges, row[heads], count, kind=True), *lists]
+        yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _OUT.types)], schema=_OUT)
 
 
 _OUT = pa.schema(
@@ -454,7 +463,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         forget(components)
         components = connected_components(links.unionByName(more), "substring-all")
 
-    places = live.select("cls", "doc_id", "start", "n", "more").mapInArrow(_places, "cls long, doc_id long, start int, n int").distinct()
+    places = live.select("cls", "doc_id", "start", "n", "more").mapInArrow(_places, "cls long, doc_id long, start int, n int")
     places = places.join(components.withColumnRenamed("node", "cls"), "cls", "left")
     places = places.select(F.coalesce("component", "cls").alias("component"), "doc_id", "start", "n")
     places = materialize(places, "substring-places")

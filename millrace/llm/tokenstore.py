@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import byte_strings, chunk_encoder, text_blocks
-from millrace.llm.common import exists, mix, remove
+from millrace.llm.bpe import chunk_encoder, text_blocks
+from millrace.llm.common import byte_strings, exists, mix, remove
 
 #: Mean, least and most ids of a chunk; ids that the rolling hash spans.
 MEAN, LEAST, MOST, SPAN = 512, 64, 4096, 16

@@ -1,5 +1,6 @@
 """Quality rules: statistics against plain Python, robust distances against a direct computation."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -81,6 +82,38 @@ def test_distance_is_that_of_the_nearest_subset(corpus):
     assert np.abs(d2 / want - 1).max() < 0.1
 
 
+def test_determinant_against_all_subsets(spark):
+    """A group of 20 rows with outliers, all of whose subsets of 15 are tried: the determinant found is the least, but for bins."""
+    rnd, names = np.random.default_rng(3), list(quality.VECTOR)
+    floors = np.array([v[1] for v in quality.VECTOR.values()])
+    for trial in range(2):
+        x = rnd.normal(0, [0.1, 0.2, 0.3, 0.3], (20, 4)) + [1.7, 0.2, 0.3, 0.3]
+        x[:4] += rnd.choice([-1, 1], (4, 4)) * [0.8, 0.9, 2, 2]
+        x = np.round(x * 1e6)
+        correction = 0.75 / (1 - quality.chi2_upper(quality.chi2_quantile(0.25, 4), 6))
+
+        def fitted(at):
+            cov = np.cov(x[at].T, bias=True) * correction + np.diag((floors * 1e6) ** 2)
+            return cov, x[at].mean(0)
+
+        best = min((list(c) for c in itertools.combinations(range(20), 15)), key=lambda c: np.linalg.slogdet(fitted(c)[0])[1])
+        cov, mean = fitted(best)
+        want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        made = [("g", False, *map(int, r)) for r in x]
+        df = spark.createDataFrame(made, "g string, base_failed boolean, " + ", ".join(f"{n} long" for n in names))
+        got = {tuple(r[n] for n in names): r["d2"] for r in quality.robust_distance(df, share=0.75).collect()}
+        d2 = np.array([got[tuple(map(int, r))] for r in x])
+        assert set(np.argsort(d2)[16:]) == set(np.argsort(want)[16:]) == {0, 1, 2, 3}
+        assert np.linalg.slogdet(fitted(np.argsort(d2)[:15])[0])[1] - np.linalg.slogdet(cov)[1] < 0.25
+
+
+def test_small_groups_are_fitted_too(spark):
+    rnd = random.Random(16)
+    made = [(i, prose(rnd, 60), "en", "a", 1, *"kisrch") for i in range(5)] + [(9, " ".join("w" * 60 + "#" for _ in range(40)), "en", "a", 1, *"kisrch")]
+    got = {r["doc_id"]: (r["kept"], r["d2"]) for r in quality.judge(spark.createDataFrame(made, SCHEMA)).collect()}
+    assert all(d is not None for _, d in got.values()) and [i for i in got if not got[i][0]] == [9]
+
+
 def test_empty_table_and_chi_square(none):
     assert quality.judge(none).collect() == [] and quality.keep(none).collect() == []
     assert abs(quality.chi2_quantile(0.05, 4) - 9.487729) < 1e-5

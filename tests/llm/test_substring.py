@@ -171,7 +171,7 @@ def test_links_of_paragraphs_against_all_pairs(spark):
     """Every two paragraphs (lines here) at 0.8 by exact Jaccard on five-word shingles lie in one component: recall 0.98 at least."""
     rnd = random.Random(32)
     lines = []
-    for _ in range(60):
+    for _ in range(170):
         base = prose(rnd, rnd.randint(30, 80)).split()
         for _ in range(rnd.randint(1, 6)):
             w = list(base)
