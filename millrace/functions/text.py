@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def split_trimmed(text: Column | str, separator: str) -> Column:
     """Parts between ``separator`` (one plain character); empty parts at the end are dropped."""
-    end = F.regexp_replace(text, f"[{separator}]+$", "")
+    end = F.rtrim(text, F.lit(separator))
     return F.when(end != "", F.split(end, f"[{separator}]")).otherwise(F.array().cast("array<string>"))
 
 
@@ -20,10 +20,12 @@ def token_count(lines: DataFrame, separator: str = ",", column: str = "value") -
 
 def pair_count(lines: DataFrame, separator: str = ";", column: str = "value") -> DataFrame:
     """(pair, n): two tokens that stand next to each other in a line, as ``a_b``, and their counts."""
-    words = lines.select(split_trimmed(column, separator).alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws("_", a, b))
-    pairs = words.where(F.size("w") > 1).select(F.explode(pairs).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count("*").alias("n"))
+    words = lines.select(F.inline(F.array(F.struct(split_trimmed(column, separator).alias("w")))))  # split once
+    n = F.size("w") - 1
+    pairs = words.where(n > 0).select(F.inline(F.arrays_zip(F.slice("w", 1, n).alias("a"), F.slice("w", 2, n).alias("b"))))
+    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    # a_b and c may be joined to the same text as a and b_c
+    return counts.groupBy(F.concat_ws("_", "a", "b").alias("pair")).agg(F.sum("n").alias("n"))
 
 
 def keyed_sum(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.times import FIRST_LOAD
@@ -34,6 +34,19 @@ def latest_partition(df: DataFrame, column: str = "etldate") -> DataFrame:
     return df.where(F.col(column) == F.lit(newest)) if newest is not None else df.where("false")
 
 
+def newest_partition(spark: SparkSession, path: str, before: str | None = None, column: str = "etldate") -> str | None:
+    """The largest partition value of a table's folders, under ``before``: no data is read."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{column}=*")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    values = [f.getPath().getName().split("=", 1)[1] for f in found]
+    return max((v for v in values if before is None or v < before), default=None)
+
+
+def processing_time() -> Column:
+    """The time at which a batch, or a micro-batch, is worked on; the same for all its rows."""
+    return F.current_timestamp()
+
+
 def numeric_key(column: str) -> Column:
     """True where text is a number."""
     return F.col(column).try_cast("double").isNotNull()

@@ -7,27 +7,41 @@ from pyspark.sql import functions as F
 
 from millrace.functions.schemas import LINE_CELLS, LINE_FIELDS, ORDER_CELLS, ORDER_FIELDS
 
+#: What the lines and the row keys are made of.
 SEPARATOR = "\x01"
 TIME = "yyyy-MM-dd HH:mm:ss"
+ORDER_PREFIX, LINE_PREFIX = "O", "L"
 
 
 def _parse_time(text: Column | str) -> Column:
     return F.try_to_timestamp(text, F.lit(TIME))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once for a row: a generator, which later filters and projections aren't merged into."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def _fields(prefixes: list[str]) -> Column:
+    """The fields of a line of one of the prefixes, quotes removed; null for other lines."""
+    mine = [F.col("value").startswith(f"{p}:") for p in prefixes]
+    body = F.translate(F.substring("value", 3, 2**31 - 1), "'", "")
+    return F.when(mine[0] if len(mine) == 1 else mine[0] | mine[1], F.split(body, SEPARATOR, -1))
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """(value, prefix, f): the kind of a line and its fields, quotes removed.  Batch or stream."""
-    body = F.translate(F.regexp_replace("value", "^[OL]:", ""), "'", "")
-    return lines.select("value", F.substring_index("value", ":", 1).alias("prefix"), F.split(body, SEPARATOR, -1).alias("f"))
+    return once(lines.select("value"), prefix=F.substring_index("value", ":", 1), f=_fields([ORDER_PREFIX, LINE_PREFIX]))
 
 
 def _good(prefix: str, fields: list[str]) -> Column:
-    fine = (F.col("prefix") == prefix) & F.col("value").startswith(f"{prefix}:") & (F.size("f") == len(fields))
+    fine = F.col("value").startswith(f"{prefix}:") & (F.size("f") == len(fields))
     return F.coalesce(fine & _parse_time(F.get("f", F.lit(len(fields) - 1))).isNotNull(), F.lit(False))
 
 
 def _rows(lines: DataFrame, prefix: str, fields: list[str]) -> DataFrame:
-    return lines.where(_good(prefix, fields)).select(*(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(fields)))
+    own = once(lines.select("value"), f=_fields([prefix]))
+    return own.where(_good(prefix, fields)).select(*(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(fields)))
 
 
 def split_lines(lines: DataFrame) -> dict[str, DataFrame]:
@@ -35,9 +49,8 @@ def split_lines(lines: DataFrame) -> dict[str, DataFrame]:
 
     A line with another prefix, another number of fields or a modify_time that is none is a reject.
     """
-    p = parsed(lines)
-    rejects = p.where(~_good("O", ORDER_FIELDS) & ~_good("L", LINE_FIELDS)).select("value")
-    return {"orders": _rows(p, "O", ORDER_FIELDS), "lineitems": _rows(p, "L", LINE_FIELDS), "rejects": rejects}
+    rejects = parsed(lines).where(~_good(ORDER_PREFIX, ORDER_FIELDS) & ~_good(LINE_PREFIX, LINE_FIELDS)).select("value")
+    return {"orders": _rows(lines, ORDER_PREFIX, ORDER_FIELDS), "lineitems": _rows(lines, LINE_PREFIX, LINE_FIELDS), "rejects": rejects}
 
 
 def row_key(keys: list[str], time: str) -> Column:

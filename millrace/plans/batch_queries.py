@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.aggregates import register_udaf
+from millrace.functions.schemas import MINUTE_AGGREGATE
 from millrace.functions.text import keyed_sum, pair_count, people, token_count
 from millrace.functions.times import millis_to_text, text_to_millis, time_parts
 from millrace.operators.aggregates import exact_sum, rank_text, running_total, top_n, top_n_chained, tumbling
 from millrace.operators.enrich import lookup_left
+from millrace.operators.extract import with_audit
 from millrace.operators.keys import partition_by_suffix
 from millrace.operators.patterns import pattern_times
 from millrace.plans.registry import events_as_orders, plain_time, query, table
@@ -51,8 +54,19 @@ def cust_minute_aggr(spark, sf_dir):
     return minute_aggregate(events_as_orders(spark, sf_dir))
 
 
-@query("""SELECT 'ordered_amount_everyminute' AS namespace, strftime(ts, '%Y-%m-%d %H:%M') AS field, CAST(sum(n) AS BIGINT) AS value
-FROM (SELECT date_trunc('minute', ts) AS ts, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 2""")
+@query(f"""SELECT cust_key, total_consumption, CAST(total_order AS INTEGER) AS total_order, year, month, day, hour, minute, '2024-02-01 02:00:00' AS dws_insert_time,
+'2024-02-01 02:00:00' AS dws_update_time FROM ({MINUTES.format("true")})""")
+def cust_minute_rows(spark, sf_dir):
+    """The minute aggregate as the rows that are kept, in their declared types, with the run's times."""
+    rows = with_audit(minute_aggregate(events_as_orders(spark, sf_dir)), "2024-02-01 02:00:00", "dws")
+    return rows.to(StructType.fromDDL(MINUTE_AGGREGATE))
+
+
+PER_MINUTE = """SELECT 'ordered_amount_everyminute' AS namespace, strftime(ts, '%Y-%m-%d %H:%M') AS field, CAST(sum(n) AS BIGINT) AS value
+FROM (SELECT date_trunc('minute', ts) AS ts, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 2"""
+
+
+@query(PER_MINUTE)
 def orders_per_minute(spark, sf_dir):
     rows = cust_minute_aggr(spark, sf_dir)
     field = F.format_string("%s-%s-%s %s:%s", "year", "month", "day", "hour", "minute").alias("field")

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from millrace.functions.schemas import KEYS, RENAMES
 from millrace.functions.times import partition_of
-from millrace.operators.extract import incremental_extract, latest_partition, numeric_key, with_audit
+from millrace.operators.extract import incremental_extract, latest_partition, newest_partition, numeric_key, with_audit
 from millrace.operators.keys import surrogate_key
 from millrace.operators.lines import day_pattern, wide_scan
 from millrace.operators.merge import merge_latest
 from millrace.operators.retention import drop_old_partitions
 from millrace.sources.readers import read_table
 from millrace.sources.scratch import scratch_dir
-from millrace.sources.sinks import overwrite_if_any, overwrite_partition
+from millrace.sources.sinks import UpsertTable, overwrite_if_any, overwrite_partition
 
+#: The tables that are loaded each day, and those of them that are merged into dimensions.
+TABLES = ("customer", "nation", "region", "part", "supplier", "partsupp", "orders", "lineitem")
 DIMENSIONS = ("customer", "nation", "region", "part", "supplier")
 
 
@@ -32,7 +34,9 @@ def layer(spark: SparkSession, root: str, name: str, like: DataFrame | None = No
 def ods_load(source: DataFrame, root: str, table: str, run_date: dt.date, run_time: str, ts: str = "modify_time") -> bool:
     """Load what changed in ``source`` since the last load into yesterday's partition; False if nothing did."""
     spark, day = source.sparkSession, partition_of(run_date)
-    loaded = layer(spark, root, f"ods/{table}", source).where(F.col("etldate") < day)
+    # each load is newer than all before: the newest partition has the table's mark
+    newest = newest_partition(spark, f"{root}/ods/{table}", day)
+    loaded = layer(spark, root, f"ods/{table}", source).where(F.col("etldate") == newest if newest else F.lit(False))
     fresh = with_audit(incremental_extract(source, loaded, ts, str(run_date)), run_time)
     return overwrite_if_any(fresh, f"{root}/ods/{table}", day)
 
@@ -50,6 +54,25 @@ def dwd_merge(spark: SparkSession, root: str, table: str, run_date: dt.date, run
     overwrite_partition(merged, f"{root}/dwd/dim_{table}", day)
 
 
+def ods_load_all(sources: dict[str, DataFrame], root: str, run_date: dt.date, run_time: str, ts: str = "modify_time") -> dict[str, bool]:
+    """``ods_load`` of each of ``TABLES`` that has a source; whether it had anything new."""
+    return {t: ods_load(sources[t], root, t, run_date, run_time, ts) for t in TABLES if t in sources}
+
+
+def dwd_merge_all(spark: SparkSession, root: str, run_date: dt.date, run_time: str) -> None:
+    """``dwd_merge`` of each dimension that was ever loaded."""
+    for t in DIMENSIONS:
+        if newest_partition(spark, f"{root}/ods/{t}"):
+            dwd_merge(spark, root, t, run_date, run_time)
+
+
+def land_wide(wide: DataFrame, root: str, name: str, number: int) -> UpsertTable:
+    """Upsert wide rows by row key into a stored table of that name; it is made where it isn't there."""
+    stored = UpsertTable(wide.sparkSession, f"{root}/{name}", ["row_key"], wide.schema)
+    stored.upsert(wide.groupBy("row_key").agg(F.min("info").alias("info")), number)
+    return stored
+
+
 def with_wide_rows(daily: DataFrame, wide: DataFrame, day: str) -> DataFrame:
     """Loaded rows and the day's wide rows (strings, cast by name to the loaded types) together."""
     cells = wide_scan(wide, day_pattern(day))

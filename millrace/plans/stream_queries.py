@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import exact_sum, top_n, top_n_chained, tumbling
-from millrace.plans.batch_queries import MINUTES, MONEY, RANKED, VALUE, median_by_nation, minute_aggregate, order_nation
+from millrace.plans.batch_queries import MINUTES, MONEY, PER_MINUTE, RANKED, VALUE, median_by_nation, minute_aggregate, order_nation
 from millrace.plans.registry import as_orders, plain_time, query, table
 from millrace.sources.readers import table_stream
+from millrace.sources.scratch import scratch_dir
+from millrace.sources.sinks import as_text, rolling_text
 from millrace.streaming.patterns import pattern_times_stream
 from millrace.streaming.runner import run_append, run_upsert
 
@@ -35,6 +37,25 @@ def cust_minute_aggr_stream(spark, sf_dir):
     return run_append(minute_aggregate(order_stream(spark, sf_dir), "1 second"), "minutes")
 
 
+@query(PER_MINUTE)
+def orders_per_minute_stream(spark, sf_dir):
+    """Counts by minute, upserted by field under their namespace."""
+    field = F.date_format("ts", "yyyy-MM-dd HH:mm").alias("field")
+    counts = order_stream(spark, sf_dir).groupBy(field).agg(F.count("*").alias("value"))
+    counts = counts.select(F.lit("ordered_amount_everyminute").alias("namespace"), "field", "value")
+    return run_upsert(counts, ["namespace", "field"], "per-minute")
+
+
+@query("SELECT event_id, user_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value FROM events")
+def rolling_text_sink(spark, sf_dir):
+    """Events as comma lines in rolling text files, read back."""
+    root = scratch_dir(spark, "rolling")
+    rows = stream_of(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").cast("decimal(18,2)"))
+    rolling_text(as_text(rows), f"{root}/lines", f"{root}/checkpoint", 10_000, availableNow=True).awaitTermination()
+    f = F.split("value", ",")
+    return spark.read.text(f"{root}/lines").select(f[0].cast("long").alias("event_id"), f[1].cast("long").alias("user_id"), f[2].alias("value"))
+
+
 @query(f"""SELECT strftime(o_orderdate, '%Y-%m-%d') AS order_date, {MONEY.format("o_totalprice")} AS amount, count(*) AS n FROM orders GROUP BY 1""")
 def order_date_amount_stream(spark, sf_dir):
     """Update mode: each batch upserts the days that it changed."""

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.extract import high_water_mark, incremental_extract, latest_partition, numeric_key
+from millrace.functions.schemas import FACT_ORDERS
+from millrace.operators.extract import high_water_mark, incremental_extract, latest_partition, numeric_key, processing_time, with_audit
 from millrace.operators.keys import surrogate_key
-from millrace.operators.lines import cast_fact_orders, retain_row_keys, row_key, split_lines, wide_lineitems, wide_orders, wide_scan
+from millrace.operators.lines import cast_fact_orders, once, retain_row_keys, row_key, split_lines, wide_lineitems, wide_orders, wide_scan
 from millrace.operators.merge import keyed_upsert, merge_latest
 from millrace.operators.retention import newest_partitions
 from millrace.plans import jobs
-from millrace.plans.registry import query, table
-from millrace.sources.readers import read_table
+from millrace.plans.registry import plain_time, query, table
+from millrace.sources.readers import json_values, read_table, text_stream
 from millrace.sources.scratch import scratch_dir
-from millrace.sources.sinks import multi_sink, overwrite_partition
+from millrace.sources.sinks import JSON_TIMES, as_json, multi_sink, overwrite_partition, rolling_text
 
 RUN = dt.date(2024, 2, 1)
 RUN_TIME = "2024-02-01 02:00:00"
@@ -124,7 +127,8 @@ def order_lines(spark, sf_dir):
         F.lit("clerk"), F.lit("0"), F.lit("a: b"), F.lit("u"), F.lit("2024-01-01 00:00:00"), F.lit("m"), time,
     ]
     few = F.concat_ws("\x01", *fields[:-2], time)
-    return o.select(F.concat(F.lit("O:"), F.when(F.col("o_orderkey") % 19 == 0, few).otherwise(F.concat_ws("\x01", *fields))).alias("value"))
+    value = F.concat(F.lit("O:"), F.when(F.col("o_orderkey") % 19 == 0, few).otherwise(F.concat_ws("\x01", *fields)))
+    return once(o, value=value).select("value")
 
 
 def item_lines(spark, sf_dir):
@@ -136,11 +140,11 @@ def item_lines(spark, sf_dir):
         text("l_orderkey"), text("l_partkey"), text("l_suppkey"), text("l_linenumber"), money("l_quantity"), money("l_extendedprice"), money("l_discount"),
         money("l_tax"), F.col("l_linestatus"), day, day, day, F.lit(""), F.lit("u"), F.lit("2024-01-01 00:00:00"), F.lit("m"), F.concat(day, F.lit(" 00:00:00")),
     ]
-    return i.select(F.concat(F.lit("L:"), F.concat_ws("\x01", *fields)).alias("value"))
+    return once(i, value=F.concat(F.lit("L:"), F.concat_ws("\x01", *fields))).select("value")
 
 
 def _all_lines(spark, sf_dir):
-    other = table(spark, sf_dir, "events").where("event_id % 50 = 0").select(F.concat(F.lit("X:"), F.col("event_id").cast("string")).alias("value"))
+    other = table(spark, sf_dir, "events").select(F.concat(F.lit("X:"), F.col("event_id").cast("string")).alias("value"))
     return order_lines(spark, sf_dir).unionByName(item_lines(spark, sf_dir)).unionByName(other)
 
 
@@ -159,16 +163,30 @@ def split_lineitems(spark, sf_dir):
     return split_lines(_all_lines(spark, sf_dir))["lineitems"].select("orderkey", "linenumber", "extendedprice", "comment", "modify_time")
 
 
-@query(f"""SELECT prefix, count(*) AS n FROM (SELECT 'O' AS prefix FROM orders WHERE NOT ({GOOD}) UNION ALL SELECT 'X' FROM events WHERE event_id % 50 = 0) GROUP BY 1""")
+@query(f"""SELECT prefix, count(*) AS n FROM (SELECT 'O' AS prefix FROM orders WHERE NOT ({GOOD}) UNION ALL SELECT 'X' FROM events) GROUP BY 1""")
 def split_rejects(spark, sf_dir):
     return split_lines(_all_lines(spark, sf_dir))["rejects"].groupBy(F.substring("value", 1, 1).alias("prefix")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT o_orderkey AS order_key, o_custkey AS cust_key, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total_price,
-o_orderdate + INTERVAL 221111 MICROSECOND AS order_date FROM orders WHERE {GOOD}""")
+FACT = f"""SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderstatus AS order_status, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total_price,
+o_orderdate + INTERVAL 221111 MICROSECOND AS order_date, o_orderpriority AS order_priority, 'clerk' AS clerk, '0' AS ship_priority, 'a: b' AS comment, 'u' AS create_user,
+TIMESTAMP '2024-01-01' AS create_time, 'm' AS modify_user, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS modify_time FROM orders WHERE {GOOD}"""
+
+
+@query(FACT)
 def cast_fact(spark, sf_dir):
     out = cast_fact_orders(split_lines(_all_lines(spark, sf_dir))["orders"])
-    return out.select("order_key", "cust_key", "total_price", F.col("order_date").cast("timestamp_ntz").alias("order_date"))
+    return out.withColumns(plain_time("order_date", "create_time"))
+
+
+@query(FACT)
+def fact_json_stream(spark, sf_dir):
+    """Lines stream through the split and the casts into rolling text files of JSON values, which are read back."""
+    root = scratch_dir(spark, "fact-json")
+    order_lines(spark, sf_dir).write.text(f"{root}/lines")
+    values = as_json(cast_fact_orders(split_lines(text_stream(spark, "text", path=f"{root}/lines"))["orders"]), JSON_TIMES)
+    rolling_text(values, f"{root}/values", f"{root}/checkpoint", 50_000, availableNow=True).awaitTermination()
+    return json_values(spark.read.text(f"{root}/values"), FACT_ORDERS, options=JSON_TIMES).withColumns(plain_time("order_date", "create_time"))
 
 
 KEY = "CAST(o_orderkey % 10 AS VARCHAR) || strftime(o_orderdate, '%Y%m%d') || o_orderkey"
@@ -190,6 +208,17 @@ def row_key_scan(spark, sf_dir):
     return out.select("row_key", "orderkey", F.col("ods_insert_time").cast("timestamp_ntz").alias("ods_insert_time"))
 
 
+@query(f"""SELECT {KEY} AS row_key, CAST(o_orderkey AS VARCHAR) AS orderkey, TIMESTAMP '{RUN_TIME}' AS ods_update_time FROM orders
+WHERE {GOOD} AND strftime(o_orderdate, '%Y%m') = '199703'""")
+def wide_table_scan(spark, sf_dir):
+    """Wide rows are upserted by row key into a stored table, some of them twice; a range of keys is read from that table."""
+    root, wide = scratch_dir(spark, "wide"), _wide(spark, sf_dir)
+    jobs.land_wide(wide.withColumn("info", F.col("info").withField("ods_update_time", F.lit("none"))).where("row_key LIKE '%7'"), root, "orders", 0)
+    stored = jobs.land_wide(wide, root, "orders", 1)
+    out = wide_scan(stored.read(), "^[0-9]199703[0-9]+")
+    return out.select("row_key", "orderkey", F.col("ods_update_time").cast("timestamp_ntz").alias("ods_update_time"))
+
+
 @query(f"SELECT {KEY} AS row_key FROM orders WHERE {GOOD} AND strftime(o_orderdate, '%Y%m%d') > '20000101'")
 def row_key_retention(spark, sf_dir):
     return retain_row_keys(_wide(spark, sf_dir), "20000101").select("row_key")
@@ -286,3 +315,64 @@ def partition_overwrite(spark, sf_dir):
     for plus in (7, 1):
         overwrite_partition(rows.where("custkey % 2 = 0").withColumn("acctbal", F.col("acctbal") + plus), path, "20240102")
     return read_table(spark, path)
+
+
+ITEM_KEY = "CAST(l_orderkey % 10 AS VARCHAR) || strftime(l_shipdate, '%Y%m%d') || l_orderkey || l_partkey || l_suppkey"
+ITEM = "l_orderkey AS orderkey, l_linenumber AS linenumber, l_partkey AS partkey, l_suppkey AS suppkey"
+
+
+@query(f"""SELECT *, row_number() OVER (ORDER BY orderkey, linenumber, partkey, suppkey, extendedprice) - 1 AS lineitem_key FROM (
+SELECT {ITEM}, l_extendedprice AS extendedprice FROM lineitem WHERE l_shipdate > TIMESTAMP '1800-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'
+UNION ALL SELECT {ITEM}, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) FROM (SELECT * FROM lineitem WHERE strftime(l_shipdate, '%Y%m%d') = '19971231' QUALIFY row_number() OVER (
+PARTITION BY {ITEM_KEY} ORDER BY CAST(l_linenumber AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)) = 1))""")
+def dwd_fact_lineitem(spark, sf_dir):
+    """Loaded line items and the day's landed wide rows, with a dense key."""
+    root, day = scratch_dir(spark, "warehouse"), dt.date(1998, 1, 1)
+    i = table(spark, sf_dir, "lineitem")
+    names = ["orderkey", "linenumber", "partkey", "suppkey", "extendedprice"]
+    source = i.select(*(F.col(f"l_{c}").alias(c) for c in names), F.col("l_shipdate").alias("modify_time"))
+    jobs.ods_load_all({"lineitem": source}, root, day, RUN_TIME)
+    wide = wide_lineitems(split_lines(item_lines(spark, sf_dir))["lineitems"], RUN_TIME)
+    stored = jobs.land_wide(wide, root, "wide/lineitem", 0)
+    jobs.fact_with_key(spark, root, "lineitem", "fact_lineitem", "lineitem_key", day, stored.read())
+    return read_table(spark, f"{root}/dwd/fact_lineitem").select(*names, "lineitem_key")
+
+
+DIMS = {
+    "customer": ("c", {"custkey": "cust_key", "name": "name", "nationkey": "nation_key"}),
+    "nation": ("n", {"nationkey": "nation_key", "name": "name", "regionkey": "region_key"}),
+    "region": ("r", {"regionkey": "region_key", "name": "name"}),
+    "part": ("p", {"partkey": "part_key", "name": "name", "retailprice": "retail_price"}),
+    "supplier": ("s", {"suppkey": "supp_key", "name": "name", "nationkey": "nation_key"}),
+}
+ALL_DIMS = " UNION ALL ".join(
+    f"SELECT '{t}' AS dim, {p}_{next(iter(c))} AS key, {p}_name || CASE WHEN {p}_{next(iter(c))} % 3 = 0 THEN ' (new)' ELSE '' END AS name, '{RUN_TIME}' AS dwd_update_time FROM {t}"
+    for t, (p, c) in DIMS.items()
+)
+
+
+@query(ALL_DIMS)
+def dwd_all_dimensions(spark, sf_dir):
+    """All dimensions are loaded and merged on two days, a third of their rows changed on the second."""
+    root = scratch_dir(spark, "warehouse")
+    for n, day in enumerate((dt.date(2024, 1, 2), dt.date(2024, 1, 3))):
+        sources = {}
+        for t, (p, columns) in DIMS.items():
+            rows = table(spark, sf_dir, t).select(*(F.col(f"{p}_{c}").alias(c) for c in columns))
+            rows = rows.withColumn("modify_time", F.lit(f"2024-01-0{n + 1} 00:00:00").cast("timestamp_ntz"))
+            new = rows.where(F.col(next(iter(columns))) % 3 == 0).withColumn("name", F.concat("name", F.lit(" (new)")))
+            sources[t] = new if n else rows
+        jobs.ods_load_all(sources, root, day, RUN_TIME)
+        jobs.dwd_merge_all(spark, root, day, RUN_TIME)
+    out = []
+    for t, (_, columns) in DIMS.items():
+        newest = latest_partition(read_table(spark, f"{root}/dwd/dim_{t}"))
+        out.append(newest.select(F.lit(t).alias("dim"), F.col(next(iter(columns.values()))).cast("long").alias("key"), "name", "dwd_update_time"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query(f"SELECT o_orderkey AS orderkey, '{RUN_TIME}' AS ods_insert_time, '{RUN_TIME}' AS ods_update_time, true AS processed FROM orders")
+def audit_columns(spark, sf_dir):
+    """Insert and update time of the run, and a processing time, which only has to be after the data's."""
+    rows = with_audit(_order_source(spark, sf_dir), RUN_TIME)
+    return rows.select("orderkey", "ods_insert_time", "ods_update_time", (processing_time() > F.col("modify_time").cast("timestamp")).alias("processed"))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A Parquet table of the warehouse; partition values stay strings."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path)
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")  # folders are looked through when the reader is called
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> DataFrame:
@@ -35,15 +39,20 @@ def range_bucket(key: Column | str, bounds: list[int]) -> Column:
     return sum((F.coalesce((key >= b).cast("int"), F.lit(0)) for b in sorted(bounds)), F.lit(0))
 
 
+def named_table_stream(spark: SparkSession, name: str) -> DataFrame:
+    """A catalog table, and what is appended to it, as a stream."""
+    return spark.readStream.table(name)
+
+
 def text_stream(spark: SparkSession, fmt: str, **options: str) -> DataFrame:
     """(value string) of a text topic ("kafka") or of files ("text")."""
     lines = spark.readStream.format(fmt).options(**options).load()
     return lines.select(F.col("value").cast("string").alias("value"))
 
 
-def json_values(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+def json_values(lines: DataFrame, schema: str, column: str = "value", options: dict | None = None) -> DataFrame:
     """JSON text as typed columns; a row that isn't JSON has nulls.  Batch or stream."""
-    return lines.select(F.from_json(column, schema).alias("row")).select("row.*")
+    return lines.select(F.from_json(column, schema, options or {}).alias("row")).select("row.*")
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:

@@ -27,9 +27,24 @@ def overwrite_if_any(df: DataFrame, path: str, value: str, column: str = "etldat
         df.unpersist()
 
 
-def as_json(df: DataFrame) -> DataFrame:
+#: Times in JSON to the microsecond.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def as_json(df: DataFrame, options: dict | None = None) -> DataFrame:
     """(value string): each row as JSON, for a topic."""
-    return df.select(F.to_json(F.struct("*")).alias("value"))
+    return df.select(F.to_json(F.struct("*"), options or {}).alias("value"))
+
+
+def as_text(df: DataFrame, separator: str = ",") -> DataFrame:
+    """(value string): each row's columns joined, for a text sink; null is empty."""
+    return df.select(F.concat_ws(separator, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value"))
+
+
+def rolling_text(stream: DataFrame, path: str, checkpoint: str, max_records: int = 1_000_000, **trigger):
+    """Start a query that appends (value string) to text files: a batch rolls to new files, each of ``max_records`` lines at most; exactly once."""
+    writer = stream.writeStream.format("text").outputMode("append").option("path", path).option("maxRecordsPerFile", max_records)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
@@ -55,27 +70,47 @@ def multi_sink(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]],
 
 
 class UpsertTable:
-    """A keyed table on Parquet: each batch writes a new snapshot, and readers take the newest whole one.
+    """A keyed table on Parquet in buckets by key hash: a batch writes the buckets that it changes anew.
 
-    A snapshot is whole when Spark has written its success marker, so a batch that
-    failed or comes again never shows in part.
+    A snapshot folder holds the buckets of one batch; readers take the newest of each
+    bucket.  A snapshot is whole when Spark has written its success marker, so a
+    batch that failed or comes again never shows in part.  ``retire`` deletes what
+    no reader of the newest snapshots needs.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: StructType):
-        self.spark, self.root, self.keys, self.schema = spark, root.rstrip("/"), keys, schema
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: StructType, buckets: int = 16):
+        self.spark, self.root, self.keys, self.schema, self.buckets = spark, root.rstrip("/"), keys, schema, buckets
+
+    def _bucket(self):
+        return F.pmod(F.hash(*self.keys), F.lit(self.buckets))
+
+    def _glob(self, pattern: str) -> list:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        return [f.getPath() for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []]
 
-    def _snapshots(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return sorted(int(str(f.getPath().getParent().getName())) for f in found)
+    def _written(self) -> list[tuple[int, int, object]]:
+        """(bucket, snapshot, folder) of whole snapshots, in order."""
+        whole = {p.getParent().getName() for p in self._glob("*/_SUCCESS")}
+        found = [(int(p.getName().split("=")[1]), p.getParent().getName(), p) for p in self._glob("*/_bucket=*")]
+        return sorted(((b, int(n), p) for b, n, p in found if n in whole), key=lambda x: x[:2])
 
-    def read(self, before: int | None = None) -> DataFrame:
-        whole = [n for n in self._snapshots() if before is None or n < before]
+    def read(self, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+        newest = {b: p for b, n, p in self._written() if (before is None or n < before) and (buckets is None or b in buckets)}
         reader = self.spark.read.schema(self.schema)
-        return reader.parquet(f"{self.root}/{whole[-1]}") if whole else self.spark.createDataFrame([], self.schema)
+        return reader.parquet(*(str(p) for p in newest.values())) if newest else self.spark.createDataFrame([], self.schema)
 
     def upsert(self, changes: DataFrame, number: int) -> None:
         """Rows of ``changes`` (one for each key) replace those with their keys."""
         changes = changes.select(*self.schema.names)
-        rest = self.read(before=number).join(changes.select(*self.keys), self.keys, "left_anti")
-        rest.unionByName(changes).write.mode("overwrite").parquet(f"{self.root}/{number}")
+        touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}  # ``buckets`` numbers at most
+        rest = self.read(number, touched).join(changes.select(*self.keys), self.keys, "left_anti")
+        out = rest.unionByName(changes).withColumn("_bucket", self._bucket())
+        out.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{number}")
+
+    def retire(self, keep: int = 2) -> None:
+        """Delete the buckets that none of the ``keep`` newest snapshots shows."""
+        written = self._written()
+        oldest = sorted({n for _, n, _ in written})[-keep:][:1]
+        for (b, n, path), (after, m, _) in zip(written, written[1:]):
+            if b == after and oldest and m <= oldest[0]:
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
