@@ -166,3 +166,38 @@ def test_median_and_sum(spark, values, want):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
     assert df.agg(F.median("v")).first()[0] == want
     assert df.agg(exact_sum("v")).first()[0] == (sum(v or 0 for v in values) if any(values) else None)
+
+
+def test_upserts_rewrite_changed_buckets_only(spark, tmp_path):
+    from millrace.sources.sinks import UpsertTable
+
+    schema = spark.createDataFrame([], "k long, v string").schema
+    stored = UpsertTable(spark, f"{tmp_path}/t", ["k"], schema, buckets=8)
+    stored.upsert(spark.createDataFrame([(i, "a") for i in range(40)], schema), 0)
+    for n in (1, 2, 2):
+        stored.upsert(spark.createDataFrame([(7, f"b{n}"), (100 + n, "new")], schema), n)
+    want = {i: "a" for i in range(40)} | {7: "b2", 101: "new", 102: "new"}
+    assert dict(map(tuple, stored.read().collect())) == want
+    assert len(list((tmp_path / "t" / "1").glob("_bucket=*"))) <= 2
+    before = len(stored._written())
+    stored.retire(keep=1)
+    assert dict(map(tuple, stored.read().collect())) == want and len(stored._written()) < before
+
+
+def test_entry_goes_on_without_an_optional_module(tmp_path, monkeypatch):
+    import __spark_entry__
+
+    (tmp_path / "needs_what_is_not_there.py").write_text("import no_such_library")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.warns(UserWarning, match="no_such_library"):
+        assert __spark_entry__._optional("needs_what_is_not_there") is None
+    assert __spark_entry__._optional("no_such_module") is None
+
+
+def test_newest_partition_reads_no_data(spark, tmp_path):
+    from millrace.operators.extract import newest_partition
+
+    for day in ("20240101", "20240103", "20240102"):
+        (tmp_path / f"etldate={day}").mkdir()
+    assert newest_partition(spark, str(tmp_path)) == "20240103" and newest_partition(spark, str(tmp_path), "20240103") == "20240102"
+    assert newest_partition(spark, f"{tmp_path}/none") is None
