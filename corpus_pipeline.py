@@ -18,27 +18,42 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are outliers of their language and source go."""
+    """Documents that fail the base rules or are outliers of their language and source go.
+
+    Null and empty texts fail; null languages and sources are groups of their own; rows that repeat a doc_id are judged
+    one by one, and equal rows alike; an empty table stays empty; other columns go along.
+    """
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at 0.8 on five-word shingles, the one with the smallest doc_id stays."""
+    """Of documents linked at 0.8 on five-word shingles, the one with the smallest doc_id stays.
+
+    Null and blank texts link with nothing and stay; rows with a null doc_id go, as nothing tells them apart; of rows
+    that share a doc_id one stays; other columns go along.
+    """
     return near_dup.keep_one(docs, k=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets, also those in encoded runs, are masked; n_chars follows the text."""
+    """Secrets, also those in encoded runs, are masked; n_chars follows the text.
+
+    Every row stays, repeated ones and those with nulls too; a null text stays null, and so is its n_chars.
+    """
     return secret_scan.mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Texts without words count nothing and come with their source's whole passes; a null source is one of its own, last in
+    order; rows that share a doc_id are taken together; ties of the seeded order go by doc_id.
+    """
     return mixing.take(mixing.mix_by_source(docs))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of each row."""
+    """(doc_id, n_tokens, ids, decoded) of each row; null and empty texts have no tokens and decode to an empty text."""
     path = bpe.vocabulary_path("word_bpe_49k.json")
     decoded = bpe.decode(bpe.encode(docs, path, split="blank"), path)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

@@ -33,6 +33,11 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, which is exact: no square of theirs overflows or vanishes, and no cosine changes."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     m = m / np.abs(m).max(axis=1, keepdims=True)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -88,10 +93,11 @@ def _visits(batches, dim: int, centroids, counts: np.ndarray, least: int):
     for batch in batches:
         unit = _unit(_matrix(batch.column("v"), dim)) if batch.num_rows else np.empty((0, dim))
         first, second = _apart(unit[:, :half], centroids[0]), _apart(unit[:, half:], centroids[1])
-        for n, query in enumerate(batch.column("vec_id").to_pylist()):
-            cells = [i * k + j for i, j in traverse(first[n], second[n], counts, least)]
-            v = batch.column("v").slice(n, 1).to_pylist() * len(cells)
-            yield pa.RecordBatch.from_arrays([pa.array([query] * len(cells), pa.int64()), pa.array(cells, pa.int64()), pa.array(v, pa.binary())], ["query_id", "cell", "v"])
+        for lo in range(0, batch.num_rows, 64):
+            cells = [[i * k + j for i, j in traverse(first[n], second[n], counts, least)] for n in range(lo, min(lo + 64, batch.num_rows))]
+            own = pa.array(np.repeat(np.arange(lo, lo + len(cells)), [len(c) for c in cells]))
+            flat = pa.array([c for own_cells in cells for c in own_cells], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(own), flat, batch.column("v").take(own)], ["query_id", "cell", "v"])
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -101,7 +107,7 @@ def _rank(entries: pa.Table, queries: pa.Table, dim: int, top: int) -> pa.Table:
     """The ``top`` entries of one block for each of its queries, by the exact cosine and then vec_id."""
     if not entries.num_rows or not queries.num_rows:
         return _FOUND.empty_table()
-    e, q = _matrix(entries.column("v"), dim), _matrix(queries.column("v"), dim)
+    e, q = _scaled(_matrix(entries.column("v"), dim)), _scaled(_matrix(queries.column("v"), dim))
     ids, own = entries.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
     rough = _unit(q) @ _unit(e).T
     rough[own[:, None] == ids[None, :]] = -np.inf

@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, as bytes.split() takes it: \x20 and \x09-\x0D.
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -71,6 +72,16 @@ def forget(*written: DataFrame) -> None:
         remove(df.sparkSession, df._written)
 
 
+#: Rows of one long column that are broadcast (16 MB of values); more are joined by sort-merge, which keeps no side in memory.
+BROADCAST_ROWS = 2_000_000
+
+
+def narrow(keys: DataFrame) -> DataFrame:
+    """A written list of keys, marked for a semi or anti join of whole rows: broadcast where its counted size allows it."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(keys) if few else keys.hint("merge")
+
+
 def distinct_sorted(values: np.ndarray) -> np.ndarray:
     """np.unique(values) by one plain sort."""
     values = np.sort(values)

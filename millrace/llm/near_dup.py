@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, WordHash, common_count, distinct_sorted, forget, materialize, mix, slices, split_words
+from millrace.llm.common import M1, M2, M3, WordHash, common_count, distinct_sorted, forget, materialize, mix, narrow, slices, split_words
 from millrace.llm.components import connected_components
 
 #: 26 bands of 5 minima: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2.4e-7.
@@ -135,7 +135,8 @@ def near_duplicates(
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows
     that share a doc_id are one node.  A null doc_id takes no part: its
-    component_id is null and kept is false.  Other columns are ignored.
+    component_id is null and kept is false.  A very long text is one set in one task.
+    Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     sketch = materialize(
@@ -197,14 +198,15 @@ def _prefixes(batches, k: int, percent: int, table):
     """A set's rarest shingles, as many as must hold one that any near enough set holds too."""
     hashes, counts = WordHash(), table.value
     for part, sets in _set_blocks(batches, hashes, k):
-        for doc_id, comp, s in zip(part.column("doc_id").to_pylist(), part.column("comp").to_pylist(), sets):
+        tokens = []
+        for s in sets:
             order = np.lexsort((s, counts[s & np.uint64(ORDER_CELLS - 1)]))
-            tokens = s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64)
-            m = len(tokens)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc_id] * m), pa.array([comp] * m), pa.array([len(s)] * m), pa.array(tokens), pa.array(len(s) - np.arange(m))],
-                ["doc_id", "comp", "n", "token", "rest"],
-            )
+            tokens.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
+        m, sizes = [len(t) for t in tokens], np.array([len(s) for s in sets])
+        rest = np.concatenate([n - np.arange(k) for n, k in zip(sizes, m)])
+        columns = [np.repeat(part.column(c).to_numpy(), m) for c in ("doc_id", "comp")]
+        columns += [np.repeat(sizes, m), np.concatenate(tokens), rest]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "comp", "n", "token", "rest"])
 
 
 def _set_blocks(batches, hashes: WordHash, k: int):
@@ -253,12 +255,13 @@ def prefix_pairs(rows: DataFrame, percent: int, also: str = "TRUE") -> DataFrame
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id.
 
-    Rows that repeat a kept doc_id go too (the smallest text stays); rows with a null doc_id go.
+    Rows that repeat a kept doc_id go too (the smallest text stays); rows with a
+    null doc_id go.  Null, empty and blank texts are alone and stay.
     """
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id")
-    once = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "near-kept")
-    out = docs.join(once.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if once.where("n > 1").isEmpty():
+    found = materialize(near_duplicates(docs, **options).where("doc_id IS NOT NULL").select("doc_id", "kept"), "near-found")
+    gone = materialize(found.where("NOT kept").select("doc_id").distinct(), "near-gone")
+    out = docs.where("doc_id IS NOT NULL").join(narrow(gone), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return out
     rest = [c for c in docs.columns if c != "doc_id"]
     least = out.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row"))

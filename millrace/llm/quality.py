@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, narrow
 
 _BLANK = r"[\x20\x09-\x0D]"
 GRAM = 8
@@ -262,5 +262,4 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     key = F.xxhash64("doc_id", "lang", "source", "text")
     verdict = judge(docs.select(key.alias("doc_id"), "lang", "source", "text"), **options)
     out = materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "quality-rejected")
-    out = out.hint("merge")  # the rejected rows grow with the documents, and so the plan is the same at every size
-    return docs.join(out, key == out["key"], "left_anti")
+    return docs.join(narrow(out), key == out["key"], "left_anti")
