@@ -112,10 +112,15 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), 32]] = True
 
 
-def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of a word from which on it is hashed alone.
+_LONG_WORD = 512
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of some texts as ``(t or b"").lower().split()`` gives them, by vector code.
 
-    (distinct words, the number of each word among them, the words up to each text's end, the words up to each line's end).
+    (64-bit hash of each word, its last byte, the words up to each text's end, the words up to each line's end).
     """
     texts = texts.cast(pa.binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
@@ -129,26 +134,27 @@ def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, n
     starts = np.flatnonzero(first)
     line_ends = np.searchsorted(starts, np.sort(np.append(np.flatnonzero(data == 10), offsets[1:])))
     line_ends = line_ends[np.diff(line_ends, prepend=0) > 0]
-    kept = data[~blank]
-    bounds = np.append((starts - np.cumsum(blank)[starts]), len(kept)).astype(np.int32) if len(starts) else np.zeros(1, np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
-    return byte_strings(words.dictionary), words.indices.to_numpy(), np.searchsorted(starts, offsets[1:]), line_ends
-
-
-class WordHash(dict):
-    """64-bit hash of a word (bytes), remembered; forgets all at ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words)), np.uint64)
+    kept = np.append(data[~blank], np.zeros(8, np.uint8))
+    bounds = np.append(starts - np.cumsum(blank, dtype=np.int32)[starts], len(kept) - 8) if len(starts) else np.zeros(1, np.int64)
+    return _hashed(kept, bounds), kept[bounds[1:] - 1], np.searchsorted(starts, offsets[1:]), line_ends
+
+
+def _hashed(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each word ``data[bounds[i]:bounds[i + 1]]``, eight bytes at a time (``data`` ends with eight spare ones)."""
+    lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    at, left = bounds[:-1], np.diff(bounds)
+    out = mix((lanes[at] & _MASKS[np.minimum(left, 8)]) * M1 + left.astype(np.uint64) * M2)
+    long = np.flatnonzero(left > _LONG_WORD)
+    left = left.copy()
+    left[long] = 0
+    rest, step = np.flatnonzero(left > 8), 8
+    while len(rest):
+        more = left[rest] - step
+        out[rest] = mix(out[rest] * M3 + (lanes[at[rest] + step] & _MASKS[np.minimum(more, 8)]))
+        rest, step = rest[more > 8], step + 8
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[bounds[i] : bounds[i + 1]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, WordHash, common_count, distinct_sorted, forget, materialize, mix, narrow, slices, split_words
+from millrace.llm.common import M1, M2, M3, common_count, distinct_sorted, forget, materialize, mix, narrow, slices, word_hashes
 from millrace.llm.components import connected_components
 
 #: 26 bands of 5 minima: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2.4e-7.
@@ -21,14 +21,13 @@ ORDER_CELLS = 1 << 20
 BLOCK_WORDS = 500_000
 
 
-def shingle_sets(texts: pa.Array, hashes: WordHash, k: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, ASCII letters lower-cased.
 
     Null, empty and blank texts have the empty set; one with fewer than ``k``
     words has the whole sequence as its one shingle.
     """
-    words, index, ends, _ = split_words(texts)
-    flat = hashes.array(words)[index] if words else np.zeros(0, np.uint64)
+    flat, _, ends, _ = word_hashes(texts)
     sets, start = [], 0
     turn = mix(np.arange(1, k + 1, dtype=np.uint64) * M1) | np.uint64(1)
     rolled = np.zeros(max(0, len(flat) - k + 1), np.uint64)
@@ -72,12 +71,11 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(batches, k: int, bands: int, rows: int):
-    hashes = WordHash()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
         lengths = [len(t) // 6 + 1 if (t := x.as_py()) else 1 for x in texts]
         for lo, hi in slices(lengths, BLOCK_WORDS):
-            sets = shingle_sets(texts.slice(lo, hi - lo), hashes, k)
+            sets = shingle_sets(texts.slice(lo, hi - lo), k)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             if full:
@@ -99,13 +97,12 @@ def _sketches(batches, k: int, bands: int, rows: int):
 
 
 def _verified(batches, k: int, percent: int):
-    hashes = WordHash()
     for batch in batches:
         sizes = [len(a.as_py() or b"") + len(b.as_py() or b"") for a, b in zip(batch.column(2), batch.column(3))]
         for lo, hi in slices([n // 6 + 1 for n in sizes], BLOCK_WORDS):
             part = batch.slice(lo, hi - lo)
             pivots = part.column(2).cast(pa.binary()).dictionary_encode()
-            left, right = shingle_sets(pivots.dictionary, hashes, k), shingle_sets(part.column(3), hashes, k)
+            left, right = shingle_sets(pivots.dictionary, k), shingle_sets(part.column(3), k)
             near = []
             for i, b in zip(pivots.indices.to_pylist(), right):
                 a = left[i]
@@ -187,8 +184,7 @@ def _open_nodes(buckets: DataFrame, components: DataFrame) -> DataFrame:
 
 def _cell_counts(batches, k: int):
     """How many of the shingles of the batches fall to each cell of the order table."""
-    hashes = WordHash()
-    for part, sets in _set_blocks(batches, hashes, k):
+    for part, sets in _set_blocks(batches, k):
         counts = np.bincount((np.concatenate(sets) & np.uint64(ORDER_CELLS - 1)).astype(np.int64), minlength=ORDER_CELLS)
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
@@ -196,8 +192,8 @@ def _cell_counts(batches, k: int):
 
 def _prefixes(batches, k: int, percent: int, table):
     """A set's rarest shingles, as many as must hold one that any near enough set holds too."""
-    hashes, counts = WordHash(), table.value
-    for part, sets in _set_blocks(batches, hashes, k):
+    counts = table.value
+    for part, sets in _set_blocks(batches, k):
         tokens = []
         for s in sets:
             order = np.lexsort((s, counts[s & np.uint64(ORDER_CELLS - 1)]))
@@ -209,11 +205,11 @@ def _prefixes(batches, k: int, percent: int, table):
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "comp", "n", "token", "rest"])
 
 
-def _set_blocks(batches, hashes: WordHash, k: int):
+def _set_blocks(batches, k: int):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for lo, hi in slices([len(t.as_py()) // 6 + 1 for t in texts], BLOCK_WORDS):
-            yield batch.slice(lo, hi - lo), shingle_sets(texts.slice(lo, hi - lo), hashes, k)
+            yield batch.slice(lo, hi - lo), shingle_sets(texts.slice(lo, hi - lo), k)
 
 
 def _cross_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, byte_strings, common_count, distinct_sorted, forget, materialize, mix, slices, split_words
+from millrace.llm.common import M1, M2, M3, byte_strings, common_count, distinct_sorted, forget, materialize, mix, slices, word_hashes
 from millrace.llm.components import connected_components
 from millrace.llm.near_dup import ORDER_CELLS, prefix_pairs
 
@@ -25,18 +23,7 @@ WINDOW, PASSAGE = 26, 26
 #: One word in so many ends a sentence whatever its punctuation, so that long lines without any are cut by content too.
 BREAK = 64
 BLOCK_WORDS = 1_500_000
-
-
-class _Words(dict):
-    """64-bit hash of a word, remembered; its lowest bit tells that a sentence ends here."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        ends = word[-1:] in b".!?" or (h >> 16) % BREAK == 0
-        self[word] = h = h & ~1 | ends
-        return h
+_STOPS = np.isin(np.arange(256), list(b".!?"))
 
 
 class Block:
@@ -44,15 +31,15 @@ class Block:
 
     Paragraphs, which are compared by similarity, are: lines, each with as many of
     those that follow as bring it to ``LEAST`` words; in lines of more than ``MOST``
-    words, runs of sentences of that length; the first and the last ``LEAST`` words
+    words, runs of sentences of that length; the first and the last ``PASSAGE`` words
     of a text; a shorter text as a whole.  Passages, which are compared for equality,
     are ``PASSAGE`` words from the place of the least shingle hash in each window.
     ``near`` tells which are paragraphs.
     """
 
-    def __init__(self, texts: pa.Array | list[bytes | None], hashes: _Words):
-        words, index, self.ends_of_docs, line_ends = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
-        self.hash = np.array(list(map(hashes.__getitem__, words)), np.uint64)[index]
+    def __init__(self, texts: pa.Array | list[bytes | None]):
+        own, last, self.ends_of_docs, line_ends = word_hashes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        self.hash, self.ends = own, _STOPS[last] | ((own >> np.uint64(16)) % np.uint64(BREAK) == 0)
         self.counts = np.diff(self.ends_of_docs, prepend=0)
         self.shingle = self.shingles()
         self._paragraphs(line_ends)
@@ -61,7 +48,7 @@ class Block:
         lengths = np.diff(line_ends, prepend=0)
         start, stop = self._runs(line_ends)
         whole = stop - start <= MOST
-        own = np.flatnonzero(self.hash & np.uint64(1)) + 1
+        own = np.flatnonzero(self.ends) + 1
         marks = np.zeros(len(self.hash) + 1, bool)
         marks[own] = marks[line_ends] = True
         inner, inner_stop = self._runs(np.flatnonzero(marks))
@@ -69,8 +56,9 @@ class Block:
         ends, firsts = self.ends_of_docs, self.ends_of_docs - self.counts
         filled, full = self.counts > 0, self.counts >= LEAST
         brief = filled & ~full
-        starts = [start[whole], inner[long], firsts[full], ends[full] - LEAST, firsts[brief]]
-        stops = [stop[whole], np.minimum(inner_stop, inner + MOST)[long], firsts[full] + LEAST, ends[full], ends[brief]]
+        edge = np.minimum(self.counts, PASSAGE)[full]
+        starts = [start[whole], inner[long], firsts[full], ends[full] - edge, firsts[brief]]
+        stops = [stop[whole], np.minimum(inner_stop, inner + MOST)[long], firsts[full] + edge, ends[full], ends[brief]]
         near = distinct_sorted(np.concatenate(starts) * (MOST + 1) + np.concatenate(stops) - np.concatenate(starts))
         passages = self._winnowed()
         both = distinct_sorted(np.concatenate([near, passages * (MOST + 1) + PASSAGE]))
@@ -118,20 +106,6 @@ class Block:
             out ^= out >> np.uint64(29)
         return mix(out)
 
-    def sizes(self, shingles: np.ndarray) -> np.ndarray:
-        """The distinct shingles of each paragraph: its places, less those that repeat an earlier one of its own; 1 if it has none."""
-        order = np.argsort(shingles, kind="stable")
-        same = np.flatnonzero(shingles[order[1:]] == shingles[order[:-1]])
-        close = same[order[same + 1] - order[same] < MOST]
-        close = close[np.argsort(order[close + 1])]
-        again, before = order[close + 1], order[close]
-        out = np.maximum(self.stop - self.start - SHINGLE + 1, 1)
-        lo, hi = np.searchsorted(again, self.start), np.searchsorted(again, self.stop - SHINGLE + 1)
-        for i in range(int((hi - lo).max(initial=0))):
-            at = np.flatnonzero(lo + i < hi)
-            out[at] -= before[lo[at] + i] >= self.start[at]
-        return out
-
     def classes(self) -> np.ndarray:
         """A hash of each paragraph's words, from running sums of a polynomial modulo 2^64."""
         base = int(M2) | 1
@@ -170,12 +144,12 @@ ENTRIES = "bucket int, doc_id long, keys binary, docs binary"
 LIVE = "cls long, doc_id long, start int, n int, size int, more binary, keys array<long>, shingles binary"
 
 
-def _blocks(batches, hashes: _Words):
+def _blocks(batches):
     for batch in batches:
         texts = batch.column("text")
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         for lo, hi in slices([n // 6 + 1 for n in sizes], BLOCK_WORDS):
-            yield batch.slice(lo, hi - lo), Block(texts.slice(lo, hi - lo), hashes)
+            yield batch.slice(lo, hi - lo), Block(texts.slice(lo, hi - lo))
 
 
 def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -195,8 +169,7 @@ def _entries(batches, buckets: int):
     The lowest bit of a key tells that several documents of the block hold it; those
     need no other block to know that, and go along as a row of their own.
     """
-    hashes = _Words()
-    for part, block in _blocks(batches, hashes):
+    for part, block in _blocks(batches):
         if not len(block.start):
             continue
         key, at = block.entries()
@@ -243,8 +216,7 @@ def _live(batches):
 
     Paragraphs have their shared keys, the number of their shingles and these themselves too.
     """
-    hashes = _Words()
-    for part, block in _blocks(batches, hashes):
+    for part, block in _blocks(batches):
         if not len(block.start):
             continue
         wanted = [b"".join(x) for x in part.column("live").to_pylist()]
@@ -265,7 +237,7 @@ def _live(batches):
             continue
         docs = part.column("doc_id").to_numpy()[block.doc[places]]
         start, n = (block.start - block.first)[places].astype("i4"), (block.stop - block.start)[places].astype("i4")
-        cls, size, near = block.classes()[places], block.sizes(block.shingle)[places].astype("i4"), block.near[places]
+        cls, near = block.classes()[places], block.near[places]
         order = np.lexsort((start, docs, ~near, cls))
         new = _heads(cls[order])
         upto = np.append(new[1:], len(order))
@@ -278,14 +250,16 @@ def _live(batches):
         head = order[new]
         keys: list = [None] * len(head)
         sets: list = [None] * len(head)
+        size = np.ones(len(head), np.int32)
         small = block.shingle.astype(np.uint32)
         for i in np.flatnonzero(near[head] & (n[head] >= SHINGLE)).tolist():
             h = head[i]
             keys[i] = key[first[h] : ends[h]]
             p = places[h]
-            sets[i] = distinct_sorted(small[block.start[p] : block.stop[p] - SHINGLE + 1]).tobytes()
-        columns = [pa.array(c[head]) for c in (cls, docs, start, n, size)]
-        columns += [pa.array(more, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            own = distinct_sorted(small[block.start[p] : block.stop[p] - SHINGLE + 1])
+            sets[i], size[i] = own.tobytes(), len(own)
+        columns = [pa.array(c[head]) for c in (cls, docs, start, n)]
+        columns += [pa.array(size), pa.array(more, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["cls", "doc_id", "start", "n", "size", "more", "keys", "shingles"])
 
 
@@ -341,6 +315,21 @@ def _prefixes(batches, percent: int, table):
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "comp", "n", "token", "rest", "x", "y"])
 
 
+def _star(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``met`` (key, cls, size, w) with their bucket's first, the class of most places, as ``pivot``; and pairs (u, v) of such whose sizes allow it."""
+    pivots = met.groupBy("key").agg(F.max(F.struct("w", "cls", "size")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    starred = materialize(met.join(pivots, "key").where("cls <> pivot.cls"), "substring-star")
+    edges = starred.where(f"100 * least(size, pivot.size) >= {percent} * greatest(size, pivot.size)")
+    return starred, materialize(edges.select(F.col("cls").alias("u"), F.col("pivot.cls").alias("v")).distinct(), "substring-edges")
+
+
+def _open(several: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows (key, cls, size, w) of buckets' classes that their first did not draw into its component: one bucket more, without it."""
+    own = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    placed = several.join(own("cls"), "cls", "left").join(own("pivot"), "pivot", "left")
+    return placed.where("coalesce(cls_in, cls) <> coalesce(pivot_in, pivot)").select("key", "cls", "size", "w")
+
+
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose shingle sets are near enough."""
     side = lambda c, s: sets.select(F.col("cls").alias(c), F.col("shingles").alias(s))
@@ -352,7 +341,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _missed(met: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that may be near enough of classes that met the same firsts but lie in different components.
 
-    Every class of a bucket was compared with the bucket's first; two others of
+    Every class of a bucket was compared with one or two of the bucket; two others of
     different components were not compared yet.
     """
     own = components.select(F.col("node").alias("cls"), "component")
@@ -426,7 +415,8 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     that a paragraph that every document holds is one entry for each block.  Keys
     that more than one document holds go back to their documents, and a second pass
     gives the places that hold one.  Paragraphs of equal words are one class.  Classes that meet in
-    a band bucket are linked to the bucket's first and verified by the Jaccard
+    a band bucket are linked to the bucket's most frequent one, then those that are
+    left to the most frequent of these, and verified by the Jaccard
     similarity of their five-word shingles; classes linked at ``percent`` or more
     form components.  Classes of buckets that then still hold several components
     are settled by an exact prefix-filter join.  A component found in two documents
@@ -447,18 +437,21 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     wanted = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("live"))
     live = materialize(docs.join(wanted, "doc_id").mapInArrow(_live, LIVE), "substring-live")
 
-    met = live.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "cls", "size").distinct()
-    pivots = met.groupBy("key").agg(F.min(F.struct("cls", "size")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    starred = materialize(met.join(pivots, "key").where("cls <> pivot.cls"), "substring-star")
-    edges = starred.where(f"100 * least(size, pivot.size) >= {percent} * greatest(size, pivot.size)")
-    edges = materialize(edges.select(F.col("cls").alias("u"), F.col("pivot.cls").alias("v")).distinct(), "substring-edges")
-    several = materialize(starred.where("n > 2").select("key", "cls"), "substring-several")
+    places = (1 + F.coalesce(F.octet_length("more"), F.lit(0)) / _MORE.itemsize).cast("long")
+    met = live.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "cls", "size", places.alias("w"))
+    met = met.groupBy("key", "cls", "size").agg(F.sum("w").alias("w"))
+    starred, edges = _star(met, percent)
+    several = materialize(starred.where("n > 2").select("key", "cls", "size", "w", F.col("pivot.cls").alias("pivot")), "substring-several")
     ends = edges.select(F.col("u").alias("cls")).union(edges.select("v")).union(several.select("cls")).distinct()
     sets = live.where("shingles IS NOT NULL").select("cls", "shingles").join(ends, "cls", "left_semi")
     sets = materialize(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "substring-sets")
     links = materialize(_near(edges, sets, percent), "substring-links")
     components = connected_components(links, "substring-stars")
-    more = materialize(_near(_missed(several, components, sets, percent), sets, percent), "substring-more")
+    again, second = _star(_open(several, components), percent)
+    links, first = materialize(links.unionByName(_near(second, sets, percent)), "substring-links"), links
+    forget(first, components)
+    components = connected_components(links, "substring-stars")
+    more = materialize(_near(_missed(several.select("key", "cls"), components, sets, percent), sets, percent), "substring-more")
     if not more.isEmpty():
         forget(components)
         components = connected_components(links.unionByName(more), "substring-all")
@@ -467,7 +460,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     places = places.join(components.withColumnRenamed("node", "cls"), "cls", "left")
     places = places.select(F.coalesce("component", "cls").alias("component"), "doc_id", "start", "n")
     places = materialize(places, "substring-places")
-    forget(shared, live, starred, edges, several, sets, links, more, components)
+    forget(shared, live, starred, edges, several, again, second, sets, links, more, components)
     heads = places.groupBy("component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     heads = materialize(heads.where("first < last"), "substring-heads")  # read back, so that a join of a hot component can be split
     repeats = places.join(heads, "component")

@@ -87,7 +87,7 @@ def test_every_run_of_51_words_holds_a_paragraph_of_its_own():
                 w = [x.strip(".") for x in w]
             step = rnd.choice([7, 13, 1000])
             texts.append("\n".join(" ".join(w[i : i + step]) for i in range(0, len(w), step)).encode())
-        block = substring.Block(texts, substring._Words())
+        block = substring.Block(texts)
         cls = block.classes()
         assert set(cls[block.doc == 0]) & set(cls[block.doc == 1]), trial
 
@@ -95,7 +95,7 @@ def test_every_run_of_51_words_holds_a_paragraph_of_its_own():
 def test_every_word_lies_in_a_paragraph():
     rnd = random.Random(22)
     texts = [prose(rnd, n).replace(".", "" if n % 2 else ".").encode() for n in range(24, 300)]
-    block = substring.Block(texts, substring._Words())
+    block = substring.Block(texts)
     held = set()
     for a, b in zip(block.start, block.stop):
         held.update(range(a, b))
@@ -133,15 +133,6 @@ def test_one_paragraph_at_80_percent_is_found(spark):
     assert len(got) >= 0.97 * len(made)
 
 
-def test_distinct_shingles_are_counted():
-    rnd = random.Random(25)
-    texts = [" ".join(rnd.choice("ab") if n % 3 else "x" for _ in range(n)).encode() for n in range(24, 200)]
-    block = substring.Block(texts, substring._Words())
-    shingles = block.shingles()
-    want = [len(set(shingles[a : b - 4])) for a, b in zip(block.start, block.stop)]
-    assert block.sizes(shingles).tolist() == want
-
-
 def near_pairs(rnd, n, pivots):
     """Pairs of 60-word texts with one word changed; with ``pivots`` a third text, first by doc_id, too far from both."""
     fresh = lambda: "".join(rnd.choice("qrstuv") for _ in range(7))
