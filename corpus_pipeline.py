@@ -55,7 +55,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of each row; null and empty texts have no tokens and decode to an empty text."""
     path = bpe.vocabulary_path("word_bpe_49k.json")
-    decoded = bpe.decode(bpe.encode(docs, path, split="blank"), path)
+    decoded = bpe.round_trip(docs, path, split="blank")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

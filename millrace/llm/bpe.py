@@ -316,6 +316,9 @@ def _long_ids(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, np.cumsum([len(x) for x in ids]))], ["doc_id", "ids"])
 
 
+IDS, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, decoded string"
+
+
 def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """(doc_id, ids array<int>) for each row of ``docs`` (doc_id long, text string): the library's ids of the whole text.
 
@@ -324,9 +327,18 @@ def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHA
     level.  Null and empty texts have no ids; rows with a null or repeated doc_id
     are encoded like any other; other columns are ignored.
     """
+    return _encoded(docs, path, split, long_chars, leaf_chars, iter, IDS)
+
+
+def round_trip(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """``decode(encode(docs))``, decoded by the task that encodes: the ids don't leave its worker in between."""
+    return _encoded(docs, path, split, long_chars, leaf_chars, lambda it: _decode(it, path), DECODED)
+
+
+def _encoded(docs: DataFrame, path: str, split: str, long_chars: int, leaf_chars: int, then, schema: str) -> DataFrame:
     docs = docs.select("doc_id", "text")
     short = docs.where(f"text IS NULL OR length(text) <= {long_chars}")
-    short = short.mapInArrow(lambda it: _encode(it, path, split), "doc_id long, ids array<int>")
+    short = short.mapInArrow(lambda it: then(_encode(it, path, split)), schema)
     found = docs.where(f"length(text) > {long_chars}")
     found = materialize(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "bpe-long")
     most = found.agg(F.max(F.length("text"))).first()[0]
@@ -338,7 +350,7 @@ def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHA
     while count > 1:
         pairs = nodes.groupBy("rid", F.floor(F.col("idx") / 2).alias("pair"))
         nodes, count = pairs.applyInPandas(lambda pdf: _join_pair(pdf, path), NODE), -(-count // 2)
-    long = nodes.select("doc_id", "ids").mapInArrow(_long_ids, "doc_id long, ids array<int>")
+    long = nodes.select("doc_id", "ids").mapInArrow(lambda it: then(_long_ids(it)), schema)
     return short.unionByName(long)
 
 
@@ -361,7 +373,7 @@ def _decode(batches, path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) for each row of ``encoded``: the library's decode(ids, skip_special_tokens=False)."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decode(it, path), "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decode(it, path), DECODED)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def op3_quality(spark, sf_dir):
 
 def op4_bpe(spark, sf_dir):
     path = bpe.vocabulary_path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, split="blank"), path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), path, split="blank"))
 
 
 def op5_token_store(spark, sf_dir):

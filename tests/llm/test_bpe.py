@@ -50,6 +50,24 @@ def test_encode_and_decode_with_leaves(docs, rows, name, split):
     assert got == expected(rows, bpe.load(path))
 
 
+def test_round_trip_is_decode_of_encode(docs):
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    options = {"split": "blank", "long_chars": 500, "leaf_chars": 300}
+    one, two = bpe.round_trip(docs, path, **options), bpe.decode(bpe.encode(docs, path, **options), path)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_a_text_beyond_the_query_s_own_limit(spark):
+    """One word after another, and one run without any blank, both longer than LONG_CHARS: leaves and windows as in the query."""
+    rnd = random.Random(17)
+    texts = [" ".join("".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 9))) for _ in range(30_000)), "".join(rnd.choice("abc,'1é") for _ in range(70_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, split in KINDS:
+        path = bpe.vocabulary_path(name)
+        got = {r["doc_id"]: r["ids"] for r in bpe.encode(df, path, split=split).collect()}
+        assert all(got[i] == bpe.load(path).encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
 def test_empty_table(none):
     path = bpe.vocabulary_path("word_bpe_49k.json")
     assert bpe.decode(bpe.encode(none, path, split="blank"), path).collect() == []
