@@ -32,6 +32,8 @@ STARTS = 3
 #: Steps after which a group goes on from its best start alone; least fall of a log determinant that counts.
 TRIED, FALL = 2, 1e-6
 _UNIT = 1_000_000
+#: Groups up to which a table of one row for each (some 200 bytes) is broadcast; beyond it rows and groups are joined by shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def _estimates(subset: DataFrame, names: list[str], floors: list[float], correct
     return est.withColumn("logdet", sum((F.log(F.col(f"l{i}{i}")) for i in p), F.lit(0.0)))
 
 
-def _starts(fit: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+def _starts(fit: DataFrame, names: list[str], floors: list[float], mark) -> DataFrame:
     """(g, s, m_i, l_ij): each group's medians with ``STARTS`` scatters, of its rows in median deviations.
 
     Medians and deviations are taken of thousandths, which are few; they only begin the search.
@@ -163,7 +165,7 @@ def _starts(fit: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
     coarse = lambda c: (F.floor(F.col(c) / 1000) * 1000).cast("long")
     long = fit.select("g", F.posexplode(F.array(*map(coarse, names))).alias("i", "x"))
     middle = materialize(_at_share(long, ["g", "i"], "x", 0.5, 64_000).select("g", "i", F.col("at").alias("mid")), "quality-mid")
-    off = long.join(middle, ["g", "i"]).select("g", "i", F.abs(F.col("x") - F.col("mid")).alias("off"))
+    off = long.join(mark(middle), ["g", "i"]).select("g", "i", F.abs(F.col("x") - F.col("mid")).alias("off"))
     scale = middle.join(_at_share(off, ["g", "i"], "off", 0.5, 64_000).withColumnRenamed("at", "mad"), ["g", "i"])
     pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
     start = scale.groupBy("g").agg(
@@ -174,7 +176,7 @@ def _starts(fit: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
     z = [(F.col(names[i]) - F.col(f"m{i}")) / F.col(f"d{i}") for i in p]
     norm = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0]))
     kinds = [[F.tanh(v) for v in z], [F.when(norm > 0, v / norm).otherwise(0.0) for v in z]]
-    moved = fit.join(start, "g").select("g", F.posexplode(F.array(*(F.array(*k) for k in kinds))).alias("s", "z"))
+    moved = fit.join(mark(start), "g").select("g", F.posexplode(F.array(*(F.array(*k) for k in kinds))).alias("s", "z"))
     each = {f"c{i}{j}": F.sum(_whole(F.round(F.get("z", F.lit(i)) * F.get("z", F.lit(j)) * _UNIT))) for i in p for j in range(i + 1)}
     scatter = moved.groupBy("g", (F.col("s") + 1).alias("s")).agg(F.count("*").alias("n"), *(v.alias(k) for k, v in each.items()))
     plain = start.select("g", F.lit(0).alias("s"), F.lit(1).alias("n"), *(F.lit(_UNIT if i == j else 0).cast("decimal(30,0)").alias(f"c{i}{j}") for i in p for j in range(i + 1)))
@@ -209,17 +211,19 @@ def robust_distance(rows: DataFrame, *, share: float = SHARE) -> DataFrame:
     inner = chi2_quantile(1 - share, p)
     correction = share / (1 - chi2_upper(inner, p + 2))
     fit = rows.where("g IS NOT NULL AND NOT base_failed").select("g", *names)
+    few = fit.select("g").distinct().count() <= BROADCAST_GROUPS
+    mark = F.broadcast if few else lambda groups: groups
     columns = ["g", "s", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)), "logdet"]
 
     def moved(est: DataFrame) -> DataFrame:
         bins = F.floor(F.log2(_distance(names) + 1e-9) * 256).cast("long")
-        far = fit.join(est.drop("logdet"), "g").select("g", "s", *names, bins.alias("bin"))
+        far = fit.join(mark(est.drop("logdet")), "g").select("g", "s", *names, bins.alias("bin"))
         limit = materialize(_at_share(far, ["g", "s"], "bin", share, 256), "quality-limit")
-        subset = far.join(limit, ["g", "s"]).where("bin <= at").withColumn("edge", F.col("bin") == F.col("at"))
+        subset = far.join(mark(limit), ["g", "s"]).where("bin <= at").withColumn("edge", F.col("bin") == F.col("at"))
         return materialize(_estimates(subset, names, floors, correction).select(*columns), "quality-estimates")
 
     best_of = lambda e: e.groupBy("g").agg(F.min_by(F.struct(*columns[1:]), F.struct("logdet", "s")).alias("e")).select("g", "e.*")
-    est = materialize(_starts(fit, names, floors), "quality-starts")
+    est = materialize(_starts(fit, names, floors, mark), "quality-starts")
     for _ in range(TRIED):
         est = moved(est)
     best = materialize(best_of(est), "quality-best")
@@ -229,7 +233,7 @@ def robust_distance(rows: DataFrame, *, share: float = SHARE) -> DataFrame:
         if fell.isEmpty():
             break
         best = materialize(best_of(best.unionByName(now)), "quality-best")
-    return rows.join(best.drop("s", "logdet"), "g", "left").select(*rows.columns, _distance(names).alias("d2"))
+    return rows.join(mark(best.drop("s", "logdet")), "g", "left").select(*rows.columns, _distance(names).alias("d2"))
 
 
 def judge(docs: DataFrame, *, tail: float = TAIL) -> DataFrame:
