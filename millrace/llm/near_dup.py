@@ -159,7 +159,9 @@ def near_duplicates(
     missed = _cross_pairs(_open_nodes(buckets, components), texts, k, percent)
     more = materialize(_verify(missed.join(star, ["u", "v"], "left_anti"), texts, k, percent), "near-more")
     if not more.isEmpty():
+        forget(components)
         components = connected_components(links.unionByName(more), "near-all")
+    forget(buckets, texts, links, more)
 
     least = components.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     groups = classes.join(least, "rep", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("group"))
