@@ -9,7 +9,7 @@ from millrace.operators.aggregates import tumbling
 from millrace.operators.enrich import lookup_left
 from millrace.operators.extract import latest_partition
 from millrace.operators.patterns import pattern_times
-from millrace.sources.readers import json_values, read_table, text_stream
+from millrace.sources.readers import json_values, named_table_stream, read_table, text_stream
 from millrace.sources.sinks import UpsertTable, as_json, multi_sink, overwrite_partition
 from millrace.streaming.patterns import pattern_times_stream
 
@@ -93,3 +93,14 @@ def test_json_and_text(spark, tmp_path):
     stream = json_values(text_stream(spark, "text", path=f"{tmp_path}/topic"), "k long, v string")
     stream.writeStream.format("memory").queryName("topic_rows").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.sql("SELECT * FROM topic_rows").collect())) == [(1, "a"), (2, None)]
+
+
+def test_catalog_table_as_stream(spark, tmp_path):
+    """What is there and what is appended later, each row once."""
+    spark.sql("DROP TABLE IF EXISTS streamed_rows")
+    spark.createDataFrame([(1, 1, at("00:00:00"), 1.0)], SCHEMA).write.saveAsTable("streamed_rows")
+    for n in (1, 2):
+        run(named_table_stream(spark, "streamed_rows"), tmp_path)
+        assert spark.read.parquet(f"{tmp_path}/out").count() == n
+        spark.createDataFrame([(n + 1, 1, at("00:00:01"), 2.0)], SCHEMA).write.insertInto("streamed_rows")
+    spark.sql("DROP TABLE streamed_rows")
