@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_strings, materialize, slices
+from millrace.llm.common import byte_strings, materialize, released, slices
 
 #: Texts of more characters are cut into leaves, which are encoded in parallel.
 LONG_CHARS, LEAF_CHARS = 65_536, 32_768
@@ -332,25 +332,25 @@ def encode(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHA
 
 def round_trip(docs: DataFrame, path: str, *, split: str, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """``decode(encode(docs))``, decoded by the task that encodes: the ids don't leave its worker in between."""
-    return _encoded(docs, path, split, long_chars, leaf_chars, lambda it: _decode(it, path), DECODED)
+    return _encoded(docs, path, split, long_chars, leaf_chars, lambda it: released(_decode(it, path)), DECODED)
 
 
 def _encoded(docs: DataFrame, path: str, split: str, long_chars: int, leaf_chars: int, then, schema: str) -> DataFrame:
     docs = docs.select("doc_id", "text")
     short = docs.where(f"text IS NULL OR length(text) <= {long_chars}")
-    short = short.mapInArrow(lambda it: then(_encode(it, path, split)), schema)
+    short = short.mapInArrow(lambda it: released(then(_encode(it, path, split))), schema)
     found = docs.where(f"length(text) > {long_chars}")
     found = materialize(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "bpe-long")
     most = found.agg(F.max(F.length("text"))).first()[0]
     if most is None:
         return short
     nodes = found.mapInArrow(lambda it: _leaves(it, leaf_chars), "rid long, doc_id long, idx long, text string")
-    nodes = nodes.repartition("rid", "idx").mapInArrow(lambda it: _encode_leaves(it, path), NODE)
+    nodes = nodes.repartition("rid", "idx").mapInArrow(lambda it: released(_encode_leaves(it, path)), NODE)
     count = -(-most // leaf_chars)
     while count > 1:
         pairs = nodes.groupBy("rid", F.floor(F.col("idx") / 2).alias("pair"))
         nodes, count = pairs.applyInPandas(lambda pdf: _join_pair(pdf, path), NODE), -(-count // 2)
-    long = nodes.select("doc_id", "ids").mapInArrow(lambda it: then(_long_ids(it)), schema)
+    long = nodes.select("doc_id", "ids").mapInArrow(lambda it: released(then(_long_ids(it))), schema)
     return short.unionByName(long)
 
 
@@ -373,7 +373,7 @@ def _decode(batches, path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) for each row of ``encoded``: the library's decode(ids, skip_special_tokens=False)."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decode(it, path), DECODED)
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: released(_decode(it, path)), DECODED)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import hashlib
 import tempfile
@@ -157,6 +159,14 @@ def _hashed(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def released(batches):
+    """The batches of a task; at its end the worker gives freed memory back, as several wait for the next task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, common_count, distinct_sorted, forget, materialize, mix, narrow, slices, word_hashes
+from millrace.llm.common import M1, M2, M3, common_count, distinct_sorted, forget, materialize, mix, narrow, released, slices, word_hashes
 from millrace.llm.components import connected_components
 
 #: 26 bands of 5 minima: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2.4e-7.
@@ -116,7 +116,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (u, v) whose full shingle sets are near enough."""
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     wide = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v")
-    return wide.mapInArrow(lambda it: _verified(it, k, percent), "u long, v long")
+    return wide.mapInArrow(lambda it: released(_verified(it, k, percent)), "u long, v long")
 
 
 def near_duplicates(
@@ -138,7 +138,7 @@ def near_duplicates(
     docs = docs.select("doc_id", "text")
     sketch = materialize(
         docs.mapInArrow(
-            lambda it: _sketches(it, k, bands, rows),
+            lambda it: released(_sketches(it, k, bands, rows)),
             "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>",
         ),
         "near-sketch",

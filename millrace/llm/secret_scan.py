@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import text_blocks
+from millrace.llm.common import released
 
 #: Kinds in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex")
@@ -330,7 +331,7 @@ def find_secrets(docs: DataFrame, *, max_layer: int = MAX_LAYER) -> DataFrame:
     inflate to more than ``max_layer`` bytes; they are scanned up to there.
     """
     schema = f"doc_id long, base {_SPANS}, spans {_SPANS}, n_closed long"
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _find(it, max_layer), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: released(_find(it, max_layer)), schema)
 
 
 def span_text(spans: str):
@@ -372,4 +373,4 @@ def _mask(batches, mark: str, most: int):
 
 def mask_secrets(docs: DataFrame, *, mark: str = "<secret>", max_layer: int = MAX_LAYER) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced by ``mark``; every row and column stays."""
-    return docs.mapInArrow(lambda it: _mask(it, mark, max_layer), docs.schema)
+    return docs.mapInArrow(lambda it: released(_mask(it, mark, max_layer)), docs.schema)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, byte_strings, common_count, distinct_sorted, forget, materialize, mix, slices, word_hashes
+from millrace.llm.common import M1, M2, M3, byte_strings, common_count, distinct_sorted, forget, materialize, mix, released, slices, word_hashes
 from millrace.llm.components import connected_components
 from millrace.llm.near_dup import ORDER_CELLS, prefix_pairs
 
@@ -432,10 +432,10 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(lambda it: _entries(it, buckets), ENTRIES)
+    packed = docs.mapInArrow(lambda it: released(_entries(it, buckets)), ENTRIES)
     shared = materialize(packed.groupBy("bucket").applyInArrow(_shared, "doc_id long, keys binary"), "substring-keys")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("live"))
-    live = materialize(docs.join(wanted, "doc_id").mapInArrow(_live, LIVE), "substring-live")
+    live = materialize(docs.join(wanted, "doc_id").mapInArrow(lambda it: released(_live(it)), LIVE), "substring-live")
 
     places = (1 + F.coalesce(F.octet_length("more"), F.lit(0)) / _MORE.itemsize).cast("long")
     met = live.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "cls", "size", places.alias("w"))

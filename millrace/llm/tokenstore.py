@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import chunk_encoder, text_blocks
-from millrace.llm.common import byte_strings, exists, mix, remove
+from millrace.llm.common import byte_strings, exists, mix, released, remove
 
 #: Mean, least and most ids of a chunk; ids that the rolling hash spans.
 MEAN, LEAST, MOST, SPAN = 512, 64, 4096, 16
@@ -150,7 +150,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, *, split: str = "
     ignored.  A very long text is encoded in one task, in one block of its own.
     """
     spark = docs.sparkSession
-    landed = docs.select("doc_id", "text").mapInArrow(lambda it: _land(it, vocabulary, split, end_id), LANDED)
+    landed = docs.select("doc_id", "text").mapInArrow(lambda it: released(_land(it, vocabulary, split, end_id)), LANDED)
     landed = landed.repartition("key").mapInArrow(_once, LANDED).drop("key")
     landed.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
     own = RECIPE.removeprefix("part int, pos long, start long, ")
