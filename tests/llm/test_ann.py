@@ -74,3 +74,14 @@ def test_traversal_is_in_order():
     cells = list(ann.traverse(a, b, counts, counts.sum()))
     sums = [a[i] + b[j] for i, j in cells]
     assert sums == sorted(sums) and set(cells) == set(map(tuple, np.argwhere(counts > 0).tolist()))
+
+
+def test_components_whose_squares_overflow_or_vanish(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(60)]
+    far = [(i, (np.array(v) * 10.0 ** [200, -170, 0][i % 3]).tolist()) for i, v in rows]
+    out = []
+    for data in (rows, far):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        out.append(sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(df, df.where("vec_id % 5 = 0"), visit=1.0).collect()))
+    assert out[0] == out[1] and len(out[0]) == 60
