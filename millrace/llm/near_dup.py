@@ -32,7 +32,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     turn = mix(np.arange(1, k + 1, dtype=np.uint64) * M1) | np.uint64(1)
     rolled = np.zeros(max(0, len(flat) - k + 1), np.uint64)
     for i in range(k):
-        rolled += mix(flat[i : len(flat) - k + 1 + i] ^ turn[i]) * turn[i]
+        rolled += mix(flat[i : len(rolled) + i] ^ turn[i]) * turn[i]
     rolled = mix(rolled)
     for end in ends.tolist():
         n = end - start

@@ -99,8 +99,8 @@ class Block:
         return np.flatnonzero(marks)
 
     def shingles(self) -> np.ndarray:
-        n = len(self.hash) - SHINGLE + 1
-        out = np.zeros(max(n, 0), np.uint64)
+        n = max(0, len(self.hash) - SHINGLE + 1)
+        out = np.zeros(n, np.uint64)
         for i in range(SHINGLE):
             out = (out ^ self.hash[i : n + i]) * (M1 if i % 2 else M3)
             out ^= out >> np.uint64(29)
