@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, licenses, mixing, near_dup, quality, secret_scan, substring, tokenstore, warc
+from millrace.llm import ann, bpe, licenses, mixing, near_dup, pieces, quality, secret_scan, substring, tokenstore, warc
 from millrace.llm.common import materialize, shared_dir, table
 
 
@@ -60,7 +60,11 @@ def op10_ann(spark, sf_dir):
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann}
+def op12_sentencepiece(spark, sf_dir):
+    return pieces.digests(pieces.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_path("piece_bpe_32k.model")))
+
+
+QUERIES = {"op1_substring": op1_substring, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann, "op12_sentencepiece": op12_sentencepiece}
 ORACLES = {"op2_licenses": licenses.ORACLE_SQL}
 
 
