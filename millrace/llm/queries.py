@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, licenses, mixing, near_dup, pieces, quality, secret_scan, substring, tokenstore, warc
+from millrace.llm import ann, bpe, licenses, mixing, near_dup, periodic, pieces, quality, secret_scan, substring, tokenstore, warc
 from millrace.llm.common import materialize, shared_dir, table
 
 
@@ -64,7 +67,22 @@ def op12_sentencepiece(spark, sf_dir):
     return pieces.digests(pieces.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_path("piece_bpe_32k.model")))
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann, "op12_sentencepiece": op12_sentencepiece}
+def planted(doc_id, n):
+    """In one document of ten, which the hash of its id picks, the words from one place on repeat the first few of them."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p, i = 1 + (n - a) // (3 + g % 8), np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), order=planted))
+
+
+QUERIES = {"op1_substring": op1_substring, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann, "op12_sentencepiece": op12_sentencepiece, "op13_periodic_runs": op13_periodic_runs}
 ORACLES = {"op2_licenses": licenses.ORACLE_SQL}
 
 
