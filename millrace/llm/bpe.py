@@ -120,7 +120,7 @@ class ChunkEncoder:
         kinds = np.frombuffer(data.tobytes().translate(_TRANSLATE), np.uint8)
         at = np.flatnonzero(kinds & (_WS | _STOP) > 0)
         blank = kinds[at] & _WS > 0
-        before, second = data[at - 1], data[at - 2]  # of the first places the last bytes, which change nothing: a text begins there
+        before, second = data[at - 1], data[np.maximum(at - 2, -len(data))]  # of the first places the last bytes, which change nothing: a text begins there
         wide = (_KINDS[before] & _REST > 0) & (_KINDS[second] & _TWO > 0)
         letter = (_KINDS[before] & _LETTER > 0) | wide & (second == 0xC3) & (before != 0x97) & (before != 0xB7)
         if self.split == "lead":

@@ -33,6 +33,13 @@ def test_concatenation_at_any_cut(name, split, monkeypatch):
         assert bpe.concatenate(library, text, cut, left, right)[:, 0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name, split", KINDS)
+@pytest.mark.parametrize("text", ["", " ", ",", ".", "a", " a", "a.", "\n\n", "é,"])
+def test_a_block_of_one_short_text(name, split, text):
+    path = bpe.vocabulary_path(name)
+    assert np.frombuffer(bpe.ChunkEncoder(path, split).encode([text])[0], np.int32).tolist() == bpe.load(path).encode(text, add_special_tokens=False).ids
+
+
 def expected(rows, library):
     out = []
     for r in rows:
