@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, licenses, mixing, near_dup, periodic, pieces, quality, secret_scan, substring, tokenstore, warc
+from millrace.llm import alignment, ann, bpe, licenses, mixing, near_dup, periodic, pieces, quality, secret_scan, substring, tokenstore, warc
 from millrace.llm.common import materialize, shared_dir, table
 
 
@@ -63,6 +63,10 @@ def op10_ann(spark, sf_dir):
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.score(table(spark, sf_dir, "documents"), bpe.vocabulary_path("byte_bpe_50k.json"), bpe.vocabulary_path("piece_bpe_32k.model"))
+
+
 def op12_sentencepiece(spark, sf_dir):
     return pieces.digests(pieces.round_trip(table(spark, sf_dir, "documents"), bpe.vocabulary_path("piece_bpe_32k.model")))
 
@@ -82,7 +86,7 @@ def op13_periodic_runs(spark, sf_dir):
     return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), order=planted))
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann, "op12_sentencepiece": op12_sentencepiece, "op13_periodic_runs": op13_periodic_runs}
+QUERIES = {"op1_substring": op1_substring, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_token_store": op5_token_store, "op6_mixing": op6_mixing, "op7_secrets": op7_secrets, "op8_near_dup": op8_near_dup, "op9_warc": op9_warc, "op10_ann": op10_ann, "op11_alignment": op11_alignment, "op12_sentencepiece": op12_sentencepiece, "op13_periodic_runs": op13_periodic_runs}
 ORACLES = {"op2_licenses": licenses.ORACLE_SQL}
 
 
