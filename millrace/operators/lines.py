@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.schemas import LINE_CELLS, LINE_FIELDS, ORDER_CELLS, ORDER_FIELDS
+from millrace.sources.keyed import in_ranges
 
 #: What the lines and the row keys are made of.
 SEPARATOR = "\x01"
@@ -78,9 +79,13 @@ def wide_lineitems(lines: DataFrame, run_time: str, constants: dict[str, str | N
     return wide_pack(out, ["orderkey", "partkey", "suppkey"], LINE_CELLS)
 
 
-def wide_scan(wide: DataFrame, pattern: str, timestamps: tuple[str, ...] = ("ods_insert_time", "ods_update_time")) -> DataFrame:
-    """The cells of rows whose key contains ``pattern`` (a regular expression); the named cells as timestamps."""
-    cells = wide.where(F.col("row_key").rlike(pattern)).select("row_key", "info.*")
+def wide_scan(wide: DataFrame, pattern: str, timestamps: tuple[str, ...] = ("ods_insert_time", "ods_update_time"), ranges: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The cells of rows whose key contains ``pattern`` (a regular expression); the named cells as timestamps.
+
+    ``ranges`` of keys outside of which the pattern never matches keep a stored table's scan from reading the rest.
+    """
+    near = wide.where(in_ranges(F.col("row_key"), ranges)) if ranges else wide
+    cells = near.where(F.col("row_key").rlike(pattern)).select("row_key", "info.*")
     return cells.withColumns({c: _parse_time(c) for c in timestamps if c in cells.columns})
 
 
@@ -89,6 +94,16 @@ def day_pattern(day: str) -> str:
     return f"^[0-9]{day}[0-9]+"
 
 
+def day_ranges(day: str) -> list[tuple[str, str]]:
+    """The ranges of row keys of one day, month or year (yyyyMMdd or its beginning): one for each leading digit."""
+    return [(f"{digit}{day}0", f"{digit}{day}:") for digit in range(10)]  # ":" follows "9"
+
+
+def ranges_up_to(day: str) -> list[tuple[str, str]]:
+    """The ranges of row keys up to a day (yyyyMMdd)."""
+    return [(f"{digit}", f"{digit}{day}:") for digit in range(10)]
+
+
 def key_day() -> Column:
     return F.substring("row_key", 2, 8)
 

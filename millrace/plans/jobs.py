@@ -11,12 +11,13 @@ from millrace.functions.schemas import KEYS, RENAMES
 from millrace.functions.times import partition_of
 from millrace.operators.extract import incremental_extract, latest_partition, newest_partition, numeric_key, with_audit
 from millrace.operators.keys import surrogate_key
-from millrace.operators.lines import day_pattern, wide_scan
+from millrace.operators.lines import day_pattern, day_ranges, ranges_up_to, wide_scan
 from millrace.operators.merge import merge_latest
 from millrace.operators.retention import drop_old_partitions
 from millrace.sources.readers import read_table
 from millrace.sources.scratch import scratch_dir
-from millrace.sources.sinks import UpsertTable, overwrite_if_any, overwrite_partition
+from millrace.sources.keyed import UpsertTable
+from millrace.sources.sinks import overwrite_if_any, overwrite_partition
 
 #: The tables that are loaded each day, and those of them that are merged into dimensions.
 TABLES = ("customer", "nation", "region", "part", "supplier", "partsupp", "orders", "lineitem")
@@ -67,15 +68,23 @@ def dwd_merge_all(spark: SparkSession, root: str, run_date: dt.date, run_time: s
 
 
 def land_wide(wide: DataFrame, root: str, name: str, number: int) -> UpsertTable:
-    """Upsert wide rows by row key into a stored table of that name; it is made where it isn't there."""
+    """Upsert wide rows by row key into a stored table of that name; it is made where it isn't there.
+
+    Of rows with the same key the one with the least cells stays.
+    """
     stored = UpsertTable(wide.sparkSession, f"{root}/{name}", ["row_key"], wide.schema)
-    stored.upsert(wide.groupBy("row_key").agg(F.min("info").alias("info")), number)
+    stored.upsert(wide, number, order_by=["info"])
     return stored
 
 
+def retain_wide(stored: UpsertTable, cutoff: str, number: int) -> None:
+    """Delete the rows of a stored wide table whose key's day is ``cutoff`` (yyyyMMdd) or before."""
+    stored.delete_ranges(ranges_up_to(cutoff), number)
+
+
 def with_wide_rows(daily: DataFrame, wide: DataFrame, day: str) -> DataFrame:
     """Loaded rows and the day's wide rows (strings, cast by name to the loaded types) together."""
-    cells = wide_scan(wide, day_pattern(day))
+    cells = wide_scan(wide, day_pattern(day), ranges=day_ranges(day))
     kinds = {f.name: f.dataType for f in daily.schema.fields if f.name in cells.columns}
     return daily.unionByName(cells.select(*(F.col(c).try_cast(t).alias(c) for c, t in kinds.items())), allowMissingColumns=True)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.schemas import FACT_ORDERS
 from millrace.operators.extract import high_water_mark, incremental_extract, latest_partition, numeric_key, processing_time, with_audit
 from millrace.operators.keys import surrogate_key
-from millrace.operators.lines import cast_fact_orders, once, retain_row_keys, row_key, split_lines, wide_lineitems, wide_orders, wide_scan
+from millrace.operators.lines import cast_fact_orders, day_ranges, once, retain_row_keys, row_key, split_lines, wide_lineitems, wide_orders, wide_scan
 from millrace.operators.merge import keyed_upsert, merge_latest
 from millrace.operators.retention import newest_partitions
 from millrace.plans import jobs
@@ -215,7 +215,7 @@ def wide_table_scan(spark, sf_dir):
     root, wide = scratch_dir(spark, "wide"), _wide(spark, sf_dir)
     jobs.land_wide(wide.withColumn("info", F.col("info").withField("ods_update_time", F.lit("none"))).where("row_key LIKE '%7'"), root, "orders", 0)
     stored = jobs.land_wide(wide, root, "orders", 1)
-    out = wide_scan(stored.read(), "^[0-9]199703[0-9]+")
+    out = wide_scan(stored.read(day_ranges("199703")), "^[0-9]199703[0-9]+")
     return out.select("row_key", "orderkey", F.col("ods_update_time").cast("timestamp_ntz").alias("ods_update_time"))
 
 
@@ -224,6 +224,19 @@ def row_key_retention(spark, sf_dir):
     return retain_row_keys(_wide(spark, sf_dir), "20000101").select("row_key")
 
 
+@query(f"""SELECT {KEY} AS row_key, CAST(o_custkey AS VARCHAR) AS custkey FROM orders
+WHERE {GOOD} AND o_orderkey % 6 <> 0 AND (strftime(o_orderdate, '%Y%m%d') > '20000101' OR o_orderkey % 10 = 7)""")
+def wide_table_retention(spark, sf_dir):
+    """Wide rows are stored, deleted up to a day and by key; some old ones come back in a later batch, and the runs are merged."""
+    root, wide = scratch_dir(spark, "wide"), _wide(spark, sf_dir)
+    stored = jobs.land_wide(wide, root, "orders", 0)
+    jobs.retain_wide(stored, "20000101", 1)
+    jobs.land_wide(wide.where("row_key LIKE '7%'"), root, "orders", 2)
+    stored.delete(wide.where("CAST(info.orderkey AS BIGINT) % 6 = 0").select("row_key"), 3)
+    stored.compact()
+    return stored.read().select("row_key", "info.custkey")
+
+
 @query("""SELECT CAST(l_orderkey % 10 AS VARCHAR) || strftime(l_shipdate, '%Y%m%d') || l_orderkey || l_partkey || l_suppkey AS row_key,
 CAST(NULL AS VARCHAR) AS returnflag, 'mode' AS shipmode FROM lineitem""")
 def wide_lineitem_fill(spark, sf_dir):
@@ -334,7 +347,7 @@ def dwd_fact_lineitem(spark, sf_dir):
     jobs.ods_load_all({"lineitem": source}, root, day, RUN_TIME)
     wide = wide_lineitems(split_lines(item_lines(spark, sf_dir))["lineitems"], RUN_TIME)
     stored = jobs.land_wide(wide, root, "wide/lineitem", 0)
-    jobs.fact_with_key(spark, root, "lineitem", "fact_lineitem", "lineitem_key", day, stored.read())
+    jobs.fact_with_key(spark, root, "lineitem", "fact_lineitem", "lineitem_key", day, stored.read(day_ranges("19971231")))
     return read_table(spark, f"{root}/dwd/fact_lineitem").select(*names, "lineitem_key")
 
 

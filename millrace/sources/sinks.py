@@ -1,12 +1,13 @@
-"""Sinks: partition overwrite, keyed upsert tables, several sinks of one micro-batch."""
+"""Sinks: partition overwrite, JSON and text, several sinks of one micro-batch; keyed tables are in ``keyed``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from millrace.sources.keyed import UpsertTable  # noqa: F401
 
 
 def overwrite_partition(df: DataFrame, path: str, value: str, column: str = "etldate") -> None:
@@ -16,15 +17,22 @@ def overwrite_partition(df: DataFrame, path: str, value: str, column: str = "etl
 
 
 def overwrite_if_any(df: DataFrame, path: str, value: str, column: str = "etldate") -> bool:
-    """``overwrite_partition`` unless ``df`` is empty; it is computed once."""
-    df = df.persist()
-    try:
-        if df.isEmpty():
-            return False
-        overwrite_partition(df, path, value, column)
+    """``overwrite_partition`` unless ``df`` is empty; False then.
+
+    ``df`` is computed once and kept nowhere: the write itself counts its rows, and
+    without rows it replaces no partition.  Rows are staged and the partition's folder is swapped
+    when all tasks are done, so a run that fails leaves the old one.
+    """
+    spark, seen = df.sparkSession, Observation()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    new = not files.exists(folder)
+    overwrite_partition(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, value, column)
+    if seen.get["rows"]:
         return True
-    finally:
-        df.unpersist()
+    if new:  # no table without partitions
+        files.delete(folder, True)
+    return False
 
 
 #: Times in JSON to the microsecond.
@@ -67,50 +75,3 @@ def multi_sink(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]],
 
     trigger = trigger or {"processingTime": "5 seconds"}
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-class UpsertTable:
-    """A keyed table on Parquet in buckets by key hash: a batch writes the buckets that it changes anew.
-
-    A snapshot folder holds the buckets of one batch; readers take the newest of each
-    bucket.  A snapshot is whole when Spark has written its success marker, so a
-    batch that failed or comes again never shows in part.  ``retire`` deletes what
-    no reader of the newest snapshots needs.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: StructType, buckets: int = 16):
-        self.spark, self.root, self.keys, self.schema, self.buckets = spark, root.rstrip("/"), keys, schema, buckets
-
-    def _bucket(self):
-        return F.pmod(F.hash(*self.keys), F.lit(self.buckets))
-
-    def _glob(self, pattern: str) -> list:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
-        return [f.getPath() for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []]
-
-    def _written(self) -> list[tuple[int, int, object]]:
-        """(bucket, snapshot, folder) of whole snapshots, in order."""
-        whole = {p.getParent().getName() for p in self._glob("*/_SUCCESS")}
-        found = [(int(p.getName().split("=")[1]), p.getParent().getName(), p) for p in self._glob("*/_bucket=*")]
-        return sorted(((b, int(n), p) for b, n, p in found if n in whole), key=lambda x: x[:2])
-
-    def read(self, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
-        newest = {b: p for b, n, p in self._written() if (before is None or n < before) and (buckets is None or b in buckets)}
-        reader = self.spark.read.schema(self.schema)
-        return reader.parquet(*(str(p) for p in newest.values())) if newest else self.spark.createDataFrame([], self.schema)
-
-    def upsert(self, changes: DataFrame, number: int) -> None:
-        """Rows of ``changes`` (one for each key) replace those with their keys."""
-        changes = changes.select(*self.schema.names)
-        touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}  # ``buckets`` numbers at most
-        rest = self.read(number, touched).join(changes.select(*self.keys), self.keys, "left_anti")
-        out = rest.unionByName(changes).withColumn("_bucket", self._bucket())
-        out.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{number}")
-
-    def retire(self, keep: int = 2) -> None:
-        """Delete the buckets that none of the ``keep`` newest snapshots shows."""
-        written = self._written()
-        oldest = sorted({n for _, n, _ in written})[-keep:][:1]
-        for (b, n, path), (after, m, _) in zip(written, written[1:]):
-            if b == after and oldest and m <= oldest[0]:
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from millrace.sources.scratch import scratch_dir
-from millrace.sources.sinks import UpsertTable
+from millrace.sources.keyed import UpsertTable
 
 
 def run_append(stream: DataFrame, label: str) -> DataFrame:
@@ -28,6 +28,11 @@ def run_upsert(stream: DataFrame, keys: list[str], label: str, mode: str = "upda
     change = change or (lambda batch: batch)
     schema = change(spark.createDataFrame([], stream.schema)).schema
     table = UpsertTable(spark, f"{root}/table", keys, schema)
-    writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: table.upsert(change(batch), n))
+
+    def land(batch: DataFrame, number: int) -> None:
+        table.upsert(change(batch), number)
+        table.compact()
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(land)
     writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return table.read()
