@@ -5,27 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import PLACE, dealt, place_in_range, range_of
+
 
 def surrogate_key(df: DataFrame, name: str, order_by: list[str], path: str, partitions: int | None = None) -> DataFrame:
     """``df`` with a dense number from 0 in ``order_by``, without sorting it in one place.
 
-    Rows are dealt into ranges, sorted there and written to ``path`` with their range
-    and their place in it, so that counting and numbering see the same order; the
-    driver adds up one count for each range.
+    Rows are dealt into ranges and written to ``path``; the driver adds up one count for each range.
     """
-    spark = df.sparkSession
-    ranges = df.repartitionByRange(partitions, *order_by) if partitions else df.repartitionByRange(*order_by)
-    ranges.sortWithinPartitions(*order_by).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
-    written = spark.read.parquet(path)
-    in_range = F.shiftright("_place", 33)
+    written = dealt(df, order_by, path, partitions)
     offsets, total = [], 0
-    for row in written.groupBy(in_range.alias("range")).count().orderBy("range").collect():
+    for row in written.groupBy(range_of().alias("range")).count().orderBy("range").collect():
         offsets.append((row["range"], total))
         total += row["count"]
     if not offsets:
         return df.withColumn(name, F.lit(0).cast("long"))
-    offset = F.element_at(F.create_map(*(F.lit(x) for pair in offsets for x in pair)), in_range)
-    return written.withColumn(name, (offset + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_place")
+    offset = F.element_at(F.create_map(*(F.lit(x) for pair in offsets for x in pair)), range_of())
+    return written.withColumn(name, (offset + place_in_range()).cast("long")).drop(PLACE)
 
 
 def suffix_number(column: str, n: int) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.functions.aggregates import register_udaf
+from millrace.functions.aggregates import Median, aggregate_in_parts, register_udaf
 from millrace.functions.schemas import MINUTE_AGGREGATE
 from millrace.functions.text import keyed_sum, pair_count, people, token_count
 from millrace.functions.times import millis_to_text, text_to_millis, time_parts
-from millrace.operators.aggregates import exact_sum, rank_text, running_total, top_n, top_n_chained, tumbling
+from millrace.operators.aggregates import exact_median, exact_sum, rank_text, running_total, top_n, top_n_chained, tumbling
 from millrace.operators.enrich import lookup_left
 from millrace.operators.extract import with_audit
 from millrace.operators.keys import partition_by_suffix
@@ -128,8 +128,9 @@ def lookup_chain(spark, sf_dir):
 
 @query(MEDIANS)
 def median_by_nation_window(spark, sf_dir):
-    out = median_by_nation(_nations(spark, sf_dir))
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "nation_key", "name", "median")
+    rows = _nations(spark, sf_dir).withColumn("window_start", F.window("ts", "1 hour")["start"].cast("timestamp_ntz"))
+    out = exact_median(rows, ["window_start", "nation_key"], "total_price", others={"name": F.max("name")})
+    return out.select("window_start", "nation_key", "name", F.round("median", 4).alias("median"))
 
 
 @query(f"SELECT window_start, CAST(rank AS INTEGER) AS rank, nation_key, name, median FROM ({RANKED}) WHERE rank <= 5")
@@ -252,12 +253,58 @@ def time_parts_text(spark, sf_dir):
     return rows.select("event_id", *(c.alias(k) for k, c in time_parts("ts").items()), text.alias("text"), text_to_millis(text).alias("millis"))
 
 
-@query("SELECT c_nationkey AS nation_key, round(median(c_acctbal), 4) AS median FROM customer GROUP BY 1")
+NATION_MEDIAN = "SELECT c_nationkey AS nation_key, round(median(c_acctbal), 4) AS median FROM customer GROUP BY 1"
+
+
+@query(NATION_MEDIAN)
 def udaf_median(spark, sf_dir):
-    """A caller's own aggregate function, registered and used from SQL."""
+    """A caller's own aggregate, accumulated in parts that are merged."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation_key"), "c_acctbal")
+    out = aggregate_in_parts(rows, ["nation_key"], "c_acctbal", Median(), "median")
+    return out.withColumn("median", F.round("median", 4))
+
+
+@query(NATION_MEDIAN)
+def udaf_median_sql(spark, sf_dir):
+    """A caller's own function of a whole group, registered and used from SQL."""
     register_udaf(spark, "own_median", lambda values: float(values.median()))
-    table(spark, sf_dir, "customer").createOrReplaceTempView("own_median_input")
-    return spark.sql("SELECT c_nationkey AS nation_key, round(own_median(c_acctbal), 4) AS median FROM own_median_input GROUP BY 1")
+    sql = "SELECT c_nationkey AS nation_key, round(own_median(c_acctbal), 4) AS median FROM {rows} GROUP BY 1"
+    return spark.sql(sql, rows=table(spark, sf_dir, "customer"))
+
+
+# Few keys with many rows each: what these give follows from ranges of key and order, not from a window over a key.
+
+FEW = 1_000
+
+
+@query("""SELECT event_id AS order_key, event_type, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (
+PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_total FROM events""")
+def type_running_total(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("order_key"), "event_type", "ts", "value")
+    out = running_total(rows, ["event_type"], "value", ["ts", "order_key"], most=FEW)
+    return out.select("order_key", "event_type", "running_total")
+
+
+HIGH = "value > 50"
+
+
+@query(f"""SELECT event_type, event_id FROM (SELECT *, lead(ts, 5) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS l FROM events WHERE {HIGH}) WHERE l IS NOT NULL""")
+def type_pattern_relaxed(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    return pattern_times(rows, "event_type", ["ts", "event_id"], F.expr(HIGH), 6, most=FEW).select("event_type", "event_id")
+
+
+@query(f"""SELECT event_type, event_id FROM (SELECT *, sum(CASE WHEN {HIGH} THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id
+ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS h FROM events) WHERE h = 6""")
+def type_pattern_strict(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    return pattern_times(rows, "event_type", ["ts", "event_id"], F.expr(HIGH), 6, "strict", most=FEW).select("event_type", "event_id")
+
+
+@query("SELECT event_type, round(median(value), 4) AS median, max(event_id) AS last FROM events GROUP BY 1")
+def type_median(spark, sf_dir):
+    out = exact_median(table(spark, sf_dir, "events"), ["event_type"], "value", others={"last": F.max("event_id")}, most=FEW)
+    return out.withColumn("median", F.round("median", 4))
 
 
 @query("""SELECT CAST(CASE WHEN k IS NULL OR k < 0 THEN 0 WHEN k <= 300000 THEN 1 WHEN k <= 600000 THEN 2 ELSE 3 END AS INTEGER) AS bucket, count(*) AS n,
