@@ -1,4 +1,4 @@
-"""n events of a kind, one after another, for each key of a stream."""
+"""A stream's rows in the order of time for each key: n-times patterns and running totals."""
 
 from __future__ import annotations
 
@@ -7,44 +7,166 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: State by key and timers need this state store; ``runner.run_append`` sets it for the query it starts.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 OUT = "key long, event_id long, ts_us long"
-_STATE = "pending_us array<long>, pending_id array<long>, hit_us array<long>, hit_id array<long>"
-
-
-def _matches(n: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pend_us, pend_id, hit_us, hit_id = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        for pdf in frames:
-            pend_us += pdf["ts_us"].tolist()
-            pend_id += pdf["event_id"].tolist()
-        mark = state.getCurrentWatermarkMs()
-        pending = sorted(zip(pend_us, pend_id))
-        ready = [p for p in pending if p[0] // 1000 < mark]
-        rest = pending[len(ready) :]
+
+
+class InOrder(StatefulProcessor):
+    """Holds rows (ts_us, event_id, amount) until the watermark passes them, and hands them on in the order of time.
+
+    Rows wait in slots of event time, a map entry each; a timer at a slot's first row
+    wakes it once the watermark is past that.  What a subclass keeps of a key is
+    cleared after ``idle_ms`` of event time without a row, so keys that
+    have gone leave nothing.
+    """
+
+    KEPT = ""
+
+    def __init__(self, slot_ms: int, idle_ms: int | None):
+        self.slot_ms, self.idle_ms = slot_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot long", "us array<long>, id array<long>, amount array<long>")
+        self.kept = handle.getValueState("kept", self.KEPT + ", last_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for slot, part in pdf.groupby(pdf["ts_us"] // (1000 * self.slot_ms)):
+                us, ids, amounts = (part[c].tolist() for c in ("ts_us", "event_id", "amount"))
+                first = min(us) // 1000 + 1  # once the watermark is there, it has passed the row
+                if self.waiting.containsKey((int(slot),)):
+                    old = self.waiting.getValue((int(slot),))
+                    if first <= min(old[0]) // 1000:
+                        self.handle.registerTimer(first)
+                    us, ids, amounts = [*old[0], *us], [*old[1], *ids], [*old[2], *amounts]
+                else:
+                    self.handle.registerTimer(first)
+                self.waiting.updateValue((int(slot),), (us, ids, amounts))
+        yield pd.DataFrame(columns=self.columns())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        slot, found = ((fired - 1) // self.slot_ms,), []
+        if self.waiting.containsKey(slot):
+            rows = sorted(zip(*self.waiting.getValue(slot)))
+            ready = [r for r in rows if r[0] // 1000 < mark]
+            rest = rows[len(ready) :]
+            if rest:
+                self.waiting.updateValue(slot, tuple(list(c) for c in zip(*rest)))
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            else:
+                self.waiting.removeKey(slot)
+            if ready:
+                found = self._go_on(ready, mark)
+        elif self.idle_ms is not None and self.kept.exists() and self.kept.get()[-1] + self.idle_ms < fired:
+            self.kept.clear()
+        yield pd.DataFrame([(key[0], *r) for r in found], columns=self.columns())
+
+    def _go_on(self, ready: list[tuple], mark: int) -> list[tuple]:
+        state = self.kept.get() if self.kept.exists() else None
+        kept, last = (self.start(), None) if state is None else (tuple(state[:-1]), state[-1])
         found = []
-        for us, i in ready:
-            hit_us.append(us)
-            hit_id.append(i)
-            if len(hit_us) == n:
-                found.append((key[0], hit_id.pop(0), hit_us.pop(0)))
-        state.update(([p[0] for p in rest], [p[1] for p in rest], hit_us, hit_id))
-        if rest:
-            state.setTimeoutTimestamp(max(rest[0][0] // 1000, mark + 1))
-        yield pd.DataFrame(found, columns=["key", "event_id", "ts_us"])
+        for us, event_id, amount in ready:
+            if self.idle_ms is not None and last is not None and us // 1000 >= last + self.idle_ms:
+                kept = self.start()
+            kept, out = self.step(kept, us, event_id, amount)
+            last = us // 1000
+            found += out
+        self.kept.update((*kept, last))
+        if self.idle_ms is not None:
+            self.handle.registerTimer(max(last + self.idle_ms, mark) + 1)
+        return found
+
+    def columns(self) -> list[str]:
+        raise NotImplementedError
+
+    def start(self) -> tuple:
+        """What is kept of a new key."""
+        raise NotImplementedError
+
+    def step(self, kept: tuple, us: int, event_id: int, amount: int) -> tuple[tuple, list[tuple]]:
+        """What is kept after a row, and the rows that it gives."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class Times(InOrder):
+    """The first of each ``n`` rows; the last ``n`` - 1 are kept."""
+
+    KEPT = "us array<long>, id array<long>"
 
-    return step
+    def __init__(self, n: int, slot_ms: int, idle_ms: int | None):
+        super().__init__(slot_ms, idle_ms)
+        self.n = n
 
+    def columns(self):
+        return ["key", "event_id", "ts_us"]
 
-def pattern_times_stream(df: DataFrame, key: str, time: str, predicate: Column, n: int, delay: str = "0 seconds") -> DataFrame:
+    def start(self):
+        return [], []
+
+    def step(self, kept, us, event_id, amount):
+        hits = [*zip(*kept), (us, event_id)]
+        full = len(hits) == self.n
+        found = [(hits[0][1], hits[0][0])] if full else []
+        hits = hits[1:] if full else hits
+        return ([h[0] for h in hits], [h[1] for h in hits]), found
+
+
+class Total(InOrder):
+    """Each row with the sum so far."""
+
+    KEPT = "total long"
+
+    def columns(self):
+        return ["key", "event_id", "ts_us", "total"]
+
+    def start(self):
+        return (0,)
+
+    def step(self, kept, us, event_id, amount):
+        total = kept[0] + amount
+        return (total,), [(event_id, us, total)]
+
+
+def _millis(df: DataFrame, length: str | None) -> int | None:
+    if length is None:
+        return None
+    return df.sparkSession.range(1).select(F.expr(f"CAST(timestampdiff(MICROSECOND, TIMESTAMP '1970-01-01', TIMESTAMP '1970-01-01' + INTERVAL {length}) DIV 1000 AS LONG)")).first()[0]
+
+
+def _keyed(df: DataFrame, key: str, time: str, amount: Column, delay: str) -> DataFrame:
+    rows = df.withWatermark(time, delay)
+    columns = [F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(time).alias("ts_us"), amount.alias("amount")]
+    return rows.select(*columns, time).groupBy("key")
+
+
+def pattern_times_stream(df: DataFrame, key: str, time: str, predicate: Column, n: int, delay: str = "0 seconds", slot: str = "7 DAYS", idle: str | None = None) -> DataFrame:
     """(key, event_id, ts_us): the first event of each ``n`` that satisfy ``predicate`` for a key (long), others between them or not.
 
     Events are held until the watermark passes them and then taken in the order of
     time, so it doesn't matter how they arrive within ``delay``; the watermark
-    follows the events that satisfy the predicate.  A key's state has
-    the events still held and the last n - 1 hits.
+    follows the events that satisfy the predicate.  A key's state has the events
+    still held, by slots of time (``slot``, an interval), and the last n - 1 hits; with
+    ``idle`` a longer pause ends a match and clears them.
+    """
+    hits = df.where(F.coalesce(predicate, F.lit(False)))
+    grouped = _keyed(hits, key, time, F.lit(0).cast("long"), delay)
+    return grouped.transformWithStateInPandas(Times(n, _millis(df, slot), _millis(df, idle)), OUT, "append", "eventTime")
+
+
+def running_total_stream(df: DataFrame, key: str, time: str, value: str, delay: str = "0 seconds", slot: str = "7 DAYS", idle: str | None = None) -> DataFrame:
+    """(key, event_id, ts_us, running_total): each event with the sum so far of its key (long), in the order of time.
+
+    Held like those of ``pattern_times_stream``; a null value counts nothing; with ``idle`` a longer pause starts the
+    sum anew.  Sums are of whole hundredths.
     """
-    hits = df.where(F.coalesce(predicate, F.lit(False))).withWatermark(time, delay)
-    hits = hits.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), time, F.unix_micros(time).alias("ts_us"))
-    return hits.groupBy("key").applyInPandasWithState(_matches(n), OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    cents = F.coalesce((F.col(value).cast("decimal(18,2)") * 100).cast("long"), F.lit(0).cast("long"))
+    out = _keyed(df, key, time, cents, delay).transformWithStateInPandas(Total(_millis(df, slot), _millis(df, idle)), OUT + ", total long", "append", "eventTime")
+    return out.select("key", "event_id", "ts_us", (F.col("total") / F.lit(100).cast("decimal(18,0)")).cast("double").alias("running_total"))

@@ -11,7 +11,8 @@ from millrace.operators.extract import latest_partition
 from millrace.operators.patterns import pattern_times
 from millrace.sources.readers import json_values, named_table_stream, read_table, text_stream
 from millrace.sources.sinks import UpsertTable, as_json, multi_sink, overwrite_partition
-from millrace.streaming.patterns import pattern_times_stream
+from millrace.streaming.patterns import STORE, pattern_times_stream, running_total_stream
+from millrace.streaming.runner import settings
 
 SCHEMA = "event_id long, k long, ts timestamp, v double"
 
@@ -26,9 +27,12 @@ def at(text):
     return dt.datetime.fromisoformat(f"2024-01-01 {text}")
 
 
-def run(stream, folder, mode="append"):
+def run(stream, folder, mode="append", conf=None):
     out = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
-    out.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    with settings(stream.sparkSession, conf or {}):
+        query = out.outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def source(spark, folder):
@@ -54,7 +58,7 @@ def test_batch_and_stream_agree_on_patterns(spark, tmp_path):
     for n in range(0, 300, 60):
         part = rows[n : n + 60]
         land(spark, files, part[::-1])
-    run(pattern_times_stream(source(spark, files), "k", "ts", F.col("v") > 40, 4, "10 minutes"), tmp_path)
+    run(pattern_times_stream(source(spark, files), "k", "ts", F.col("v") > 40, 4, "10 minutes", "5 MINUTES"), tmp_path, conf=STORE)
     got = {r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     df = spark.createDataFrame(rows, SCHEMA)
     want = {r["event_id"] for r in pattern_times(df, "k", ["ts", "event_id"], F.col("v") > 40, 4).collect()}
@@ -104,3 +108,50 @@ def test_catalog_table_as_stream(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/out").count() == n
         spark.createDataFrame([(n + 1, 1, at("00:00:01"), 2.0)], SCHEMA).write.insertInto("streamed_rows")
     spark.sql("DROP TABLE streamed_rows")
+
+
+def test_state_stays_small_and_survives_restarts(spark, tmp_path):
+    """Each portion is a run of its own; keys that pause are forgotten, and what is held is a portion at most."""
+    files, held = f"{tmp_path}/in", []
+    start = at("00:00:00")
+    rows = [(i, i // 40, start + dt.timedelta(seconds=30 * i), 1.0) for i in range(240)]  # a new key after every 40 rows
+    for n in range(0, 240, 40):
+        land(spark, files, rows[n : n + 40][::-1])
+        stream = pattern_times_stream(source(spark, files), "k", "ts", F.lit(True), 3, "0 seconds", "2 MINUTES", "10 MINUTES")
+        query = run(stream, tmp_path, conf=STORE)
+        held.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
+    assert held[-1] <= max(held[1:4])  # not more for every key that ever was
+    got = sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [i for k in range(6) for i in range(40 * k, 40 * k + 38) if i < 237]
+
+
+def test_a_pause_ends_a_match_and_a_sum(spark, tmp_path):
+    """Whether rows before and after the pause come in one batch or in two."""
+    times = [0, 60, 120, 2000, 2060, 2120, 9000]
+    for batches in (1, 2):
+        files = f"{tmp_path}/in{batches}"
+        made = [(i, 1, at("00:00:00") + dt.timedelta(seconds=t), float(i)) for i, t in enumerate(times)]
+        for part in ([made], [made[:4], made[4:]])[batches - 1]:
+            land(spark, files, part)
+        for name, stream in (
+            ("pattern", pattern_times_stream(source(spark, files), "k", "ts", F.lit(True), 2, idle="10 MINUTES")),
+            ("total", running_total_stream(source(spark, files), "k", "ts", "v", idle="10 MINUTES")),
+        ):
+            (tmp_path / f"{name}{batches}").mkdir()
+            run(stream, f"{tmp_path}/{name}{batches}", conf=STORE)
+        assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/pattern{batches}/out").collect()) == [0, 1, 3, 4]
+        totals = {r["event_id"]: r["running_total"] for r in spark.read.parquet(f"{tmp_path}/total{batches}/out").collect()}
+        assert totals == {0: 0.0, 1: 1.0, 2: 3.0, 3: 3.0, 4: 7.0, 5: 12.0}
+
+
+def test_totals_in_any_order_of_arrival(spark, tmp_path):
+    rows = [(i, i % 3, at("00:00:00") + dt.timedelta(seconds=7 * i), float(i * 37 % 100) / 10 if i % 11 else None) for i in range(200)]
+    files = f"{tmp_path}/in"
+    for n in range(0, 200, 50):
+        land(spark, files, rows[n : n + 50][::-1])
+    run(running_total_stream(source(spark, files), "k", "ts", "v", "10 minutes", "3 MINUTES"), tmp_path, conf=STORE)
+    got, sums, want = {r["event_id"]: r["running_total"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}, {}, {}
+    for i, k, _, v in rows:
+        sums[k] = sums.get(k, 0) + round((v or 0) * 100)
+        want[i] = sums[k] / 100
+    assert len(got) > 100 and got == {i: want[i] for i in got}
