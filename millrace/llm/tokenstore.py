@@ -33,10 +33,10 @@ REMEMBERED = 600_000
 #: Documents under one inner node of the manifest's tree.
 FAN = 1024
 
-LANDED = "key long, kind string, digest binary, n int, ids binary, doc_id long, n_tokens long, root binary, digests array<binary>, lens array<int>"
+LANDED = "own long, kind string, digest binary, n int, ids binary, doc_id long, n_tokens long, root binary, digests array<binary>, lens array<int>"
 _SCHEMA = pa.schema(
     [
-        ("key", pa.int64()), ("kind", pa.string()), ("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()),
+        ("own", pa.int64()), ("kind", pa.string()), ("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()),
         ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("lens", pa.list_(pa.int32())),
     ]
 )
@@ -92,42 +92,44 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
 
 
+def _rows(kind: str, **columns) -> pa.RecordBatch:
+    """Rows of one kind; the other kind's columns are null."""
+    n = len(next(iter(columns.values())))
+    columns["kind"] = [kind] * n
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
 def _land(batches, path: str, split: str, end_id: int):
-    encoder, seen = chunk_encoder(path, split, REMEMBERED), set()
+    """The recipes of the texts, each with a number of its own, and the chunks that this task hasn't sent yet."""
+    encoder, seen, number = chunk_encoder(path, split, REMEMBERED), set(), TaskContext.get().partitionId() << 40
     for part, texts in text_blocks(batches, "text"):
         ids, ends = encoder.encode_array(texts)
         flat = np.insert(ids, ends, end_id)
         ends = (ends + np.arange(1, len(ends) + 1)).tolist()
-        found, rows, start = breaks(flat), [], 0
+        found, start = breaks(flat), 0
+        new, counts, packs, sizes, roots, lists, lens = [], [], [], [], [], [], []
         cut = np.searchsorted(found, [[a + LEAST, b] for a, b in zip([0, *ends], ends)]).tolist()
-        for doc_id, end, (lo, hi) in zip(part.column("doc_id").to_pylist(), ends, cut):
-            digests, lens, at = [], [], start
+        for end, (lo, hi) in zip(ends, cut):
+            digests, own, at = [], [], start
             for stop in cuts((found[lo:hi] - start).tolist(), end - start):
                 packed = pack(flat[at : start + stop])
                 digest = _hash(packed)
                 digests.append(digest)
-                lens.append(start + stop - at)
+                own.append(start + stop - at)
                 if digest not in seen:
                     seen.add(digest)
-                    rows.append({"key": int.from_bytes(digest[:8], "little", signed=True), "kind": "chunk", "digest": digest, "n": lens[-1], "ids": packed})
+                    new.append(digest)
+                    counts.append(own[-1])
+                    packs.append(packed)
                 at = start + stop
-            root = merkle(digests)
-            key = int.from_bytes(_hash(root + str(doc_id).encode())[:8], "little", signed=True)
-            rows.append({"key": key, "kind": "recipe", "doc_id": doc_id, "n_tokens": end - start, "root": root, "digests": digests, "lens": lens})
+            sizes.append(end - start)
+            roots.append(merkle(digests))
+            lists.append(digests)
+            lens.append(own)
             start = end
-        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-
-
-def _once(batches):
-    """A digest's rows are all in this task, and its digests are few beside the rows themselves: the first row of each stays."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for d in batch.column("digest").to_pylist():
-            keep.append(d is None or d not in seen)
-            if d is not None:
-                seen.add(d)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        yield _rows("recipe", own=range(number, number + len(sizes)), doc_id=part.column("doc_id"), n_tokens=sizes, root=roots, digests=lists, lens=lens)
+        yield _rows("chunk", digest=new, n=counts, ids=packs)
+        number += len(sizes)
 
 
 def _placed(batches):
@@ -151,7 +153,8 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, *, split: str = "
     """
     spark = docs.sparkSession
     landed = docs.select("doc_id", "text").mapInArrow(lambda it: released(_land(it, vocabulary, split, end_id)), LANDED)
-    landed = landed.repartition("key").mapInArrow(_once, LANDED).drop("key")
+    # duplicates go by sorting, which may spill; the sort is also the one that writing by kind needs
+    landed = landed.repartition("digest", "own").dropDuplicates(["kind", "digest", "own"]).drop("own")
     landed.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
     own = RECIPE.removeprefix("part int, pos long, start long, ")
     recipes = _read(spark, f"{folder}/objects", "recipe", own) or spark.createDataFrame([], own)
@@ -221,48 +224,64 @@ def _checked(batches):
         yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(crcs, pa.int64())], ["digest", "crc"])
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials over GF(2) modulo that of crc32 (bit 31: x^0)."""
-    out = 0
-    while a:
-        if a & 0x80000000:
-            out ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials over GF(2) modulo that of crc32 (bit 31: x^0), pair by pair."""
+    out, top, one = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.uint32), np.uint32(1 << 31), np.uint32(1)
+    for _ in range(32):
+        out ^= np.where(a & top > 0, b, np.uint32(0))
+        a, b = a << one, (b >> one) ^ np.where(b & one > 0, np.uint32(0xEDB88320), np.uint32(0))
     return out
 
 
-@functools.lru_cache(8192)
-def _shift(n: int) -> int:
-    """x^(8 n) modulo the polynomial of crc32."""
-    power, out, bits = 1 << 30, 1 << 31, 8 * n
-    while bits:
-        if bits & 1:
-            out = _times(power, out)
+@functools.lru_cache(64)
+def _shift_by(bit: int) -> np.ndarray:
+    """x^(8 * 2^bit) modulo the polynomial of crc32."""
+    power = np.array([1 << 30], np.uint32)
+    for _ in range(bit + 3):
         power = _times(power, power)
-        bits >>= 1
-    return out
+    return power
 
 
 def crc_of_parts(parts: list[tuple[int, int]]) -> int:
     """crc32 of joined byte strings from each one's (crc32, length)."""
-    crc = 0
-    for own, n in parts:
-        crc = _times(_shift(n), crc) ^ own
-    return crc
+    crcs, sizes = (np.array(x, np.int64) for x in zip(*parts))
+    return int(crc_of_runs(crcs, sizes, np.array([len(crcs)]))[0])
+
+
+def crc_of_runs(crcs: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """crc32 (as uint32) of each run of joined byte strings from the strings' own (crc32, bytes); a run ends at each of ``ends``, and none is empty.
+
+    A string's crc32 counts in the whole one as its product with x^(8 * bytes after it).
+    """
+    upto = np.cumsum(sizes)
+    after = np.repeat(upto[ends - 1], np.diff(ends, prepend=0)) - upto
+    out, bit = crcs.astype(np.uint32), 0
+    while (after >> bit).any():
+        some = np.flatnonzero(after >> bit & 1)
+        out[some] = _times(out[some], _shift_by(bit))
+        bit += 1
+    return np.bitwise_xor.reduceat(out, np.append(0, ends[:-1])) if len(ends) else out
 
 
 def _rebuilt(batches):
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            parts = sorted(r["parts"], key=lambda p: p["pos"])
-            lens = [p["n"] for p in parts]
-            if merkle([p["digest"] for p in parts]) != r["root"] or sum(lens) != r["n_tokens"]:
-                raise ValueError(f"document {r['doc_id']} doesn't match its recipe")
-            crc = crc_of_parts([(p["crc"], 4 * n) for p, n in zip(parts, lens)])
-            rows.append({"doc_id": r["doc_id"], "start": r["start"], "n_tokens": r["n_tokens"], "ids_crc32": crc})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")]))
+        if not batch.num_rows:
+            continue
+        parts = batch.column("parts")
+        counts = parts.value_lengths().fill_null(0).to_numpy()
+        flat = parts.flatten()
+        doc, pos = np.repeat(np.arange(len(counts)), counts), flat.field("pos").to_numpy(zero_copy_only=False)
+        order = np.lexsort((pos, doc))
+        digests, n = byte_strings(flat.field("digest").take(pa.array(order))), flat.field("n").to_numpy(zero_copy_only=False)[order].astype(np.int64)
+        crcs, ends = flat.field("crc").take(pa.array(order)), np.cumsum(counts)
+        tokens = np.add.reduceat(n, ends - counts) if counts.all() else np.array([-1])
+        same = counts.all() and not crcs.null_count and (tokens == batch.column("n_tokens").to_numpy()).all()
+        roots = byte_strings(batch.column("root"))
+        if not same or any(merkle(digests[e - c : e]) != root for c, e, root in zip(counts.tolist(), ends.tolist(), roots)):
+            raise ValueError("a document doesn't match its recipe")
+        crc = crc_of_runs(crcs.to_numpy(), 4 * n, ends)
+        columns = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _parts(recipes: DataFrame) -> DataFrame:

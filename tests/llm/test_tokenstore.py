@@ -61,6 +61,21 @@ def test_crc_of_parts():
     parts = [(zlib.crc32(data[a:b]), b - a) for a, b in zip(cuts, cuts[1:])]
     assert tokenstore.crc_of_parts(parts) == zlib.crc32(data)
 
+    ends = np.array([1, 3, 5])
+    got = tokenstore.crc_of_runs(*(np.array(x) for x in zip(*parts)), ends)
+    assert got.tolist() == [zlib.crc32(data[cuts[a] : cuts[b]]) for a, b in zip([0, 1, 3], ends)]
+
+
+def test_a_lost_chunk_is_found(spark, store):
+    other = shared_dir(spark, "lost")
+    chunks = spark.read.parquet(f"{store}/objects").where("digest IS NOT NULL")
+    least = chunks.agg({"digest": "min"}).first()[0]
+    chunks.where(chunks["digest"] != least).drop("kind").write.parquet(f"{other}/objects")
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{store}/{part}").write.parquet(f"{other}/{part}")
+    with pytest.raises(Exception, match="doesn't match its recipe"):
+        tokenstore.verify_store(spark, other).collect()
+
 
 def test_cuts_have_bounds():
     ids = np.random.default_rng(1).integers(0, 50_000, 60_000).astype("i4")
