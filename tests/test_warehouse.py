@@ -13,7 +13,7 @@ from millrace.operators.keys import surrogate_key
 from millrace.operators.lines import cast_fact_orders, row_key, split_lines, wide_lineitems, wide_orders, wide_scan
 from millrace.operators.merge import keyed_upsert, merge_latest
 from millrace.plans import jobs
-from millrace.sources.readers import read_jdbc, read_jdbc_ranges, read_table
+from millrace.sources.readers import read_jdbc, read_jdbc_even, read_jdbc_ranges, read_table
 from millrace.sources.scratch import scratch_dir
 from millrace.sources.sinks import UpsertTable, append_jdbc, overwrite_if_any, overwrite_partition
 
@@ -130,6 +130,21 @@ def test_jdbc(spark, tmp_path):
     assert parts.rdd.getNumPartitions() == 4 and parts.count() == 7 == read_jdbc(spark, url, "t").count()
 
 
+def test_jdbc_parts_follow_the_keys(spark, tmp_path):
+    """Keys in a dense stretch, a sparse one far away, one key with a fifth of the rows, negative ones and nulls."""
+    url = f"jdbc:derby:{tmp_path}/even;create=true"
+    keys = [*range(1000, 3000), *range(0, 9_000_000_000, 9_000_000), *[5_000_000_001] * 1000, *range(-700, 0)] + [None] * 300
+    append_jdbc(spark.createDataFrame([(k, "x") for k in keys], "k long, name string"), url, "t")
+    parts = read_jdbc_even(spark, url, "t", '"k"', 8)
+    sizes = [len(p) for p in parts.rdd.glom().collect()]
+    assert sum(sizes) == len(keys) and sizes[-1] == 300 and sorted(map(str, (r["k"] for r in parts.collect()))) == sorted(map(str, keys))
+    share = 4700 / 8
+    assert 6 <= len(sizes) - 1 <= 10 and max(sizes) <= 1000 + share / 2 and sorted(sizes)[-2] <= 1.5 * share
+    for table, made in (("only_nulls", [None, None]), ("no_rows", []), ("one_key", [5, 5, 5])):
+        append_jdbc(spark.createDataFrame([(k, "x") for k in made], "k long, name string"), url, table)
+        assert read_jdbc_even(spark, url, table, '"k"', 4).count() == len(made)
+
+
 def test_jobs_and_retention(spark, tmp_path):
     root = str(tmp_path)
     schema = "custkey int, name string, nationkey int, modify_time timestamp"
