@@ -264,3 +264,25 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     rest = [c for c in docs.columns if c != "doc_id"]
     least = out.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row"))
     return least.select("doc_id", "row.*").select(*docs.columns)
+
+
+def keep_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` but those of a group of near-duplicates other than its first: smallest doc_id, those without or with a repeated one last.
+
+    A row without a doc_id, or whose doc_id another row has with another text, is a
+    document of its own: it gets a key beyond all ids from a hash of both, and stays unless its
+    text is near to one that stays.  Of rows with equal doc_id and text one stays.
+    Ids are under 2^62.  Null, empty and blank texts are near to nothing.
+    """
+    columns = docs.columns
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return keep_one(docs, **options)
+    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    odd = own.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most OR doc_id IS NULL")
+    odd = odd.select(F.col("doc_id").alias("_id"), "least")
+    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text")).join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    apart = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("_h") != F.col("least")))
+    key = F.lit(1 << 62) + F.col("_h").bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = keyed.select(F.when(apart, key).otherwise(F.col("doc_id")).alias("doc_id"), *(c for c in columns if c != "doc_id"), F.col("doc_id").alias("_own"))
+    kept = keep_one(materialize(keyed, "near-keyed"), **options)
+    return kept.withColumn("doc_id", F.col("_own")).select(*columns)

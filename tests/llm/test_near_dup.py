@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import near_dup
 from millrace.llm.components import connected_components
@@ -70,6 +71,36 @@ def test_keep_one(docs, rows):
     assert out.columns == docs.columns and Counter(got) == Counter(want)
 
 
+def test_keep_rows_keeps_clean_rows_without_or_with_a_repeated_id(spark):
+    rnd = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{x}" for x in rnd.integers(0, 10_000, 40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    made = [(1, a, "x"), (2, a, "x"), (None, a, "x"), (None, b, "y"), (None, b, "y"), (None, c, "y"), (7, d, "z"), (7, e, "z"), (7, e, "z"), (9, f, "z"), (7, f, "z"), (None, None, "n"), (None, "", "n"), (8, None, "n")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = near_dup.keep_rows(docs, k=5, percent=80)
+    assert got.columns == docs.columns
+    want = [(1, a, "x"), (None, b, "y"), (None, c, "y"), (7, d, "z"), (7, e, "z"), (9, f, "z"), (None, None, "n"), (None, "", "n"), (8, None, "n")]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    plain = docs.where("doc_id IN (1, 2, 8, 9)").dropDuplicates(["doc_id"])
+    assert sorted(r[0] for r in near_dup.keep_rows(plain).collect()) == [1, 8, 9]
+    assert near_dup.keep_rows(docs.where("false")).collect() == []
+
+
+def test_texts_of_few_words(spark):
+    """As a whole table, beside each other in tasks of their own, and before a very long text."""
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    texts = [" ".join(words[:n]) for n in range(9)]
+    long = " ".join(f"w{i}" for i in range(near_dup.BLOCK_WORDS // 100))
+    for k in (3, 5):
+        for n, t in enumerate(texts):
+            for rows in ([(1, t)], [(1, t), (2, t)], [(1, t), (2, long)]):
+                got = near_dup.shingle_sets(pa.array([r[1] for r in rows]), k)
+                assert [len(x) for x in got] == [len(shingles(r[1], k)) for r in rows]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string").repartition(18)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, k=5, percent=80).collect()}
+    assert got == {i: i if i % 9 == 0 else i % 9 for i in range(18)}
+
+
 def test_empty_table(none):
     assert near_dup.near_duplicates(none).collect() == [] and near_dup.keep_one(none).collect() == []
 

@@ -182,3 +182,14 @@ def test_equal_short_texts_and_extra_columns(spark):
     made = [(1, "Some few words", "x"), (2, "some few  words", "y"), (3, "", "z"), (4, None, "z"), (5, "word " * 3, "q"), (6, "other", "q"), (None, "some few words", "n"), (7, "one two three four five six", "k"), (8, "one two three four five six", "k")]
     got = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(made, "doc_id long, text string, key string")).collect()}
     assert set(got) == {1, 2, 7, 8} and got[2]["kept_in"] == [1] and got[2]["n_removed_words"] == 3 and got[7]["n_removed_words"] == 0
+
+
+def test_blocks_of_few_words(spark):
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    for n in range(9):
+        text = " ".join(words[:n])
+        block = substring.Block([text.encode()])
+        assert len(block.shingle) == max(0, n - 4) and len(block.start) == (n > 0)
+    rows = [(i, " ".join(words[: i % 9])) for i in range(18)]
+    got = {r["doc_id"]: r["n_removed_words"] for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(18)).collect()}
+    assert got == {i: 0 if i < 9 else i % 9 for i in range(18) if i % 9}
