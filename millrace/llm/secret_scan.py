@@ -6,9 +6,10 @@ import base64
 import binascii
 import bisect
 import codecs
+import hashlib
 import re
 import zlib
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,17 +26,27 @@ _ASSIGN = re.compile(
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 _URL, _UNICODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+#: Other ways to write code points.
+_FORMS = re.compile(r"(?:\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|%u[0-9A-Fa-f]{4}|(?:\\x[0-9A-Fa-f]{2})+)+")
+_FORM = re.compile(r"\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})|((?:\\x[0-9A-Fa-f]{2})+)")
 #: The shortest secret is 14 bytes, which is 19 characters of base64.
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Base64 over several lines, as MIME, PEM and the base64 command write it.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
-_BREAK = re.compile(r"[\s]+")
+#: Base64 over several lines, as MIME, PEM and the base64 command write it; line ends may be written out.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LEAST_RUN = 19
+_BREAK = re.compile(r"(?:\s|\\r|\\n)+")
 #: Secrets and encoded runs are ASCII, so this much of a run's bytes is what may hold one.
 _ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{8,}")
+#: The same in UTF-16, of either order.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}|(?:\x00[\t\n\r\x20-\x7e]){8,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
-#: What inflates is scanned in windows of about so many bytes, each of which ends after a byte that no secret and no encoded run holds.
-WINDOW_BYTES, _STEP = 4_000_000, 1 << 18
-_UPTO_EDGE = re.compile(rb"(?s).*[^A-Za-z0-9+/_.=%\\\"':\s\x80-\xff-]")
+#: The first two bytes of zlib data with smaller windows: deflate, no dictionary, a multiple of 31.
+_SMALL = re.compile(b"|".join(re.escape(bytes([w << 4 | 8, f])) for w in range(7) for f in range(256) if ((w << 4 | 8) << 8 | f) % 31 == 0 and not f & 32))
+#: What inflates is scanned in windows of about so many bytes, each of which ends where no secret and no encoded run can lie:
+#: after a byte that none holds, or a single blank that isn't next to a sign of assignment or another blank.
+#: Where no such place comes for ``STRETCH`` bytes, windows overlap by ``OVERLAP`` bytes instead.
+WINDOW_BYTES, STRETCH, OVERLAP, _STEP = 4_000_000, 16_000_000, 1 << 16, 1 << 18
+_EDGE = re.compile(rb"[^A-Za-z0-9+/_.=%\\\"':\s\x80-\xff{}-]|(?<=[^\s:=]) (?=[^\s:=])")
 #: An encoded run that inflates beyond this many bytes is scanned up to there and counted: this bounds time, windows bound memory.
 MAX_LAYER = 16_000_000_000
 
@@ -122,6 +133,50 @@ def _from_unicode(run: str) -> str | None:
     return None if new.upper() == run.upper() else new
 
 
+def _form(m: re.Match) -> str:
+    if m[4]:
+        data = bytes.fromhex(m[4].replace("\\x", ""))
+        return _strict(data, "utf-8") or data.decode("latin-1")
+    code = int(m[1] or m[2] or m[3], 16)
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+
+def _from_forms(run: str) -> str | None:
+    new = _FORM.sub(_form, run)
+    return None if new == run else new
+
+
+def _begins(data, at: int) -> bool:
+    """Whether what looks like compressed data at a place has a first block that can be one."""
+    if data[at] == 0x1F:
+        return len(data) > at + 3 and data[at + 3] < 32
+    if len(data) < at + 3 or (kind := data[at + 2] >> 1 & 3) == 3:
+        return False
+    stored = data[at + 3 : at + 7]
+    return kind > 0 or len(stored) == 4 and stored[0] ^ stored[2] == 255 == stored[1] ^ stored[3]
+
+
+def _sliced(data):
+    """Bytes in pieces that are not copied."""
+    view = memoryview(data)
+    return (view[i : i + _STEP] for i in range(0, len(view), _STEP))
+
+
+def _inflates(data) -> bool:
+    """Whether zlib data inflates to its end, checksum included."""
+    unpack = zlib.decompressobj()
+    try:
+        for piece in _sliced(data):
+            while len(piece):
+                unpack.decompress(piece, _STEP)
+                piece = unpack.unconsumed_tail
+            if unpack.eof:
+                return True
+    except zlib.error:
+        pass
+    return False
+
+
 def _inflate(pieces, state: dict):
     """What gzip (all members) or zlib data holds, piece by piece.  Where nothing comes out, the data itself, marked plain."""
     held, unpack, data, some = [], zlib.decompressobj(47), b"", False
@@ -156,7 +211,10 @@ def _inflate(pieces, state: dict):
 
 def _unpacked(data: bytes, most: int):
     """(pieces, whether anything was inflated) of data that may be compressed any number of times."""
-    pieces, state, inflated = iter([data]), {"left": most, "plain": False}, False
+    pieces, state, inflated = _sliced(data), {"left": most, "plain": False}, False
+    if _SMALL.match(data) and _inflates(data):
+        inner = _inflate(pieces, state)
+        pieces, inflated = chain([next(inner, b"")], inner), True
     while True:
         head, held = b"", []
         while len(head) < 3 and (piece := next(pieces, b"")):
@@ -171,19 +229,35 @@ def _unpacked(data: bytes, most: int):
 
 
 def _windows(pieces):
-    """The pieces joined to windows that end where no secret and no encoded run can lie."""
-    rest = bytearray()
+    """The pieces joined to windows; each byte is looked at once for a place to end."""
+    rest, edge, looked = bytearray(), 0, 0
     for piece in pieces:
         rest += piece
-        if len(rest) >= WINDOW_BYTES and (m := _UPTO_EDGE.match(rest)):
-            end = m.end()
-            m = None
-            yield bytes(rest[:end])
-            del rest[:end]
+        if len(rest) < WINDOW_BYTES:
+            continue
+        for start in (max(looked - 1, len(rest) - OVERLAP, 0), max(looked - 1, 0)):
+            for m in _EDGE.finditer(rest, start) if not edge else ():
+                edge = m.end()
+        looked = len(rest)
+        if edge:
+            yield bytes(rest[:edge])
+            del rest[:edge]
+            edge, looked = 0, len(rest)
+        elif len(rest) >= STRETCH:
+            yield bytes(rest)
+            del rest[:-OVERLAP]
+            looked = len(rest)
     if rest:
         yield bytes(rest)
 
 
+def _wide(data: bytes):
+    """The stretches of UTF-16 in bytes, as text."""
+    if b"\0" in data:
+        for m in _WIDE.finditer(data):
+            yield m[0].replace(b"\0", b"").decode("ascii")
+
+
 def _texts(data: bytes, most: int):
     """The text in bytes that may be compressed any number of times, in windows; "" where there is more than ``most`` bytes of it.
 
@@ -195,6 +269,7 @@ def _texts(data: bytes, most: int):
             text = window.decode("utf-8", "replace") if inflated else _strict(window, "utf-8")
             if text:
                 yield text
+            yield from _wide(window)
     except (ValueError, RecursionError):
         yield ""
 
@@ -223,17 +298,27 @@ def _parts(run: str, most: int):
         data = base64.b64decode(own + "=" * (-len(own) % 4))
         for m in _ASCII.finditer(data):
             yield m[0].decode("ascii"), shift + m.start() // 3 * 4, min(shift + -(-m.end() // 3) * 4, len(run))
-        for m in _PACKED.finditer(data):
-            for text in _packed(data[m.start() :], most):
-                yield text, shift + m.start() // 3 * 4, len(run)
+        for m in _WIDE.finditer(data) if b"\0" in data else ():
+            yield m[0].replace(b"\0", b"").decode("ascii"), shift + m.start() // 3 * 4, min(shift + -(-m.end() // 3) * 4, len(run))
+        for at in _starts(data):
+            for text in _packed(memoryview(data)[at:], most):
+                yield text, shift + at // 3 * 4, len(run)
+
+
+def _starts(data: bytes):
+    """Where compressed data may begin."""
+    yield from (m.start() for m in _PACKED.finditer(data) if _begins(data, m.start()))
+    if _SMALL.match(data) and _inflates(data):
+        yield 0
 
 
-def _packed(data: bytes, most: int):
+def _packed(data, most: int):
     """The texts of data that looks compressed, where it is."""
     try:
         pieces, inflated = _unpacked(data, most)
         for window in _windows(pieces) if inflated else ():
             yield window.decode("utf-8", "replace")
+            yield from _wide(window)
     except (ValueError, RecursionError):
         yield ""
 
@@ -248,25 +333,73 @@ def _escaped(layer_text: str, most: int):
             if len(run) < 8 * width:
                 continue  # fewer bytes than a compressed stream has
             data = bytes.fromhex("".join(run[i : i + width][take] for i in range(0, len(run), width)))
-            for p in _PACKED.finditer(data):
-                for text in _packed(data[p.start() :], most):
-                    yield text, m.start() + width * p.start(), m.end()
+            for at in _starts(data):
+                for text in _packed(memoryview(data)[at:], most):
+                    yield text, m.start() + width * at, m.end()
+
+
+def _inner(layer: Layer, most: int):
+    """The layers that a layer holds, one after another; None for each run that inflates beyond ``most`` bytes."""
+    text = layer.text
+    if "%" in text and (new := _replaced(layer, _URL, _from_url)):
+        yield new
+    if "\\u" in text and (new := _replaced(layer, _UNICODE, _from_unicode)):
+        yield new
+    if any(x in text for x in ("\\x", "\\U", "\\u{", "%u")) and (new := _replaced(layer, _FORMS, _from_forms)):
+        yield new
+    for inner, start, end in _escaped(text, most):
+        yield Layer(inner, layer, [(0, len(inner), start, end)]) if inner else None
+    for m in _BLOB.finditer(text):
+        data, whole = _decoded(m[0]), False
+        for inner in _texts(data, most) if data else ():
+            whole = True
+            yield Layer(inner, layer, [(0, len(inner), m.start(), m.end())]) if inner else None
+        for inner, start, end in _parts(m[0], most) if not whole else ():
+            yield Layer(inner, layer, [(0, len(inner), m.start() + start, m.start() + end)]) if inner else None
+    for m in _WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
+        lines = list(_solid(m[0]))
+        run = "".join(m[0][at:stop] for at, stop in lines)
+        if len(run) < _LEAST_RUN:
+            continue
+        firsts = [0, *accumulate(stop - at for at, stop in lines)]
+        place = lambda i: m.start() + lines[k := bisect.bisect_right(firsts, i) - 1][0] + i - firsts[k]  # noqa: B023, E731
+        for inner, start, end in _parts(run, most):
+            yield Layer(inner, layer, [(0, len(inner), place(start), place(end - 1) + 1)]) if inner else None
+
+
+def _solid(run: str):
+    """The stretches of a run between its line ends."""
+    at = 0
+    for m in _BREAK.finditer(run):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(run)
 
 
 def find(text: str, most: int = MAX_LAYER) -> tuple[list, list, int]:
     """(base spans, all spans, runs that inflate beyond ``most`` bytes) of a text; spans (start, kind, end) in code points.
 
-    The worklist holds layers.  Each is scanned; one with URL or Unicode escapes
-    has them replaced, which gives a new layer, what is no valid escape staying as it
-    is; each base64 run that holds text, compressed or not, gives one too, also one
-    over several lines or behind a prefix.  It ends when no new layer comes up: a text
-    seen before at the same place is not taken again.
+    The worklist is worked off depth first: it has the layers that are open, one in
+    another, each of which makes its inner ones when they are wanted, so one window of
+    what a run holds is kept for each depth.  A layer is scanned; one with URL or
+    Unicode escapes has them replaced, which gives a new layer, what is no valid escape
+    staying as it is; each base64 run that holds text, in UTF-8 or UTF-16, compressed or
+    not, gives some too, also one over several lines or behind a prefix.  It ends when
+    no new layer comes up: a text whose hash was seen before at the same place is not
+    taken again.
     """
     base = scan(text)
-    spans, work, seen, closed = set(base), [Layer(text)], set(), 0
+    spans, seen, closed = set(base), set(), 0
+    work = [iter([Layer(text)])]
     while work:
-        layer = work.pop()
-        key = (layer.origin(0, len(layer.text)), layer.text)
+        layer = next(work[-1], work)
+        if layer is work:
+            work.pop()
+            continue
+        if layer is None:
+            closed += 1
+            continue
+        key = (layer.origin(0, len(layer.text)), hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if key in seen:
             continue
         seen.add(key)
@@ -274,32 +407,7 @@ def find(text: str, most: int = MAX_LAYER) -> tuple[list, list, int]:
             for start, kind, end in scan(layer.text):
                 at, to = layer.origin(start, end)
                 spans.add((at, kind, to))
-        if "%" in layer.text:
-            work += filter(None, [_replaced(layer, _URL, _from_url)])
-        if "\\u" in layer.text:
-            work += filter(None, [_replaced(layer, _UNICODE, _from_unicode)])
-        for inner, start, end in _escaped(layer.text, most):
-            closed += not inner
-            if inner:
-                work.append(Layer(inner, layer, [(0, len(inner), start, end)]))
-        for m in _BLOB.finditer(layer.text):
-            data, whole = _decoded(m[0]), False
-            for inner in _texts(data, most) if data else ():
-                closed += not inner
-                whole = True
-                if inner:
-                    work.append(Layer(inner, layer, [(0, len(inner), m.start(), m.end())]))
-            for inner, start, end in _parts(m[0], most) if not whole else ():
-                closed += not inner
-                if inner:
-                    work.append(Layer(inner, layer, [(0, len(inner), m.start() + start, m.start() + end)]))
-        for m in _WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
-            places = [i for i, c in enumerate(m[0], m.start()) if not c.isspace()]
-            run = _BREAK.sub("", m[0])
-            for inner, start, end in _parts(run, most):
-                closed += not inner
-                if inner:
-                    work.append(Layer(inner, layer, [(0, len(inner), places[start], places[end - 1] + 1)]))
+        work.append(_inner(layer, most))
     return base, sorted(spans), closed
 
 
@@ -327,7 +435,8 @@ def find_secrets(docs: DataFrame, *, max_layer: int = MAX_LAYER) -> DataFrame:
     adds, each by start and kind.  Null and empty texts have none; rows with a
     null or repeated doc_id are scanned like any other; other columns are
     ignored.  A very long text is scanned whole, in one task; what it holds in compressed
-    form is inflated and scanned in windows.  ``n_closed`` counts encoded runs that
+    form is inflated and scanned in windows, one at a time, which end where no secret can lie, or overlap where
+    16 MB have no such place: an encoded run of more than 16 MB within what was inflated is decoded in parts.  ``n_closed`` counts encoded runs that
     inflate to more than ``max_layer`` bytes; they are scanned up to there.
     """
     schema = f"doc_id long, base {_SPANS}, spans {_SPANS}, n_closed long"

@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 
@@ -109,6 +111,80 @@ def test_large_layers_are_scanned_in_windows(monkeypatch):
         assert closed == 0 and any(a == 9 and k == 0 for a, k, b in set(spans) - set(plain))
 
 
+wide = lambda e: b64(("a plain line " + SECRET).encode(e))
+
+
+def small_window(data, bits):
+    made = zlib.compressobj(wbits=bits)
+    return made.compress(data) + made.flush()
+
+
+FORMS = [
+    wide("utf-16-le"), wide("utf-16-be"), b64("x" + SECRET.encode("utf-16-le").decode("latin-1")), b64(gzip.compress(SECRET.encode("utf-16-le"))),
+    *(b64(small_window(SECRET.encode(), bits)) for bits in range(9, 16)), b64(small_window(SECRET.encode(), 9) + b"and more"),
+    wrap(b64(LONG), 12), wrap(b64(LONG), 76, "\\n"), wrap(b64(SECRET), 20, "\\r\\n"), "".join(f"\\U{ord(c):08x}" for c in SECRET), "".join(f"\\u{{{ord(c):x}}}" for c in SECRET),
+    "".join(f"\\x{ord(c):02x}" for c in SECRET), "".join(f"%u{ord(c):04X}" for c in SECRET), quote("".join(f"\\x{c:02X}" for c in b64(SECRET).encode())),
+]
+
+
+@pytest.mark.parametrize("layer", FORMS)
+def test_other_encodings(layer):
+    text = f"é before {layer} after"
+    plain, spans, closed = s.find(text)
+    assert closed == 0 and any(9 <= a < b <= 9 + len(layer) for a, k, b in set(spans) - set(plain) if k == 0)
+    assert s.masked(text, "<secret>").startswith("é before ") and s.masked(text, "<secret>").endswith(" after")
+
+
+def peak(code):
+    """MB that a process of its own takes at most for some code, and the seconds of its work."""
+    head = "import base64, gzip, resource, sys, time, zlib\nsys.path.insert(0, '.')\nfrom millrace.llm import secret_scan as s\n"
+    tail = "\nstart = time.process_time()\nfound = s.find(text)\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, time.process_time() - start, len(found[1]))"
+    out = subprocess.run([sys.executable, "-c", head + code + tail], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    return float(out[0]), float(out[1]), int(out[2])
+
+
+PACK = "z = zlib.compressobj(9)\nparts = [z.compress({piece}) for _ in range({n})]\ntext = base64.b64encode(b''.join(parts) + z.compress(b' password = \"abcdefgh1234\"') + z.flush()).decode()"
+
+
+@pytest.mark.parametrize("piece", ["b'some words and no marks. ' * 40000", "b'z' * 1000000", "b'word,(x);' * 100000"])
+def test_memory_and_time_of_what_inflates(piece):
+    """A text of a few KB that inflates to 20, then to 120 MB: memory stays, time follows; the secret at the end is found."""
+    (small, short, one), (large, long, two) = (peak(PACK.format(piece=piece, n=n)) for n in (20, 120))
+    assert one == two == 1 and large < small + 60 and long < 10 * short + 1
+
+
+def test_time_of_what_only_begins_like_compressed_data():
+    times = [peak(f"text = base64.b64encode(b'\\x78\\x9c' * {n}).decode()")[1] for n in (50_000, 400_000)]
+    assert times[1] < 12 * times[0] + 1
+
+
+def test_windows_end_where_no_secret_lies(monkeypatch):
+    """Against the text as a whole, for texts of all that edges are made of; also where windows overlap."""
+    rnd = random.Random(8)
+    bits = [" ", "  ", "\n", "=", " = ", ":", "password", "token", '"', "'", "abcdefgh1234", "word", ".", ",", "(", "é", "AKIA" + "B" * 16, "0123456789abcdef" * 2, b64(SECRET), "{", "}", "\\u0041"]
+    for n in range(400):
+        monkeypatch.setattr(s, "WINDOW_BYTES", rnd.choice([1, 5, 40]))
+        data = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 60))).encode()
+        cut = [data[i : i + 7] for i in range(0, len(data), 7)]
+        windows = list(s._windows(iter(cut)))
+        assert b"".join(windows) == data
+        at, got = 0, set()
+        for w in windows:
+            text = w.decode("utf-8")
+            got |= {(at + a, k, at + b) for a, k, b in s.find(text)[1]}
+            at += len(text)
+        assert got == set(s.find(data.decode())[1])
+
+
+def test_a_stretch_without_an_edge_is_cut_with_overlap(monkeypatch):
+    monkeypatch.setattr(s, "WINDOW_BYTES", 100)
+    monkeypatch.setattr(s, "STRETCH", 300)
+    monkeypatch.setattr(s, "OVERLAP", 60)
+    for n in range(250, 700, 7):
+        text = f"a {b64(gzip.compress(('x' * n + '.password=abcdefgh1234.' + 'y' * 400).encode()))} b"
+        assert any(k == 0 for _, k, _ in s.find(text)[1])
+
+
 def test_text_that_only_looks_compressed():
     for start in ("x^2 + y ", "x\x01 "):
         assert s.find(f"a {b64(start + SECRET)} b")[1]
