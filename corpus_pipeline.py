@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, near_dup, quality, secret_scan
-from millrace.llm.common import materialize, table
+from millrace.llm.common import forget, materialize, table
 
 #: Which documents a mix takes, and at which similarity MinHash links them, has no SQL form.
 ORACLE_SQL = None
@@ -29,10 +29,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at 0.8 on five-word shingles, the one with the smallest doc_id stays.
 
-    Null and blank texts link with nothing and stay; rows with a null doc_id go, as nothing tells them apart; of rows
-    that share a doc_id one stays; other columns go along.
+    Null and blank texts link with nothing and stay; rows with a null or repeated doc_id are documents of their own,
+    which come after those with an id; of rows that share doc_id and text one stays; other columns go along.
     """
-    return near_dup.keep_one(docs, k=5, percent=80)
+    return near_dup.keep_rows(docs, k=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage wrote is deleted once the next one has read it, but for what the result reads."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
