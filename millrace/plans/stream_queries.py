@@ -11,7 +11,7 @@ from millrace.sources.readers import table_stream
 from millrace.sources.scratch import scratch_dir
 from millrace.sources.sinks import as_text, rolling_text
 from millrace.streaming.patterns import STORE, pattern_times_stream, running_total_stream
-from millrace.streaming.runner import run_append, run_upsert, start_append
+from millrace.streaming.runner import run_append, run_upsert
 
 #: Windows that the watermark has closed.
 CLOSED = "{} <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {} SECOND FROM events)"
@@ -93,29 +93,16 @@ def top5_nation_median_stream(spark, sf_dir):
 @query("""SELECT user_id, event_id, ts FROM (SELECT *, lead(ts, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM events WHERE value > 50)
 WHERE l IS NOT NULL AND date_trunc('millisecond', l) < (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE value > 50)""")
 def pattern_stream(spark, sf_dir):
-    """Events land in three portions, and the query goes on from its checkpoint after each."""
-    found = _in_portions(spark, sf_dir, lambda events: pattern_times_stream(events, "user_id", "ts", F.col("value") > 50, 6))
+    events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = run_append(pattern_times_stream(events, "user_id", "ts", F.col("value") > 50, 6), "pattern", STORE)
     return found.select(F.col("key").alias("user_id"), "event_id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"))
 
 
-def _in_portions(spark, sf_dir, made):
-    """The rows of a stream over the events, in the order of time, in three runs."""
-    root, events = scratch_dir(spark, "portions"), table(spark, sf_dir, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = events.select(us.cast("double").alias("us")).approxQuantile("us", [1 / 3, 2 / 3], 0.01)
-    bounds = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = events.where(F.lit(True) if lo is None else us >= lo).where(F.lit(True) if hi is None else us < hi)
-        part.write.mode("append").parquet(f"{root}/events")
-        stream = made(spark.readStream.schema(events.schema).parquet(f"{root}/events").withColumn("ts", F.col("ts").cast("timestamp")))
-        start_append(stream, root, STORE).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-
-
 @query("""SELECT event_id AS order_key, user_id AS cust_key, running_total FROM (SELECT *, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (
 PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_total FROM events)
 WHERE date_trunc('millisecond', ts) < (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
 def cust_running_total_stream(spark, sf_dir):
-    """Each order with its customer's total so far, once the watermark has passed it; in three runs."""
-    found = _in_portions(spark, sf_dir, lambda events: running_total_stream(events, "user_id", "ts", "value"))
+    """Each order with its customer's total so far, once the watermark has passed it."""
+    events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = run_append(running_total_stream(events, "user_id", "ts", "value"), "totals", STORE)
     return found.select(F.col("event_id").alias("order_key"), F.col("key").alias("cust_key"), "running_total")
