@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ SHINGLE, PERCENT = 3, 85
 ORDER_CELLS = 1 << 20
 #: Words taken together by the vectorised code: bounds a task's memory whatever the batch.
 BLOCK_WORDS = 500_000
+#: Partners of a text that are verified together.
+PARTNERS = 256
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -97,26 +100,36 @@ def _sketches(batches, k: int, bands: int, rows: int):
 
 
 def _verified(batches, k: int, percent: int):
-    for batch in batches:
-        sizes = [len(a.as_py() or b"") + len(b.as_py() or b"") for a, b in zip(batch.column(2), batch.column(3))]
-        for lo, hi in slices([n // 6 + 1 for n in sizes], BLOCK_WORDS):
-            part = batch.slice(lo, hi - lo)
-            pivots = part.column(2).cast(pa.binary()).dictionary_encode()
-            left, right = shingle_sets(pivots.dictionary, k), shingle_sets(part.column(3), k)
-            near = []
-            for i, b in zip(pivots.indices.to_pylist(), right):
-                a = left[i]
-                both = common_count(a, b)
-                near.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            kept = part.filter(pa.array(near, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["u", "v"])
+    """The pairs that are near, of rows in order (u, part, v, text), each part of a u led by the rows of its own text, without v."""
+    leads, led = [], False
+    for part, sets in _set_blocks(batches, k):
+        near = []
+        for v, s in zip(part.column("v").to_pylist(), sets):
+            if v is None:
+                leads = [s] if led else [*leads, s]
+            led = v is not None
+            found = False
+            for own in leads if led else ():
+                both = common_count(own, s)
+                found |= both > 0 and 100 * both >= percent * (len(own) + len(s) - both)
+            near.append(found)
+        kept = part.filter(pa.array(near, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column("u"), kept.column("v")], ["u", "v"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are near enough."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    wide = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v")
-    return wide.mapInArrow(lambda it: released(_verified(it, k, percent)), "u long, v long")
+    """The pairs (u, v) whose full shingle sets are near enough.
+
+    The texts of a u's partners follow its own in a sorted task, ``PARTNERS`` or so for
+    each part of them: a hub's text is sent once for each part, not once for each partner.
+    """
+    parts = pairs.groupBy("u").agg(F.expr(f"1 + count(*) DIV {PARTNERS}").alias("n"))
+    pairs = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "n").alias("part"), "v")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), "text")
+    leads = pairs.select("u", "part").distinct().join(side("u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
+    rows = leads.unionByName(pairs.join(side("v"), "v").select("u", "part", "v", "text"))
+    rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
+    return rows.mapInArrow(lambda it: released(_verified(it, k, percent)), "u long, v long")
 
 
 def near_duplicates(
@@ -210,7 +223,8 @@ def _prefixes(batches, k: int, percent: int, table):
 def _set_blocks(batches, k: int):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        for lo, hi in slices([len(t.as_py()) // 6 + 1 for t in texts], BLOCK_WORDS):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for lo, hi in slices([n // 6 + 1 for n in sizes], BLOCK_WORDS):
             yield batch.slice(lo, hi - lo), shingle_sets(texts.slice(lo, hi - lo), k)
 
 

@@ -64,6 +64,23 @@ def test_many_near_copies_are_settled_without_loss(spark):
     assert len({v[1] for v in want.values()}) > 1
 
 
+def test_hubs_in_parts_and_small_blocks(spark, monkeypatch):
+    """Pairs against their own sets, for hubs of several parts, blocks of one text, and ids with two texts."""
+    monkeypatch.setattr(near_dup, "PARTNERS", 5)
+    monkeypatch.setattr(near_dup, "BLOCK_WORDS", 1)
+    rnd = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(40)]
+    made = [(i, " ".join(base[: 40 - int(rnd.integers(0, 15))])) for i in range(60)] + [(60, "other words here"), (60, " ".join(base)), (61, None), (62, "")]
+    pairs = [(0, i) for i in range(1, 63)] + [(60, i) for i in range(20)] + [(61, 62), (5, 61)]
+    sets = {}
+    for i, t in made:
+        sets.setdefault(i, []).append(shingles(t, 3))
+    near = lambda a, b: bool(a & b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = {(u, v) for u, v in pairs if any(near(a, b) for a in sets[u] for b in sets[v])}
+    texts, df = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(pairs, "u long, v long")
+    assert {tuple(r) for r in near_dup._verify(df, texts, 3, 85).collect()} == want and 10 < len(want) < len(pairs)
+
+
 def test_keep_one(docs, rows):
     want = {i for i, v in brute(rows, 3, 85).items() if v[2]}
     out = near_dup.keep_one(docs)
