@@ -74,6 +74,12 @@ def forget(*written: DataFrame) -> None:
         remove(df.sparkSession, df._written)
 
 
+def size_estimate(df: DataFrame) -> int:
+    """Spark's own estimate of the bytes of ``df``, from the files it reads; 0 where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 60 else 0
+
+
 #: Rows of one long column that are broadcast (16 MB of values); more are joined by sort-merge, which keeps no side in memory.
 BROADCAST_ROWS = 2_000_000
 

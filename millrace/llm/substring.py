@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import M1, M2, M3, byte_strings, common_count, distinct_sorted, forget, materialize, mix, released, slices, word_hashes
+from millrace.llm.common import M1, M2, M3, byte_strings, common_count, distinct_sorted, forget, materialize, mix, released, size_estimate, slices, word_hashes
 from millrace.llm.components import connected_components
 from millrace.llm.near_dup import ORDER_CELLS, prefix_pairs
 
@@ -23,6 +23,8 @@ WINDOW, PASSAGE = 26, 26
 #: One word in so many ends a sentence whatever its punctuation, so that long lines without any are cut by content too.
 BREAK = 64
 BLOCK_WORDS = 1_500_000
+#: Bytes of the table for each bucket of keys at most: a bucket's keys, about half as many bytes, meet in one worker.
+BUCKET_BYTES = 128 * 1024 * 1024
 _STOPS = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -431,7 +433,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size_estimate(docs) // BUCKET_BYTES)
     packed = docs.mapInArrow(lambda it: released(_entries(it, buckets)), ENTRIES)
     shared = materialize(packed.groupBy("bucket").applyInArrow(_shared, "doc_id long, keys binary"), "substring-keys")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("live"))
