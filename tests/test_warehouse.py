@@ -102,6 +102,13 @@ def test_lookup(spark):
         assert got == [(1, 5, "five"), (2, 6, None), (3, None, None)]
 
 
+def test_wide_dimensions_are_not_broadcast(spark):
+    facts = spark.range(3).select(F.col("id").alias("k"))
+    dim = spark.range(3).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("name"))
+    plan = lambda **options: lookup_left(facts, dim, {"k": "k"}, {"name": "label"}, **options)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan() and "strategy=broadcast" not in plan(most_bytes=1000)
+
+
 def test_partition_overwrite(spark, tmp_path):
     path, df = f"{tmp_path}/t", spark.createDataFrame([(1,)], "k int")
     assert overwrite_if_any(df, path, "20240101") and overwrite_if_any(df, path, "20240102")
