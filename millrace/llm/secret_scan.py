@@ -32,7 +32,7 @@ _FORM = re.compile(r"\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f
 #: The shortest secret is 14 bytes, which is 19 characters of base64.
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, as MIME, PEM and the base64 command write it; line ends may be written out.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _LEAST_RUN = 19
 _BREAK = re.compile(r"(?:\s|\\r|\\n)+")
 #: Secrets and encoded runs are ASCII, so this much of a run's bytes is what may hold one.
@@ -357,8 +357,9 @@ def _inner(layer: Layer, most: int):
         for inner, start, end in _parts(m[0], most) if not whole else ():
             yield Layer(inner, layer, [(0, len(inner), m.start() + start, m.start() + end)]) if inner else None
     for m in _WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
-        lines = list(_solid(m[0]))
-        run = "".join(m[0][at:stop] for at, stop in lines)
+        wrapped = m[0]
+        lines = list(_solid(wrapped))
+        run = "".join([wrapped[at:stop] for at, stop in lines])
         if len(run) < _LEAST_RUN:
             continue
         firsts = [0, *accumulate(stop - at for at, stop in lines)]

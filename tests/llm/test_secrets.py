@@ -154,8 +154,9 @@ def test_memory_and_time_of_what_inflates(piece):
 
 
 def test_time_of_what_only_begins_like_compressed_data():
-    times = [peak(f"text = base64.b64encode(b'\\x78\\x9c' * {n}).decode()")[1] for n in (50_000, 400_000)]
-    assert times[1] < 12 * times[0] + 1
+    for code in ("base64.b64encode(b'\\x78\\x9c' * {n}).decode()", "'a' * {n} + ' \\n b'", "'a\\n' * {n}", "'%41' * {n}", "'\\\\x' * {n}", "'aaaa\\\\n' * {n} + '!'"):
+        times = [peak("text = " + code.format(n=n))[1] for n in (50_000, 400_000)]
+        assert times[1] < 12 * times[0] + 1, code
 
 
 def test_windows_end_where_no_secret_lies(monkeypatch):
