@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from millrace.operators.aggregates import tumbling
+from millrace.operators.aggregates import top_n, tumbling
 from millrace.operators.enrich import lookup_left
 from millrace.operators.extract import latest_partition
 from millrace.operators.patterns import pattern_times
@@ -155,3 +155,20 @@ def test_totals_in_any_order_of_arrival(spark, tmp_path):
         sums[k] = sums.get(k, 0) + round((v or 0) * 100)
         want[i] = sums[k] / 100
     assert len(got) > 100 and got == {i: want[i] for i in got}
+
+
+def test_console_and_idle_keys(spark, tmp_path):
+    """Rows go to the console; a window of a key that gets no more rows closes with the watermark that others move."""
+    files = f"{tmp_path}/in"
+    land(spark, files, [(1, 1, at("00:00:10"), 1.0), (2, 2, at("00:00:20"), 5.0)])
+    query = source(spark, files).select("k", "v").writeStream.format("console").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert "Console" in query.lastProgress["sink"]["description"] and sum(p["numInputRows"] for p in query.recentProgress) == 2
+    land(spark, files, [(3, 2, at("00:10:00"), 2.0)])
+    run(tumbling(source(spark, files), "ts", "60 seconds", ["k"], {"s": F.sum("v")}, "1 second"), tmp_path)
+    assert sorted((r["k"], r["s"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 1.0), (2, 5.0)]
+
+
+def test_top_rows_of_rows_in_memory(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(10)], "a int, b int")
+    assert [r["a"] for r in top_n(df, 3, [F.desc("b"), F.asc("a")]).collect()] == [2, 5, 8] and top_n(df, 20, [F.asc("a")]).count() == 10
