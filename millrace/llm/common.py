@@ -76,7 +76,7 @@ def forget(*written: DataFrame) -> None:
 
 def size_estimate(df: DataFrame) -> int:
     """Spark's own estimate of the bytes of ``df``, from the files it reads; 0 where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 
