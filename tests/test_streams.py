@@ -11,7 +11,7 @@ from millrace.operators.extract import latest_partition
 from millrace.operators.patterns import pattern_times
 from millrace.sources.readers import json_values, named_table_stream, read_table, text_stream
 from millrace.sources.sinks import UpsertTable, as_json, multi_sink, overwrite_partition
-from millrace.streaming.patterns import STORE, pattern_times_stream, running_total_stream
+from millrace.streaming.patterns import BUCKETS, STORE, pattern_times_stream, running_total_stream
 from millrace.streaming.runner import settings
 
 SCHEMA = "event_id long, k long, ts timestamp, v double"
@@ -172,3 +172,13 @@ def test_console_and_idle_keys(spark, tmp_path):
 def test_top_rows_of_rows_in_memory(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(10)], "a int, b int")
     assert [r["a"] for r in top_n(df, 3, [F.desc("b"), F.asc("a")]).collect()] == [2, 5, 8] and top_n(df, 20, [F.asc("a")]).count() == 10
+
+
+def test_totals_of_many_keys_share_state(spark, tmp_path):
+    """State follows the buckets, not the keys; rows without a key are one."""
+    rows = [(i, i % 6000 or None, at("00:00:00") + dt.timedelta(seconds=i), 0.01 * (i % 7)) for i in range(12001)]
+    land(spark, f"{tmp_path}/in", rows[::-1])
+    query = run(running_total_stream(source(spark, f"{tmp_path}/in"), "k", "ts", "v"), tmp_path, conf=STORE)
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 3 * BUCKETS
+    got = {r["event_id"]: (r["key"], r["running_total"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {i: (k, (i % 7 + (i - 6000) % 7 * (i >= 6000)) / 100) for i, k, _, _ in rows[:-1]}
