@@ -182,3 +182,14 @@ def test_totals_of_many_keys_share_state(spark, tmp_path):
     assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 3 * BUCKETS
     got = {r["event_id"]: (r["key"], r["running_total"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {i: (k, (i % 7 + (i - 6000) % 7 * (i >= 6000)) / 100) for i, k, _, _ in rows[:-1]}
+
+
+def test_patterns_of_many_keys_share_state(spark, tmp_path):
+    """Over two batches: hits are kept by bucket, and a match may begin in one and end in the other."""
+    rows = [(i, i % 4000, at("00:00:00") + dt.timedelta(seconds=i), 1.0) for i in range(12001)]
+    for part in (rows[:6000], rows[6000:]):
+        land(spark, f"{tmp_path}/in", part[::-1])
+    query = run(pattern_times_stream(source(spark, f"{tmp_path}/in"), "k", "ts", F.lit(True), 3), tmp_path, conf=STORE)
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 4 * BUCKETS
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["event_id"], r["key"]) for r in got) == [(i, i) for i in range(4000)]
