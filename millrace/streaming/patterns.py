@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 OUT = "key long, event_id long, ts_us long"
 #: Buckets that keys are dealt into: calls, state entries and timers follow these, not the keys.
-BUCKETS = 1024
+BUCKETS, NO_KEY = 1024, -1
 #: A row as it waits and as it is kept, and rows of a state entry at most.
 ROW = np.dtype([("key", "i8"), ("ts_us", "i8"), ("event_id", "i8"), ("amount", "i8")])
 ENTRY = 10_000
@@ -68,7 +68,7 @@ class InOrder(StatefulProcessor):
             kept, found = self._go_on(kept, rows[ready])
             if len(found):
                 out = pd.DataFrame({c: found[c] for c in self.columns()})
-                yield out if key[0] is not None else out.assign(key=pd.array([None] * len(out), "Int64"))
+                yield out if key[0] != NO_KEY else out.assign(key=pd.array([None] * len(out), "Int64"))
         if self.idle_ms is not None:
             kept = kept[kept["ts_us"] // 1000 + self.idle_ms >= mark]
         if len(kept):
@@ -155,9 +155,9 @@ def _millis(df: DataFrame, length: str | None) -> int | None:
 
 
 def _keyed(df: DataFrame, key: str, time: str, amount: Column, delay: str) -> DataFrame:
-    """Rows by bucket; those without a key are one of their own."""
+    """Rows by bucket; those without a key are one of their own, with a number, as null keys of state spoil others of their task."""
     rows, key = df.withWatermark(time, delay).where(F.col(time).isNotNull()), F.col(key).cast("long")
-    bucket = F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    bucket = F.when(key.isNull(), NO_KEY).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
     columns = [F.coalesce(key, F.lit(0)).alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(time).alias("ts_us"), amount.alias("amount")]
     return rows.select(bucket.alias("bucket"), *columns, time).groupBy("bucket")
 
