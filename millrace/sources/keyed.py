@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from millrace.operators.merge import latest_version
+from millrace.sources.scratch import scratch_dir
 
 #: Bytes of a file of a merged run.
 FILE_BYTES = 256 * 1024 * 1024
@@ -110,8 +111,27 @@ class UpsertTable:
     def upsert(self, changes: DataFrame, number: int, order_by: list[Column | str] | None = None) -> None:
         """Rows of ``changes`` replace those with their keys: one for each key, or the first in ``order_by``, which sorts them with the key."""
         changes = changes.select(*self.schema.names)
-        changes = latest_version(changes, self.keys, order_by) if order_by else changes.hint("rebalance")
-        self._write(changes.withColumn("_gone", F.lit(False)), str(number))
+        if order_by:
+            self._write_first(changes, number, order_by)
+        else:
+            self._write(changes.hint("rebalance").withColumn("_gone", F.lit(False)), str(number))
+
+    def _write_first(self, changes: DataFrame, number: int, order_by: list[Column | str]) -> None:
+        """The first row of each key as a run.
+
+        Rows are computed once, into a staged folder, and a hash of each key alone is
+        shuffled to find those that come more than once: only these keys' whole rows meet.
+        """
+        staged = scratch_dir(self.spark, "upsert")
+        changes.write.parquet(f"{staged}/rows")
+        rows = self.spark.read.schema(self.schema).parquet(f"{staged}/rows").withColumn("_hash", F.xxhash64(*self.keys))
+        rows.groupBy("_hash").count().where("count > 1").select("_hash").write.parquet(f"{staged}/again")
+        again = self.spark.read.schema("_hash long").parquet(f"{staged}/again")  # of a known size: broadcast if it is small
+        first = latest_version(rows.join(again, "_hash", "left_semi"), self.keys, order_by)
+        out = rows.join(again, "_hash", "left_anti").unionByName(first).drop("_hash")
+        self._write(out.withColumn("_gone", F.lit(False)), str(number))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def delete(self, keys: DataFrame, number: int) -> None:
         """Rows of all batches before ``number`` go whose keys are among ``keys``; a later batch may bring them again."""

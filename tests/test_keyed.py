@@ -1,6 +1,7 @@
 """Keyed tables: what a batch writes, deletions, merged runs, scans by key range; loads that commit once."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,19 @@ def test_a_load_is_computed_once_and_a_failed_one_leaves_the_partition(spark, tm
     assert not overwrite_if_any(df.where("id < 0"), path, "20240102")
     assert read_table(spark, path).groupBy("etldate").count().orderBy("etldate").collect() == [("20240101", 100), ("20240102", 5)]
     assert not overwrite_if_any(df.where("false"), f"{tmp_path}/new", "20240101") and not (tmp_path / "new").exists()
+
+
+def test_only_keys_that_come_again_meet(spark, tmp_path):
+    """Rows of a batch that has several for some keys are not shuffled but for those; null is a key."""
+    text = F.concat(*(F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(8)))
+    rows = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 1000 < 998, F.col("id")).when(F.col("id") % 2 == 0, -1).alias("k"), F.struct(text.alias("a"), F.col("id").alias("b")).alias("info"))
+    table = UpsertTable(spark, f"{tmp_path}/t", ["k"], rows.schema)
+    shuffled = lambda: time.sleep(1) or spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    table.upsert(rows, 0, order_by=["info"])
+    assert shuffled() - before < 4000 * 128  # texts are 1,024 bytes that don't compress below 512
+    want = {}
+    for r in rows.collect():
+        want[r["k"]] = min(want.get(r["k"], r["info"]), r["info"])
+    got = table.read().collect()
+    assert len(got) == len(want) == 3994 and {r["k"]: r["info"] for r in got} == want
